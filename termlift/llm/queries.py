@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, ngram_join, source_mixing
+from . import embedding_dedup, line_dedup, ngram_join, sequence_packing, source_mixing
 from .queries_sql import SQL
 
 
@@ -29,6 +29,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
 
+def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence_packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op3_source_mixing": op3_source_mixing,
+        "op5_sequence_packing": op5_sequence_packing,
         "op7_ngram_join": op7_ngram_join,
     }
 
