@@ -60,11 +60,6 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows, so that a batch of texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
 # ------------------------------------------------------------------ text buffers
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import blocked, bounded_batches, components, group_starts, local_roots, mix64, runs_hashes, sequence_hashes, text_steps, whole_groups, word_hashes, word_spans, written
+from ._shared import blocked, components, group_starts, local_roots, mix64, runs_hashes, sequence_hashes, text_steps, whole_groups, word_hashes, word_spans, written
 
 _U = np.uint64
 N, THRESHOLD, BANDS, ROWS, TOLERANCE, BLOCK, CHUNK, SEED = 5, 0.8, 24, 4, 1e-6, 768, 16, 77
@@ -266,7 +266,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """One row per document: the id, class_id (smallest id with the same words), n_copies of that class,
     n_links (other documents at the threshold or above), component_id (smallest id reachable), kept."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = written(texts.mapInArrow(_signer(n, bands, rows, seed), "id long, c1 long, c2 long, sig binary"), "signed")
     of_class = signed.where("id is not null and c1 is not null").groupBy("c1", "c2")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, ngram_join, sequence_packing, source_mixing
+from . import embedding_dedup, line_dedup, ngram_join, sequence_packing, source_mixing, warc
 from .queries_sql import SQL
 
 
@@ -33,6 +33,10 @@ def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_source_mixing": op3_source_mixing,
         "op5_sequence_packing": op5_sequence_packing,
+        "op6_warc": op6_warc,
         "op7_ngram_join": op7_ngram_join,
     }
 

@@ -21,4 +21,18 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op6_warc": f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+b AS (SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, hex,
+             array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 CAST(list_reduce(list_prepend(0, list_transform(range(0, 5), lambda k:
+                     (instr('0123456789abcdef', substr(hex, CAST((i * 5 + k) // 4 + 1 AS INT), 1)) - 1) // CAST(pow(2, 3 - (i * 5 + k) % 4) AS INT) % 2)),
+                     lambda a, x: a * 2 + x) AS INT) + 1, 1)), '') AS payload_digest
+      FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM b)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM f""",
 }

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, written
+from ._shared import written
 
 LENGTH, END_ID, GROUP, SEED = 2048, 0, 16384, 5
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -63,7 +63,6 @@ def vocabulary(name: str = "byte_bpe_50k") -> tuple[str, str]:
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, paths: tuple[str, str | None] | None = None, engine: str = "tiktoken", with_ids: bool = False) -> DataFrame:
     """Per piece: rid (of the input row), id, piece, start, length, ids_crc32, and the ids where asked for."""
-    bounded_batches(docs.sparkSession)
     json_path, ranks_path = paths or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, text_steps, word_spans, written
+from ._shared import text_steps, word_spans, written
 
 WEIGHTS, MOST, GROUP, LANDING, SEED = (5, 2, 1), 3, 8192, 12, 11
 
@@ -139,7 +139,6 @@ def word_counts(docs: DataFrame, keys: dict[str, str], text_col: str) -> DataFra
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST, share: float = 1.0, group: int = GROUP, landing: int = LANDING, seed: int = SEED) -> DataFrame:
     """One row per document: id, source, size, source_size, target (of the source), times, taken."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     sized = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     sized = written(word_counts(sized, {"rid": "rid", "id": "id", "source": "source"}, "text"), "sized")
     # one row per source: a mix has a weight for each, so they are few
