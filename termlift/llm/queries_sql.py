@@ -1,7 +1,13 @@
 """The results of the queries that SQL can express, as DuckDB statements over the same tables."""
 
+from .quality_rules import BOILERPLATE, SEPARATORS
+
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_MARKS = ", ".join(f"'{x}'" for x in SEPARATORS)
+_PHRASES = "|".join(BOILERPLATE)
+
 SQL: dict[str, str] = {
     "op2_line_dedup": f"""
 WITH lines AS (
@@ -35,4 +41,37 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM f""",
+    "op9_quality_rules": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+win AS (
+    SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS x
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) >= 2),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+l AS (
+    SELECT doc_id, pos, line, regexp_extract_all(line, '{_WORD}') AS w,
+           length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars,
+           length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
+           len(regexp_extract_all(line, '!!')) AS bangs,
+           length(regexp_replace(line, '[^A-Z]', '', 'g')) AS ups, length(regexp_replace(line, '[^a-z]', '', 'g')) AS lows
+    FROM lines),
+f AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup,
+           10 * symbols > chars OR 3 * bangs > len(w) OR (len(w) >= 5 AND 10 * ups > 7 * (ups + lows))
+           OR 4 * len(list_filter(w, lambda x: x IN ({_MARKS}))) >= len(w) OR regexp_matches(line, '{_PHRASES}', 'i') AS bad
+    FROM l WHERE len(w) > 0),
+g AS (
+    SELECT doc_id, sum(chars) AS word_chars, sum(symbols) AS n_symbols, sum(CAST(dup AS INT)) AS n_dup_lines,
+           sum(CAST(bad OR dup AS INT)) AS n_failed_lines, sum(CASE WHEN bad OR dup THEN chars ELSE 0 END) AS lost_chars
+    FROM f GROUP BY doc_id),
+m AS (
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+           CAST(coalesce(n_symbols, 0) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_failed_lines, 0) AS BIGINT) AS n_failed_lines,
+           CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars
+    FROM d LEFT JOIN g USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept FROM b""",
 }
