@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, line_dedup, ngram_join, quality_rules, sequence_packing, source_mixing, warc
+from . import embedding_dedup, language_id, line_dedup, ngram_join, quality_rules, sequence_packing, source_mixing, token_counts, warc
 from .queries_sql import SQL
 
 
@@ -41,6 +41,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.assess(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sequence_packing": op5_sequence_packing,
         "op6_warc": op6_warc,
         "op7_ngram_join": op7_ngram_join,
+        "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
         "op10_language_id": op10_language_id,
     }
