@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, line_dedup, ngram_join, quality_rules, sequence_packing, source_mixing, token_counts, warc
+from . import embedding_dedup, html_extract, language_id, line_dedup, ngram_join, quality_rules, sequence_packing, source_mixing, token_counts, warc
 from .queries_sql import SQL
 
 
@@ -29,6 +29,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op3_source_mixing": op3_source_mixing,
+        "op4_html_extract": op4_html_extract,
         "op5_sequence_packing": op5_sequence_packing,
         "op6_warc": op6_warc,
         "op7_ngram_join": op7_ngram_join,
