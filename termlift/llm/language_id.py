@@ -295,3 +295,28 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     out = picked.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", lang_pred string, score double, cross_entropy double, rejected boolean")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep or [id_col])], "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose text is not rejected."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    flat, at = docs.toDF(*names), docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    made: list[Model] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not made:
+            made.append(pickle.loads(shared.value))
+        for batch in batches:
+            col = batch.column(at)
+            edge = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64))])
+            i = 0
+            while i < len(col):
+                j = min(len(col), max(i + 1, int(np.searchsorted(edge, edge[i] + STEP_CHARS, "right")) - 1))
+                if made[0].langs:
+                    bad = made[0].predict([x or "" for x in col.slice(i, j - i).to_pylist()])[3]
+                    yield batch.slice(i, j - i).filter(pa.array(~bad))
+                i = j
+
+    out = flat.mapInArrow(run, flat.schema)
+    return out.toDF(*docs.columns)
