@@ -1,11 +1,494 @@
-"""Registered queries over the driver's tables, and the same results in SQL."""
+"""Registered queries over the driver's tables: orders are entities, brands of the ordered parts their
+features by line position, part names their terms; a name stands below its two words, these below ROOT."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termlift.functions.tests2x2 import fisher_p, odds_ratio
+from termlift.operators import associations, evaluation, features, filters, ontology, shrinkage
+from termlift.plans import pipeline
+from termlift.plans.catalog_sql import SQL
+from termlift.sources import store
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+ALPHA = 0.01
+
+
+def _query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+# ------------------------------------------------------------------ roles
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def occurrences(spark: SparkSession, d: str) -> DataFrame:
+    lines = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("part"))
+    parts = _read(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("feature"))
+    return lines.join(parts, "part")
+
+
+def annotations(spark: SparkSession, d: str) -> DataFrame:
+    lines = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("evidence"), F.col("l_linestatus").alias("aspect"))
+    parts = _read(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("term"))
+    orders = _read(spark, d, "orders").select(F.col("o_orderkey").alias("entity"), F.col("o_orderpriority").alias("qualifier"))
+    return lines.join(parts, "part").join(orders, "entity", "left")
+
+
+def entity_terms(spark: SparkSession, d: str) -> DataFrame:
+    lines = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_partkey").alias("part"))
+    parts = _read(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("term"))
+    return lines.join(parts, "part").select("entity", "term").distinct()
+
+
+def arch(spark: SparkSession, d: str) -> DataFrame:
+    return features.architectures(occurrences(spark, d), ["position", "part"])
+
+
+def singles(spark: SparkSession, d: str) -> DataFrame:
+    return occurrences(spark, d).select("entity", "feature").distinct()
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    names = _read(spark, d, "part").select("p_name").distinct()
+    words = names.select(F.col("p_name").alias("child"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("parent"), F.lit("is_a").alias("relation"))
+    return words.unionByName(words.select(F.col("parent").alias("child"), F.lit("ROOT").alias("parent"), F.lit("part_of").alias("relation")).distinct())
+
+
+def terms(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    ids = e.select(F.col("child").alias("term")).union(e.select("parent")).distinct()
+    size = F.size(F.split("term", " "))
+    return ids.select("term", F.when(F.col("term") == "ROOT", "root").when(size == 1, "word").otherwise("name").alias("namespace"), F.lit(False).alias("is_obsolete"))
+
+
+def gold(spark: SparkSession, d: str) -> DataFrame:
+    parts = _read(spark, d, "part").groupBy(F.col("p_brand").alias("feature"), F.col("p_name").alias("term")).agg(F.count("*").alias("n"))
+    return parts.where("n >= 2").select("feature", "term")
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    return associations.contingency(singles(spark, d), entity_terms(spark, d))
+
+
+def _tested(spark: SparkSession, d: str) -> DataFrame:
+    return associations.tested(_cells(spark, d)).persist()
+
+
+def _adjusted(spark: SparkSession, d: str) -> DataFrame:
+    n = associations.number_of_tests(singles(spark, d), entity_terms(spark, d)).first()["n_tests"]
+    return associations.adjusted(_tested(spark, d), n)
+
+
+def _logp(p: str, name: str, digits: int = 4):
+    """-log10 of a probability, rounded so that the last bits do not matter."""
+    return (F.round(-F.log10(F.greatest(F.col(p), F.lit(1e-300))), digits) + 0.0).alias(name)
+
+
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Associations at q up to 0.5, as predictions of the gold standard."""
+    return _adjusted(spark, d).where("q_value <= 0.5")
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations as the store holds them: significant associations and their ancestors."""
+    hits = associations.significant(_adjusted(spark, d), 0.2).withColumnRenamed("hyper_score", "association_score")
+    return ontology.propagate(hits, ontology.closure(edges(spark, d)))
+
+
+# ------------------------------------------------------------------ counts and tests
+
+
+@_query
+def cooccurrence(spark, d):
+    return associations.cooccurrence(singles(spark, d), entity_terms(spark, d))
+
+
+@_query
+def feature_marginals(spark, d):
+    return associations.marginals(singles(spark, d), "feature", "k")
+
+
+@_query
+def term_marginals(spark, d):
+    return associations.marginals(entity_terms(spark, d), "term", "m")
+
+
+@_query
+def universe(spark, d):
+    return associations.universe(singles(spark, d), entity_terms(spark, d))
+
+
+@_query
+def contingency(spark, d):
+    return _cells(spark, d).select("feature", "term", "a", "b", "c", "d")
+
+
+@_query
+def contingency_composites(spark, d):
+    feats = features.entity_features(arch(spark, d))
+    return associations.contingency(feats, entity_terms(spark, d)).select("feature", "term", "a", "b", "c", "d")
+
+
+@_query
+def fisher_greater(spark, d):
+    return _tested(spark, d).select("feature", "term", _logp("p_value", "neg_log10_p"))
+
+
+def _other_tail(spark, d, alternative):
+    p = fisher_p(F.col("a"), F.col("k"), F.col("m"), F.col("n"), alternative)
+    return _cells(spark, d).withColumn("p", p).select("feature", "term", _logp("p", "neg_log10_p"))
+
+
+@_query
+def fisher_less(spark, d):
+    return _other_tail(spark, d, "less")
+
+
+@_query
+def fisher_two_sided(spark, d):
+    return _other_tail(spark, d, "two-sided")
+
+
+@_query
+def odds_ratios(spark, d):
+    value = odds_ratio(F.col("a"), F.col("b"), F.col("c"), F.col("d"))
+    finite = ~F.isnan(value) & (value != F.lit(float("inf")))
+    return _cells(spark, d).select("feature", "term", F.when(finite, F.round(value, 8)).alias("odds_ratio"), (~finite).alias("unbounded"))
+
+
+@_query
+def hyper_score(spark, d):
+    return _tested(spark, d).select("feature", "term", (F.round("hyper_score", 3) + 0.0).alias("hyper_score"))
+
+
+@_query
+def bh_adjust(spark, d):
+    return _adjusted(spark, d).select("feature", "term", _logp("q_value", "neg_log10_q"))
+
+
+@_query
+def bh_threshold(spark, d):
+    return associations.p_threshold(_adjusted(spark, d), 0.2).select(_logp("p_threshold", "neg_log10_threshold"))
+
+
+@_query
+def significant(spark, d):
+    hits = associations.significant(_adjusted(spark, d), 0.2)
+    return hits.select("feature", "term", "a", "b", "c", "d", _logp("p_value", "neg_log10_p"), _logp("q_value", "neg_log10_q"))
+
+
+@_query
+def top_k(spark, d):
+    return associations.top_k(_tested(spark, d), 100).select("rank", "feature", "term", _logp("p_value", "neg_log10_p"))
+
+
+# ------------------------------------------------------------------ features
+
+
+@_query
+def architectures(spark, d):
+    a = arch(spark, d)
+    return a.select("entity", F.array_join("singles", ",").alias("singles"), F.size("composites").cast("long").alias("n_composites"))
+
+
+@_query
+def supra_generation(spark, d):
+    a = arch(spark, d)
+    return a.select("entity", F.explode("composites").alias("feature")).groupBy("feature").agg(F.count("*").alias("n_occurrences"), F.count_distinct("entity").alias("n_entities"))
+
+
+@_query
+def feature_meta(spark, d):
+    meta = features.metadata(features.entity_features(arch(spark, d)))
+    return meta.select("feature", "feature_type", F.size("constituents").cast("long").alias("n_parts"), "n_obs")
+
+
+@_query
+def type_counts(spark, d):
+    return features.type_counts(features.metadata(features.entity_features(arch(spark, d))))
+
+
+@_query
+def top_features(spark, d):
+    return features.top_features(occurrences(spark, d), 10)
+
+
+@_query
+def feature_coverage(spark, d):
+    out = features.coverage(arch(spark, d))
+    return out.withColumn("pct_multi", F.round("pct_multi", 8))
+
+
+# ------------------------------------------------------------------ filters
+
+_EVIDENCE, _ASPECTS = ("R", "A"), ("O",)
+
+
+@_query
+def evidence_filter(spark, d):
+    return filters.entity_terms(filters.accepted(annotations(spark, d), _EVIDENCE, ("O", "F"), exclude_negated=False, prefix=None)).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@_query
+def aspect_filter(spark, d):
+    return filters.entity_terms(filters.accepted(annotations(spark, d), None, _ASPECTS, exclude_negated=False, prefix=None)).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@_query
+def qualifier_filter(spark, d):
+    return filters.entity_terms(filters.accepted(annotations(spark, d), None, ("O", "F"), prefix=None)).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@_query
+def disposition_counts(spark, d):
+    return filters.disposition_counts(annotations(spark, d), filters.disposition(_EVIDENCE, _ASPECTS, prefix="b"))
+
+
+@_query
+def evidence_distribution(spark, d):
+    return filters.evidence_distribution(annotations(spark, d))
+
+
+@_query
+def entity_allowlist(spark, d):
+    urgent = _read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("entity"))
+    return filters.allow_entities(occurrences(spark, d), urgent).groupBy("feature").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("n_entities"))
+
+
+@_query
+def min_length(spark, d):
+    rows = occurrences(spark, d).withColumns({"start": F.col("position").cast("long"), "end": F.col("part")})
+    return filters.min_length(rows, 100).groupBy("feature").agg(F.count("*").alias("n"))
+
+
+@_query
+def prefix_filter(spark, d):
+    return filters.with_prefix(occurrences(spark, d), "feature", ["Brand#2", "Brand#11"]).groupBy("feature").agg(F.count("*").alias("n"))
+
+
+@_query
+def max_entities(spark, d):
+    rows = occurrences(spark, d).withColumn("ordinal", F.struct("part", "position", "entity"))
+    return filters.max_entities(rows, 50).select("entity", "position", "part", "feature")
+
+
+@_query
+def term_lookup(spark, d):
+    return entity_terms(spark, d).where("term = 'blue anvil'").select("entity")
+
+
+@_query
+def both_annotated(spark, d):
+    urgent = filters.accepted(annotations(spark, d), _EVIDENCE, _ASPECTS, exclude_negated=False, prefix=None)
+    return filters.allow_entities(singles(spark, d), urgent).groupBy("feature").agg(F.count("*").alias("k"))
+
+
+# ------------------------------------------------------------------ shrinkage
+
+
+def _shrunk(spark, d):
+    a = features.architectures(occurrences(spark, d), ["position", "part"], 2)
+    feats, ts = features.entity_features(a), entity_terms(spark, d)
+    meta = features.metadata(feats)
+    pairs = shrinkage.extended_pairs(associations.cooccurrence(feats, ts), meta)
+    rows = associations.tested(associations.contingency(feats, ts, pairs=pairs))
+    return shrinkage.shrink(rows, meta)
+
+
+@_query
+def shrink_pvalues(spark, d):
+    rows = _shrunk(spark, d).where(F.col("feature").contains(","))
+    return rows.select("feature", "term", "a", _logp("p_raw", "neg_log10_raw"), _logp("prior", "neg_log10_prior"), _logp("p_value", "neg_log10_p"))
+
+
+@_query
+def shrink_stats(spark, d):
+    rows = _shrunk(spark, d)
+    out = shrinkage.statistics(rows.withColumns({"p_raw": F.round("p_raw", 7), "p_value": F.round("p_value", 7)}), 0.01)
+    return out.withColumns({"pct_increased": F.round("pct_increased", 4), "median_ratio": F.round("median_ratio", 4)})
+
+
+# ------------------------------------------------------------------ ontology
+
+
+@_query
+def closure(spark, d):
+    return ontology.closure(edges(spark, d)).withColumn("depth", F.col("depth").cast("long"))
+
+
+@_query
+def closure_to_leaf(spark, d):
+    return ontology.closure(edges(spark, d), "to_leaf").groupBy("term").agg(F.count("*").alias("n_descendants"))
+
+
+@_query
+def ancestor_counts(spark, d):
+    e = edges(spark, d)
+    return ontology.relatives_count(terms(spark, d).select("term", "namespace"), ontology.closure(e), e)
+
+
+@_query
+def ontology_stats(spark, d):
+    e = edges(spark, d)
+    return ontology.statistics(terms(spark, d), e, ontology.closure(e)).withColumn("avg_depth", F.round("avg_depth", 8))
+
+
+@_query
+def namespace_counts(spark, d):
+    return ontology.namespace_counts(terms(spark, d))
+
+
+@_query
+def optimal_level(spark, d):
+    e = edges(spark, d)
+    own = ontology.with_ancestors(entity_terms(spark, d), ontology.closure(e))
+    hits = associations.significant(_adjusted(spark, d), 0.5)
+    tests = ontology.optimal_level_tests(hits, singles(spark, d), own, e)
+    return tests.select("feature", "term", "next", "background", "af", "ac", "afc", _logp("p", "neg_log10_p"))
+
+
+@_query
+def optimal_level_kept(spark, d):
+    e = edges(spark, d)
+    own = ontology.with_ancestors(entity_terms(spark, d), ontology.closure(e))
+    hits = associations.significant(_adjusted(spark, d), 0.5)
+    return ontology.optimal_level(hits, singles(spark, d), own, e, 3, 0.05).select("feature", "term")
+
+
+@_query
+def propagate(spark, d):
+    rows = _stored(spark, d)
+    return rows.select("feature", "term", "annotation_type", "direct_source_term", (F.round("association_score", 3) + 0.0).alias("association_score"))
+
+
+@_query
+def validate_annotations(spark, d):
+    known = terms(spark, d).where("namespace <> 'root'")
+    return ontology.validate(_stored(spark, d), known)
+
+
+# ------------------------------------------------------------------ store
+
+
+@_query
+def annotation_summary(spark, d):
+    out = store.summary_by_type(_stored(spark, d))
+    return out.select("annotation_type", "n", "n_features", "n_terms", (F.round("avg_score", 3) + 0.0).alias("avg_score"), _logp("min_q", "neg_log10_min_q"), _logp("max_q", "neg_log10_max_q"))
+
+
+@_query
+def store_summary(spark, d):
+    out = store.summary(_stored(spark, d))
+    return out.select("total", "n_direct", "n_propagated", "n_features", "n_terms", "n_sources", *[(F.round(c, 3) + 0.0).alias(c) for c in ("min_score", "max_score", "avg_score")])
+
+
+@_query
+def query_annotations(spark, d):
+    return store.query(_stored(spark, d), term="ROOT", kind="propagated").select("feature", "direct_source_term", (F.round("association_score", 3) + 0.0).alias("association_score"))
+
+
+@_query
+def export_filter(spark, d):
+    return store.export(_stored(spark, d), kind="direct", min_score=20.0, max_q=0.1).select("feature", "term", (F.round("association_score", 3) + 0.0).alias("association_score"))
+
+
+@_query
+def top_direct(spark, d):
+    return store.top_direct(_stored(spark, d)).select("feature", "term", (F.round("association_score", 3) + 0.0).alias("association_score"))
+
+
+@_query
+def top_annotated_terms(spark, d):
+    return store.top_by(_stored(spark, d), "term").select("term", "n")
+
+
+@_query
+def top_annotated_features(spark, d):
+    return store.top_by(_stored(spark, d), "feature").select("feature", "n")
+
+
+@_query
+def constraint_violations(spark, d):
+    rows = _stored(spark, d).withColumn("association_score", F.when(F.col("term") == "ROOT", 150.0).otherwise(F.col("association_score")))
+    return store.violations(rows, prefix="b").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ evaluation
+
+
+@_query
+def precision_recall(spark, d):
+    out = evaluation.precision_recall(_predictions(spark, d), gold(spark, d))
+    return out.withColumns({c: F.round(c, 8) for c in ("precision", "recall", "f1")})
+
+
+@_query
+def threshold_sweep(spark, d):
+    out = evaluation.threshold_sweep(_adjusted(spark, d), gold(spark, d))
+    return out.select("ordinal", "criterion", "threshold", "n_predicted", "true_positives", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@_query
+def best_threshold(spark, d):
+    return evaluation.best_threshold(evaluation.threshold_sweep(_adjusted(spark, d), gold(spark, d))).select("ordinal", "criterion", "threshold", F.round("f1", 8).alias("f1"))
+
+
+@_query
+def novel_topk(spark, d):
+    return evaluation.novel(_adjusted(spark, d), gold(spark, d), 50).select("feature", "term", (F.round("hyper_score", 3) + 0.0).alias("hyper_score"))
+
+
+@_query
+def gold_overlap(spark, d):
+    return evaluation.overlap(_predictions(spark, d), gold(spark, d))
+
+
+@_query
+def architecture_statistics(spark, d):
+    return evaluation.architecture_statistics(arch(spark, d)).withColumn("fraction_single", F.round("fraction_single", 8))
+
+
+@_query
+def architecture_contribution(spark, d):
+    return evaluation.architecture_contribution(_predictions(spark, d), gold(spark, d), arch(spark, d)).select("feature", "term", "n_total", "n_single", F.round("fraction_single", 8).alias("fraction_single"))
+
+
+@_query
+def contribution_summary(spark, d):
+    out = evaluation.contribution_summary(evaluation.architecture_contribution(_predictions(spark, d), gold(spark, d), arch(spark, d)))
+    return out.select("n", F.round("mean_fraction", 8).alias("mean_fraction"), "median_entities")
+
+
+@_query
+def composition_report(spark, d):
+    feats = features.entity_features(arch(spark, d))
+    out = evaluation.composition(feats.select("feature").distinct(), features.feature_type(F.col("feature")))
+    return out.withColumn("pct", F.round("pct", 8))
+
+
+# ------------------------------------------------------------------ whole
+
+
+@_query
+def full_pipeline(spark, d):
+    params = pipeline.Parameters(alpha=0.2, with_shrinkage=True, max_run=2)
+    got = pipeline.associate(features.architectures(occurrences(spark, d), ["position", "part"], 2), entity_terms(spark, d), params)
+    return got.significant.select("feature", "term", "a", _logp("p_value", "neg_log10_p"), _logp("q_value", "neg_log10_q"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
