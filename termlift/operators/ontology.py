@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termlift.functions.lineage import cut
 from termlift.functions.tests2x2 import fisher_p
 
 MAX_DEPTH, MIN_BACKGROUND, ALPHA = 64, 10, 0.05
@@ -40,12 +41,12 @@ def closure(edges: DataFrame, orientation: str = "to_root", relations: Sequence[
 
     Frontier by frontier: each round joins the newest pairs with the edges and keeps pairs not seen before.
     Rounds are as many as the longest shortest path, so a cycle ends too (and then holds (t, t))."""
-    step = neighbours(edges, orientation, relations)
+    step = cut(neighbours(edges, orientation, relations))
     new = step.select("term", F.col("next").alias("ancestor"), F.lit(1).alias("depth"))
     seen, rounds = new, 1
     while True:
         reach = new.join(step.withColumnRenamed("term", "ancestor"), "ancestor").select("term", F.col("next").alias("ancestor")).distinct()
-        new = reach.join(seen, ["term", "ancestor"], "left_anti").withColumn("depth", F.lit(rounds + 1)).persist()
+        new = cut(reach.join(seen, ["term", "ancestor"], "left_anti").withColumn("depth", F.lit(rounds + 1)))
         if new.isEmpty():
             return seen
         seen, rounds = seen.unionByName(new), rounds + 1
@@ -94,11 +95,11 @@ def optimal_level_tests(assocs: DataFrame, features: DataFrame, entity_terms: Da
     """(feature, term, next, background, p): each association tested within every neighbouring term's entities.
 
     Counts are grouped joins restricted to the (feature, term, next) that occur in assocs."""
-    wanted = assocs.select("feature", "term").distinct().join(neighbours(edges, orientation, relations), "term")
+    wanted = cut(assocs.select("feature", "term").distinct().join(neighbours(edges, orientation, relations), "term"))
     next_of = entity_terms.select("entity", F.col("term").alias("next"))
     size = next_of.groupBy("next").agg(F.count("*").alias("background"))
     inside = next_of.join(wanted.select("next").distinct(), "next", "left_semi")
-    term_in = inside.join(wanted.select("term", "next").distinct(), "next").join(entity_terms, ["entity", "term"], "left_semi")
+    term_in = entity_terms.join(wanted.select("term", "next").distinct(), "term").join(inside, ["entity", "next"], "left_semi")
     ac = term_in.groupBy("term", "next").agg(F.count("*").alias("ac"))
     feature_in = inside.join(features, "entity").join(wanted.select("feature", "next").distinct(), ["feature", "next"], "left_semi")
     af = feature_in.groupBy("feature", "next").agg(F.count("*").alias("af"))

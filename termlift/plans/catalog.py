@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termlift.functions.lineage import cut
 from termlift.functions.tests2x2 import fisher_p, odds_ratio
 from termlift.operators import associations, evaluation, features, filters, ontology, shrinkage
 from termlift.plans import pipeline
@@ -81,12 +82,12 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tested(spark: SparkSession, d: str) -> DataFrame:
-    return associations.tested(_cells(spark, d)).persist()
+    return associations.tested(_cells(spark, d))
 
 
 def _adjusted(spark: SparkSession, d: str) -> DataFrame:
     n = associations.number_of_tests(singles(spark, d), entity_terms(spark, d)).first()["n_tests"]
-    return associations.adjusted(_tested(spark, d), n)
+    return associations.adjusted(cut(_tested(spark, d)), n)
 
 
 def _logp(p: str, name: str, digits: int = 4):
@@ -96,13 +97,13 @@ def _logp(p: str, name: str, digits: int = 4):
 
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
     """Associations at q up to 0.5, as predictions of the gold standard."""
-    return _adjusted(spark, d).where("q_value <= 0.5")
+    return cut(_adjusted(spark, d).where("q_value <= 0.5"))
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
     """Annotations as the store holds them: significant associations and their ancestors."""
     hits = associations.significant(_adjusted(spark, d), 0.2).withColumnRenamed("hyper_score", "association_score")
-    return ontology.propagate(hits, ontology.closure(edges(spark, d)))
+    return cut(ontology.propagate(hits, ontology.closure(edges(spark, d))))
 
 
 # ------------------------------------------------------------------ counts and tests
@@ -302,7 +303,7 @@ def _shrunk(spark, d):
     meta = features.metadata(feats)
     pairs = shrinkage.extended_pairs(associations.cooccurrence(feats, ts), meta)
     rows = associations.tested(associations.contingency(feats, ts, pairs=pairs))
-    return shrinkage.shrink(rows, meta)
+    return shrinkage.shrink(cut(rows), meta)
 
 
 @_query
@@ -351,8 +352,8 @@ def namespace_counts(spark, d):
 @_query
 def optimal_level(spark, d):
     e = edges(spark, d)
-    own = ontology.with_ancestors(entity_terms(spark, d), ontology.closure(e))
-    hits = associations.significant(_adjusted(spark, d), 0.5)
+    own = cut(ontology.with_ancestors(entity_terms(spark, d), ontology.closure(e)))
+    hits = cut(associations.significant(_adjusted(spark, d), 0.5))
     tests = ontology.optimal_level_tests(hits, singles(spark, d), own, e)
     return tests.select("feature", "term", "next", "background", "af", "ac", "afc", _logp("p", "neg_log10_p"))
 
@@ -360,8 +361,8 @@ def optimal_level(spark, d):
 @_query
 def optimal_level_kept(spark, d):
     e = edges(spark, d)
-    own = ontology.with_ancestors(entity_terms(spark, d), ontology.closure(e))
-    hits = associations.significant(_adjusted(spark, d), 0.5)
+    own = cut(ontology.with_ancestors(entity_terms(spark, d), ontology.closure(e)))
+    hits = cut(associations.significant(_adjusted(spark, d), 0.5))
     return ontology.optimal_level(hits, singles(spark, d), own, e, 3, 0.05).select("feature", "term")
 
 

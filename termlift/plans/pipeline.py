@@ -8,6 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termlift.functions.lineage import cut
 from termlift.operators import associations, features, ontology, shrinkage
 
 
@@ -94,9 +95,10 @@ def associate(occurrence_arch: DataFrame, terms: DataFrame, params: Parameters,
     rows = associations.tested(associations.contingency(feats, own, universe, pairs))
     if shrunk:
         rows = shrinkage.shrink(rows, meta, params.shrinkage_strength, params.shrinkage_min_obs)
-    rows = rows.persist()  # the ranks below read it more than once
+    rows = cut(rows)  # the ranks below read it more than once
     n_tests = associations.number_of_tests(feats, own).first()["n_tests"]
     rows = associations.adjusted(rows, n_tests)
+    rows = cut(rows) if params.with_ontology else rows
     hits = associations.significant(rows, params.alpha)
     annotations = None
     if params.with_ontology and edges is not None:
