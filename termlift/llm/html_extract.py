@@ -7,7 +7,7 @@ exactly one <article> or <main> element. At most `sample` of them are used (thos
 their id), none longer than `longest` characters. A tag's feature is its name, and with its class, id and
 role where the labelled pages have that. Tags are held below `tag_most`, words above `word_least`.
 
-Elements that are never article text are left out, and their words score nothing: scripts, styles, forms, menus, headers and
+Elements that are never article text are left out, and what they hold scores nothing: scripts, styles, forms, menus, headers and
 footers outside the content element, sidebars, and elements whose class, id or role says advert, notice,
 comments and so on (NEVER, NEVER_MARKS). Character references are decoded, white space inside a block
 becomes one space, blocks are joined by an empty line.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, LONGEST, TAG_MOST, WORD_LEAST, UNSEEN = 600, 200_000, -0.05, 0.25, -2.0
+SAMPLE, LONGEST, TAG_MOST, WORD_LEAST, MILD, UNSEEN = 600, 200_000, -0.05, 0.25, -0.1, -2.0
 
 NEVER = frozenset(
     "head title nav aside form script style noscript template button select textarea iframe object svg canvas dialog menu input label".split()
@@ -44,6 +44,11 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
+#: Tags that stand in running text; where the labelled pages do not have them they cost little.
+TEXT_TAGS = frozenset(
+    "p h1 h2 h3 h4 h5 h6 a abbr b bdi bdo blockquote br center cite code dd del dfn dl dt em figcaption figure font hr i img ins kbd li mark ol "
+    "pre q s samp section small span strike strong sub summary sup table tbody td tfoot th thead time tr tt u ul var wbr".split()
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -115,7 +120,7 @@ class Weights:
         for mark in e.marks:
             if (w := self.tags.get(f"{e.feature}.{mark}")) is not None:
                 return w
-        return self.tags.get(e.feature, UNSEEN)
+        return self.tags.get(e.feature, MILD if e.name in TEXT_TAGS else UNSEEN)
 
 
 def labelled(page: list[Event]) -> tuple[int, int] | None:
@@ -134,8 +139,11 @@ def fit(pages: list[str]) -> Weights:
         region = labelled(page)
         if not region:
             continue
+        hidden = {k for i, j in _left_out(page) for k in range(i + 1, j)}
         for i, e in enumerate(page):
-            to = counts[region[0] <= i < region[1]]
+            if i in hidden:
+                continue
+            to = counts[region[0] <= i < region[1] and not (e.name and NEVER_MARKS.intersection(e.marks))]
             if not e.name:
                 to[""] += e.words
             else:
@@ -195,9 +203,9 @@ def extract(page: str, weights: Weights) -> str:
     tokens = events(page)
     gone = _left_out(tokens)
     scores = [weights.of(e) for e in tokens]
-    for i, j in gone:  # such words are no sign of content
-        for k in range(i, j):
-            scores[k] = min(scores[k], 0.0)
+    for i, j in gone:  # what such an element holds is no sign of content, nor of its end
+        for k in range(i + 1, j):
+            scores[k] = 0.0
     start, end = best_region(scores)
     blocks: list[str] = []
     parts: list[str] = []

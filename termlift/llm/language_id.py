@@ -68,7 +68,8 @@ def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
     out, total = [], np.zeros(len(codes), _U)
     c, power = codes.astype(_U) + _U(1), 1
     for n in range(1, ORDER + 1):
-        total[n - 1 :] += c[: len(c) - n + 1] * _U(power)
+        if n <= len(c):
+            total[n - 1 :] += c[: len(c) - n + 1] * _U(power)
         out.append(mix64(total + _U(n)))
         power = power * int(_P) % (1 << 64)
     return out

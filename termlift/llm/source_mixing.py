@@ -136,11 +136,11 @@ def word_counts(docs: DataFrame, keys: dict[str, str], text_col: str) -> DataFra
     return picked.mapInArrow(run, f"{schema}, size long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST, share: float = 1.0, group: int = GROUP, landing: int = LANDING, seed: int = SEED) -> DataFrame:
-    """One row per document: id, source, size, source_size, target (of the source), times, taken."""
-    spark = docs.sparkSession
-    sized = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    sized = written(word_counts(sized, {"rid": "rid", "id": "id", "source": "source"}, "text"), "sized")
+def _decide(rows: DataFrame, weights: Sequence[float], most: float, share: float, group: int, landing: int, seed: int) -> DataFrame:
+    """rows(rid, id, source, text), rid being unique: adds size, source_size, target and times, without text.
+    The draws depend on id and size, not on rid, so they are the same however the rows are laid out."""
+    spark = rows.sparkSession
+    sized = written(word_counts(rows, {"rid": "rid", "id": "id", "source": "source"}, "text"), "sized")
     # one row per source: a mix has a weight for each, so they are few
     found = {r["source"]: (int(r["w"]), int(r["n"])) for r in sized.groupBy("source").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()}
     aim = targets({s: w for s, (w, _) in found.items()}, weights, most, share)
@@ -171,14 +171,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for d in done[1:]:
         decided = decided.unionByName(d)
     times = F.col("base") + F.round("p").cast("int")
-    out = rated.join(decided, "rid")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("long").alias("taken"))
+    times = F.col("base") + F.round("p").cast("int")
+    return rated.join(decided, "rid").select("rid", "id", "source", "size", "source_size", "target", times.alias("times"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST, share: float = 1.0, group: int = GROUP, landing: int = LANDING, seed: int = SEED) -> DataFrame:
+    """One row per document: id, source, size, source_size, target (of the source), times, taken."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    out = _decide(rows, weights, most, share, group, landing, seed)
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "times", (F.col("times") * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST, share: float = 1.0, group: int = GROUP, landing: int = LANDING, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it, with all columns."""
-    numbered = written(docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]), "numbered")
     at = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    taken = mix(numbered.select("_row", at[text_col], at[source_col]), "_row", at[text_col], at[source_col], **options).where("times > 0").select("_row", "times")
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(v) for c, v in at.items()]), "numbered")
+    rows = numbered.select(F.col("_row").alias("rid"), F.col(at[id_col]).alias("id"), F.col(at[source_col]).cast("string").alias("source"), F.col(at[text_col]).alias("text"))
+    taken = _decide(rows, weights, most, share, group, landing, seed).where("times > 0").select(F.col("rid").alias("_row"), "times")
     repeated = numbered.join(taken, "_row").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return repeated.select(*[F.col(v).alias(c) for c, v in at.items()])

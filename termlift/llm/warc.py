@@ -35,6 +35,7 @@ from ._shared import new_path
 MIN_BYTES, DATE, PER_FILE = 0, "2024-01-01T00:00:00Z", 4000
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
+_MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
 def digest(payload: bytes) -> str:
@@ -98,6 +99,8 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise Broken("bad header line")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+    if missing := [h for h in _MANDATORY if not headers.get(h)]:
+        raise Broken(f"no header {missing[0]}")
     size = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]+", size):
         raise Broken("bad content length")
