@@ -108,3 +108,17 @@ def preflight(spark: SparkSession, path: str, first: str | None = None) -> bool:
     """Whether the file has a line that can be read (and begins so)."""
     head = spark.read.text(path).head(1)
     return bool(head) and (first is None or head[0]["value"].startswith(first))
+
+
+def read_scan_hits(spark: SparkSession, path: str, analysis: str = "Pfam") -> DataFrame:
+    """Occurrences of one analysis in a domain scanner's TSV: entity, feature, name, start, end."""
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).where(F.size(f) >= 8)
+    number = lambda i: F.expr(f"try_cast(split(value, '\t')[{i}] AS INT)")
+    rows = rows.select(F.get(f, 0).alias("entity"), F.get(f, 3).alias("analysis"), F.get(f, 4).alias("feature"), F.get(f, 5).alias("name"), number(6).alias("start"), number(7).alias("end"))
+    return rows.where((F.col("analysis") == analysis) & F.col("start").isNotNull() & F.col("end").isNotNull()).drop("analysis")
+
+
+def md5(spark: SparkSession, path: str) -> str:
+    """The MD5 of a file, for a check against a published one."""
+    return spark.read.format("binaryFile").load(path).select(F.md5("content").alias("h")).first()["h"]
