@@ -5,6 +5,7 @@ A line that has a word fails if one of these holds (counts are of its code point
   exclamation  "!!" occurs for more than a third of its words
   capitals     at least 5 words, and A-Z are more than 7 in 10 of its ASCII letters
   navigation   a quarter or more of its words are separators (a word that is one of | > / » › · •)
+  stutter      more than a third of its words equal the word before in the line
   boilerplate  it holds one of BOILERPLATE, in any case
   repeat       it equals an earlier line of the text
 A document is rejected if it fails the base rules (fewer than 20 words, or more than 30 % of its words in
@@ -86,7 +87,12 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], n
     np.add.at(pairs, np.searchsorted(cuts, at[~cross], "right") - 1, (to - at)[~cross] // 2)
     marks = _sums(np.isin(words, np.array(sorted(_MARKS), _U)), first_word)
 
-    fails = (10 * symbols > chars) | (3 * pairs > line_words) | ((line_words >= 5) & (10 * upper > 7 * (upper + lower))) | (4 * marks >= line_words)
+    same = np.zeros(len(words), bool)
+    same[1:] = words[1:] == words[:-1]
+    same[first_word[:-1][has]] = False
+    stutter = 3 * _sums(same, first_word) > line_words
+
+    fails = stutter | (10 * symbols > chars) | (3 * pairs > line_words) | ((line_words >= 5) & (10 * upper > 7 * (upper + lower))) | (4 * marks >= line_words)
     data = buf.tobytes()
     for m in _PHRASES.finditer(data):
         k = np.searchsorted(cuts, m.start(), "right") - 1

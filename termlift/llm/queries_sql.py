@@ -59,7 +59,7 @@ l AS (
     FROM lines),
 f AS (
     SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup,
-           10 * symbols > chars OR 3 * bangs > len(w) OR (len(w) >= 5 AND 10 * ups > 7 * (ups + lows))
+           10 * symbols > chars OR 3 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > len(w) OR 3 * bangs > len(w) OR (len(w) >= 5 AND 10 * ups > 7 * (ups + lows))
            OR 4 * len(list_filter(w, lambda x: x IN ({_MARKS}))) >= len(w) OR regexp_matches(line, '{_PHRASES}', 'i') AS bad
     FROM l WHERE len(w) > 0),
 g AS (
