@@ -2,14 +2,15 @@
 
 Writing. Each page is a record; of pages with equal payloads the one with the smallest id is a `response`,
 the others are `revisit` records that name it (payloads below `min_bytes` are all responses). Archives are
-plain WARC/1.1 files written by Spark's text writer, so they land in any store that Spark writes to, through
-its committer: a record is its header, a blank line, the payload and CRLF, and the writer's line end is the
-second CRLF. `member` makes a record a gzip member, for archives of that kind.
+WARC/1.1 files written by Spark's text writer, so they land in any store that Spark writes to, through its
+committer. Every record is a gzip member; what the writer puts after each line is an empty gzip member, so
+the file is a valid sequence of members. Plain archives (compressed=False) have CRLF there, which is the
+second one that ends a record.
 
 Reading. An archive's records are parsed one after the other and checked: version line, header, length,
 the blank line after the block, and the digest. After a failed check the reader searches for the next valid
 gzip member or version line, takes up again there, and logs the bytes between as a gap (start, length,
-reason). Every byte of an archive belongs to a record or to a gap.
+reason). Every byte of an archive belongs to a record, an empty member or a gap.
 
 Defined cases: a null html is an empty payload; a null id is written as empty and read back as null, and
 such a page is never referred to; rows that repeat the smallest id of a payload are all responses; an empty
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import new_path
+from ._shared import new_path, written
 
 MIN_BYTES, DATE, PER_FILE = 0, "2024-01-01T00:00:00Z", 4000
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -57,7 +58,10 @@ def encode(page_id: int | None, url: str | None, payload: bytes, sha1: str, refe
 
 def member(record: bytes) -> bytes:
     """The record, whole, as a gzip member."""
-    return gzip.compress(record + b"\r\n", mtime=0)
+    return gzip.compress(record + b"\r\n", 6, mtime=0)
+
+
+_EMPTY = gzip.compress(b"", mtime=0)
 
 
 # ------------------------------------------------------------------ salvage reader
@@ -144,6 +148,12 @@ def salvage(data: bytes) -> Salvage:
         try:
             if data[at : at + 3] == _GZIP:
                 inner, end = _inflate(data, at)
+                if not inner:
+                    if broken >= 0:
+                        out.gap(broken, at, why)
+                        broken = -1
+                    at = end
+                    continue
                 headers, block, stop = _parse(inner, 0)
                 if stop != len(inner):
                     raise Broken("a member holds more than a record")
@@ -167,21 +177,25 @@ def salvage(data: bytes) -> Salvage:
 # ------------------------------------------------------------------ on Spark
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, per_file: int = PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, per_file: int = PER_FILE, compressed: bool = True) -> None:
     """Write a record for every page into archives of at most `per_file` records under path."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns))
-            yield pa.RecordBatch.from_arrays([pa.array([encode(i, u, p or b"", base64.b32encode(bytes.fromhex(d)).decode(), r) for i, u, p, d, r in rows], pa.binary())], names=["record"])
+            made = (encode(i, u, p or b"", base64.b32encode(bytes.fromhex(d)).decode(), r) for i, u, p, d, r in rows)
+            yield pa.RecordBatch.from_arrays([pa.array([member(x) if compressed else x for x in made], pa.binary())], names=["record"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     first = rows.where((F.octet_length("payload") >= min_bytes) & F.col("id").isNotNull()).groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
-    told = rows.join(first, "sha1", "left").select("id", "url", "payload", "sha1", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to"))
+    # a table of its own, whose size the planner knows: only where it is small is it sent to the pages,
+    # else the pages are dealt by digest
+    told = rows.join(written(first, "first"), "sha1", "left").select("id", "url", "payload", "sha1", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to"))
     told = told.withColumn("refers_to", F.when(F.col("id").isNotNull(), F.col("refers_to")))
     lines = told.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n").option("maxRecordsPerFile", per_file).text(path)
+    end = _EMPTY.decode("latin-1") if compressed else "\r\n"
+    lines.write.option("encoding", "ISO-8859-1").option("lineSep", end).option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

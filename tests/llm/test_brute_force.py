@@ -284,7 +284,7 @@ def test_salvage(gz, harm):
 
 def test_gaps_are_logged_on_spark(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 50) for i in range(20)], "page_id long, url string, html string").repartition(1)
-    warc.write_archives(pages, str(tmp_path / "w"))
+    warc.write_archives(pages, str(tmp_path / "w"), compressed=False)
     [f] = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part")]
     data = bytearray(f.read_bytes())
     k = data.index(b"<p>7</p>")
@@ -362,3 +362,15 @@ def test_foreign_text_is_rejected():
     language_id.calibrate(model, {"en": ["the lazy dog runs over the quick fox and jumps away " * 5] * 8})
     assert model.predict(["zzxq wvkj qqpz xkcd jjjw vvvq " * 20])[3][0]
     assert not model.predict(["the quick fox runs over the lazy dog and jumps away " * 5])[3][0]
+
+
+def test_archives_are_valid_gzip(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(i, "u", f"<p>{i % 3}</p>" * 50) for i in range(20)], "page_id long, url string, html string").repartition(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    [f] = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part")]
+    plain = warc.salvage(gzip.decompress(f.read_bytes()))
+    assert len(plain.records) == 20 and not plain.gaps
+    records, gaps = warc.read_archives(spark, str(tmp_path / "w"))
+    assert gaps.count() == 0 and sorted(r.refers_to for r in warc.summary(records).where("record_type = 'revisit'").collect()) == sorted(i % 3 for i in range(3, 20))
