@@ -6,8 +6,9 @@ cosine in double precision. k follows from the number of rows, so that unrelated
 with about `bucket` others; the number of tables follows from k and the recall wanted for a pair that
 lies just at the threshold (closer pairs are found with higher probability).
 
-A bucket is compared in blocks of at most about `block` rows, a task's group being a pair of blocks, so
-a bucket with a third of all rows is spread over many groups. A pair that shares keys in several tables
+Identical vectors are one class, known by a 128-bit hash; only classes are hashed into buckets and compared,
+and a link counts all copies. A bucket is compared in blocks of at most about `block` rows, a task's group being a pair of blocks, so
+a bucket with a third of all classes is spread over many groups. A pair that shares keys in several tables
 counts in the first only, which is seen from the keys that travel with each vector. Groups return a
 count and a local root for each vector, never the pairs.
 
@@ -105,7 +106,7 @@ def _hasher(k: int, tables: int, width: float, seed: int):
 def _comparer(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["tbl", "key", "lo", "hi"]):
-            tbl, key, lo, hi, blk, rid, ids = (table.column(c).to_numpy() for c in ("tbl", "key", "lo", "hi", "blk", "rid", "id"))
+            tbl, key, lo, hi, blk, rid, ids, copies = (table.column(c).to_numpy() for c in ("tbl", "key", "lo", "hi", "blk", "rid", "id", "copies"))
             item = table.column("item").to_numpy()
             vec, keys = table.column("vec").combine_chunks(), table.column("keys")
             keys = np.asarray(pa.concat_arrays([c.flatten() for c in keys.chunks])).reshape(len(rid), -1)
@@ -138,7 +139,9 @@ def _comparer(threshold: float):
                         a, b = a[fresh], b[fresh]
                     if not len(a):
                         continue
-                    n = np.bincount(a, minlength=len(part)) + np.bincount(b, minlength=len(part))
+                    n = np.zeros(len(part), np.int64)
+                    np.add.at(n, a, copies[rows[b]])
+                    np.add.at(n, b, copies[rows[a]])
                     order = np.argsort(ids[rows], kind="stable")  # so that a local root has the smallest id
                     rank = np.empty(len(part), np.int64)
                     rank[order] = np.arange(len(part))
@@ -155,26 +158,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """One row per vector: the id, n_links, component_id (smallest id reachable), kept."""
     k, tables = plan(vectors.count(), threshold, width, bucket, recall)
     base = written(vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")), "vectors")
-    hashed = written(
-        base.where("id is not null and v is not null").mapInArrow(_hasher(k, tables, width, seed), "rid long, id long, vec binary, keys array<int>, item int"),
-        "hashed",
-    )
+    seen = base.where("id is not null and v is not null").mapInArrow(_hasher(k, tables, width, seed), "rid long, id long, vec binary, keys array<int>, item int")
+    seen = written(seen.withColumns({"h1": F.xxhash64("item", "vec"), "h2": F.xxhash64(F.lit(1), "item", "vec")}), "hashed")
+    classes = seen.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("keys").alias("keys"), F.first("item").alias("item"))
+    hashed = written(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
     light = hashed.select("rid", F.posexplode("keys").alias("tbl", "key"))
     counts = light.groupBy("tbl", "key").agg(F.count("*").alias("n")).where("n > 1")
     dealt = blocked(light.join(counts, ["tbl", "key"]), "key", F.col("rid"), "n", block)
     groups = ["tbl", "key", "lo", "hi"]
-    fat = dealt.join(hashed, "rid").select(*groups, "blk", "rid", "id", "vec", "keys", "item")
+    fat = dealt.join(hashed, "rid").select(*groups, "blk", "rid", "id", "copies", "vec", "keys", "item")
     found = written(fat.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(_comparer(threshold), "rid long, id long, n long, root long"), "links")
-    links = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
+    links = found.groupBy("rid").agg(F.sum("n").alias("n"))
     comps = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    return (
-        base.select("rid", "id")
-        .join(links, "rid", "left")
-        .join(comps, F.col("id") == F.col("node"), "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
-            (F.coalesce(F.col("component"), F.col("id")) == F.col("id")).alias("kept"),
-        )
-    )
+    facts = hashed.join(links, "rid", "left").join(comps, F.col("id") == F.col("node"), "left")
+    facts = facts.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    # a table of its own, so that the join's two sides are plain exchanges and a large class is split
+    met = seen.select("rid", "h1", "h2").join(written(facts, "facts"), ["h1", "h2"])
+    out = base.select("rid", "id").join(met.select("rid", "n_links", "component_id"), "rid", "left")
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
