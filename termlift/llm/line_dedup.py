@@ -109,7 +109,9 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         if lo is not None:
             part = part.where(F.col("id") >= lo)
         runs.add(part)
-    lost = hashed.join(runs.frequent(min_docs).where("owner is not null"), ["h1", "h2"]).where("id is null or id <> owner")
+    # a table of its own, so that the join's two sides are plain exchanges and a very common line is split
+    frequent = written(runs.frequent(min_docs).where("owner is not null"), "frequent")
+    lost = hashed.join(frequent, ["h1", "h2"]).where("id is null or id <> owner")
     gone = lost.groupBy(F.col("id").alias("_id"), F.col("print").alias("_print")).agg(F.collect_set("pos").alias("_gone"))
     names = [f"_c{i}" for i in range(len(docs.columns))]  # columns of any name pass through the join
     at = dict(zip(docs.columns, names))
