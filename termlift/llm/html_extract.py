@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -179,13 +180,16 @@ def _left_out(page: list[Event]) -> list[tuple[int, int]]:
         elif e.end and open_.get(e.name):
             close[open_[e.name].pop()] = i
     inside = [(i, j) for i, j in close.items() if page[i].name in ("article", "main")]
+    # what holds the content element or the page's heading is a wrapper, whatever its class says
+    heads = [i for i, e in enumerate(page) if e.name in ("article", "main", "h1") and not e.end]
     out = []
     for i, j in close.items():
         e = page[i]
         if e.name in ("article", "main", "body", "html"):
             continue
         outer = e.name in ("header", "footer") and not (e.name == "header" and any(a < i < b for a, b in inside))
-        if e.name in NEVER or outer or e.hidden or NEVER_MARKS.intersection(e.marks):
+        marked = bool(NEVER_MARKS.intersection(e.marks)) and bisect_right(heads, j) == bisect_right(heads, i)
+        if e.name in NEVER or outer or e.hidden or marked:
             out.append((i, j + 1))
     outer_most: list[tuple[int, int]] = []
     for i, j in sorted(out):

@@ -169,6 +169,11 @@ def test_page():
         assert html_extract.extract(PAGE, weights).split("\n\n") == want
 
 
+def test_a_wrapper_is_not_left_out_for_its_class():
+    page = '<body><div class="page with-sidebar"><h1>Head</h1><p>The text of the page has some words in it.</p><div class="sidebar">Elsewhere</div></div></body>'
+    assert html_extract.extract(page, html_extract.Weights()) == "Head\n\nThe text of the page has some words in it."
+
+
 def test_pages_of_the_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()}
     got = {r.page_id: r for r in queries.op4_html_extract(spark, DIR).collect()}

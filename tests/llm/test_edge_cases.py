@@ -1,7 +1,6 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, an empty table and further columns."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from termlift.llm import embedding_dedup, html_extract, language_id, line_dedup, ngram_join, quality_rules, sequence_packing, source_mixing, token_counts, warc
 
@@ -122,4 +121,3 @@ def test_vectors(spark):
     assert all(got[i][0].n_links == 0 and got[i][0].kept for i in (3, 4, 5, 6, 7, 8))
     assert got[None][0].n_links == 0
     assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
-    assert F is not None
