@@ -6,7 +6,6 @@ from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # The evidence codes of the Gene Ontology.
 EXPERIMENTAL = ("EXP", "IDA", "IPI", "IMP", "IGI", "IEP")

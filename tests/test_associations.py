@@ -2,7 +2,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from termlift.operators import associations as A
 from termlift.operators import features, shrinkage
@@ -126,4 +125,3 @@ def test_extended_support_reaches_every_shrunk_pair(spark):
     assert got["A,B", "T"].a == 0 and got["A,B", "T"].p_raw == 1.0 and got["A,B", "T"].p_value < 1
     assert ("C", "T") not in got
     assert got["A,B", "T"].hyper_score == 0
-    assert F is not None

@@ -1,7 +1,6 @@
 import gzip
 
 import pytest
-from pyspark.sql import functions as F
 
 from termlift.operators import features as X
 from termlift.operators import filters
@@ -148,4 +147,3 @@ def test_extract_lines(spark, tmp_path):
     S.write_ids(spark.createDataFrame([("b",), ("a",), ("b",)], "entity string"), str(tmp_path / "w"))
     assert [r.value for r in spark.read.text(str(tmp_path / "w")).collect()] == ["a", "b"]
     assert S.species_paths("d", "human")["annotations"] == "d/goa_human.gaf.gz"
-    assert F is not None
