@@ -287,7 +287,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     facts = classes.select("c1", "c2", "rep", "copies").join(links, ["c1", "c2"], "left").join(comps, F.col("rep") == F.col("node"), "left")
     facts = facts.select("c1", "c2", F.col("rep").alias("class_id"), F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("id", "c1", "c2").join(facts, ["c1", "c2"], "left")
+    # a table of its own, so that the join's two sides are plain exchanges and a large class is split
+    out = signed.select("id", "c1", "c2").join(written(facts, "facts"), ["c1", "c2"], "left")
     alone = F.col("class_id").isNull() | F.col("id").isNull()
     return out.select(
         F.col("id").alias(id_col),
