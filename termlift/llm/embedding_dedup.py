@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import blocked, components, group_starts, local_roots, mix64, whole_groups, written
+from ._shared import blocked, components, forget, group_starts, local_roots, mix64, whole_groups, written
 
 _U = np.uint64
 THRESHOLD, WIDTH, BUCKET, BLOCK, RECALL, SEED = 0.9, 1.0, 512, 1024, 0.95, 20240901
@@ -173,7 +173,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     facts = hashed.join(links, "rid", "left").join(comps, F.col("id") == F.col("node"), "left")
     facts = facts.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     # a table of its own, so that the join's two sides are plain exchanges and a large class is split
-    met = seen.select("rid", "h1", "h2").join(written(facts, "facts"), ["h1", "h2"])
+    facts = written(facts, "facts")
+    forget(vectors.sparkSession, hashed, found)
+    met = seen.select("rid", "h1", "h2").join(facts, ["h1", "h2"])
     out = base.select("rid", "id").join(met.select("rid", "n_links", "component_id"), "rid", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
