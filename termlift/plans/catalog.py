@@ -17,6 +17,7 @@ from termlift.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
+_WHOLE: dict[str, Query] = {}
 ALPHA = 0.01
 
 
@@ -25,6 +26,12 @@ def _query(f: Query) -> Query:
     return f
 
 
+def _whole(f: Query) -> Query:
+    """A query with runs of up to features.MAX_RUN, where the statement of its short form has runs of two only."""
+    _WHOLE[f.__name__] = f
+    return f
+
+
 # ------------------------------------------------------------------ roles
 
 
@@ -297,8 +304,8 @@ def both_annotated(spark, d):
 # ------------------------------------------------------------------ shrinkage
 
 
-def _shrunk(spark, d):
-    a = features.architectures(occurrences(spark, d), ["position", "part"], 2)
+def _shrunk(spark, d, max_run=2):
+    a = features.architectures(occurrences(spark, d), ["position", "part"], max_run)
     feats, ts = features.entity_features(a), entity_terms(spark, d)
     meta = features.metadata(feats)
     pairs = shrinkage.extended_pairs(associations.cooccurrence(feats, ts), meta)
@@ -306,17 +313,33 @@ def _shrunk(spark, d):
     return shrinkage.shrink(cut(rows), meta)
 
 
+def _shrunk_pvalues(rows):
+    return rows.where(F.col("feature").contains(",")).select("feature", "term", "a", _logp("p_raw", "neg_log10_raw"), _logp("prior", "neg_log10_prior"), _logp("p_value", "neg_log10_p"))
+
+
+def _shrunk_stats(rows):
+    out = shrinkage.statistics(rows.withColumns({"p_raw": F.round("p_raw", 7), "p_value": F.round("p_value", 7)}), 0.01)
+    return out.withColumns({"pct_increased": F.round("pct_increased", 4), "median_ratio": F.round("median_ratio", 4)})
+
+
 @_query
 def shrink_pvalues(spark, d):
-    rows = _shrunk(spark, d).where(F.col("feature").contains(","))
-    return rows.select("feature", "term", "a", _logp("p_raw", "neg_log10_raw"), _logp("prior", "neg_log10_prior"), _logp("p_value", "neg_log10_p"))
+    return _shrunk_pvalues(_shrunk(spark, d))
 
 
 @_query
 def shrink_stats(spark, d):
-    rows = _shrunk(spark, d)
-    out = shrinkage.statistics(rows.withColumns({"p_raw": F.round("p_raw", 7), "p_value": F.round("p_value", 7)}), 0.01)
-    return out.withColumns({"pct_increased": F.round("pct_increased", 4), "median_ratio": F.round("median_ratio", 4)})
+    return _shrunk_stats(_shrunk(spark, d))
+
+
+@_whole
+def shrink_pvalues_whole(spark, d):
+    return _shrunk_pvalues(_shrunk(spark, d, features.MAX_RUN))
+
+
+@_whole
+def shrink_stats_whole(spark, d):
+    return _shrunk_stats(_shrunk(spark, d, features.MAX_RUN))
 
 
 # ------------------------------------------------------------------ ontology
@@ -487,9 +510,24 @@ def full_pipeline(spark, d):
     return got.significant.select("feature", "term", "a", _logp("p_value", "neg_log10_p"), _logp("q_value", "neg_log10_q"))
 
 
+@_whole
+def full_pipeline_whole(spark, d):
+    """Significant associations and, from those the level filter leaves, annotations with their ancestors; a pair that is only one of the two has nulls."""
+    params = pipeline.Parameters(alpha=0.2, with_shrinkage=True, with_ontology=True)
+    got = pipeline.associate(features.architectures(occurrences(spark, d), ["position", "part"], params.max_run), entity_terms(spark, d), params, edges(spark, d))
+    hits = got.significant.select("feature", "term", "a", _logp("p_value", "neg_log10_p"), _logp("q_value", "neg_log10_q"))
+    notes = got.annotations.select("feature", "term", "annotation_type", "direct_source_term", (F.round("association_score", 3) + 0.0).alias("association_score"))
+    return hits.join(notes, ["feature", "term"], "full")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def whole_queries() -> dict[str, Query]:
+    """Queries without a statement of their own; tests hold them against widened ones."""
+    return dict(_WHOLE)
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
