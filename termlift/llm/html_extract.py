@@ -59,7 +59,8 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute, name and value; matched one after the other, so that no name is found inside a value.
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _PARTS = re.compile(r"[a-z0-9]+")
 
 
@@ -81,7 +82,7 @@ class Event:
 
 def _marks(attrs: str) -> tuple[tuple[str, ...], bool]:
     marks, hidden = [], False
-    for name, a, b, c in _MARK.findall(attrs):
+    for name, a, b, c in _ATTRIBUTE.findall(attrs):
         value, name = (a or b or c).lower(), name.lower()
         if name in ("class", "id", "role"):
             marks += _PARTS.findall(value)

@@ -174,6 +174,15 @@ def test_a_wrapper_is_not_left_out_for_its_class():
     assert html_extract.extract(page, html_extract.Weights()) == "Head\n\nThe text of the page has some words in it."
 
 
+def test_marks_are_of_whole_attribute_names():
+    kept = '<p title="a hidden gem">First words of the text.</p><p data-id="share" data-x="hidden">Second <a href="/hidden-x">link words</a> and <a href=page.php?id=menu>more</a> of it.</p><div data-class=\'comments\'>Third words that are many enough to count.</div>'
+    gone = ['<p hidden>No.</p>', '<p HIDDEN="">No.</p>', '<p title="a b" hidden class=x>No.</p>', '<p aria-hidden = true>No.</p>', '<p style="color:red; display: none">No.</p>', "<div data-x='class=\"y\"' id='share-box'>No.</div>"]
+    for tag in gone:
+        page = f"<body><article>{kept}{tag}<p>Last words that are many enough to count here, as a page ends with them.</p></article></body>"
+        assert html_extract.extract(page, html_extract.Weights()) == "First words of the text.\n\nSecond link words and more of it.\n\nThird words that are many enough to count.\n\nLast words that are many enough to count here, as a page ends with them."
+    assert html_extract._marks(' href="page.php?id=menu" data-id="share" title="x class=ad"') == ((), False)
+
+
 def test_pages_of_the_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()}
     got = {r.page_id: r for r in queries.op4_html_extract(spark, DIR).collect()}
