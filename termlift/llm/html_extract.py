@@ -53,7 +53,7 @@ TEXT_TAGS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)(?=[\s/>])(?P<rawattrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>"
     r"|(?P<text>[^<]+|<)",
@@ -61,6 +61,7 @@ _TOKEN = re.compile(
 )
 #: One attribute, name and value; matched one after the other, so that no name is found inside a value.
 _ATTRIBUTE = re.compile(r"([^\s/>=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in "script style noscript template textarea iframe svg title".split()}
 _PARTS = re.compile(r"[a-z0-9]+")
 
 
@@ -92,8 +93,14 @@ def _marks(attrs: str) -> tuple[tuple[str, ...], bool]:
 
 
 def events(page: str) -> list[Event]:
+    """Text and tags. What a raw element holds is skipped up to its end tag; one that has none is a tag like others,
+    but a script then goes on to the end of the page."""
     out: list[Event] = []
-    for m in _TOKEN.finditer(page):
+    at, endless = 0, set()
+    while m := _TOKEN.match(page, at):
+        at = m.end()
+        name = (m["raw"] or m["name"] or "").lower()
+        attrs = m["rawattrs"] if m["raw"] else m["attrs"]
         if m["text"] is not None:
             text = html.unescape(m["text"]) if "&" in m["text"] else m["text"]
             if out and not out[-1].name:  # a "<" that begins no tag is text
@@ -101,11 +108,20 @@ def events(page: str) -> list[Event]:
                 out[-1].words = len(out[-1].text.split())
             else:
                 out.append(Event("", text, words=len(text.split())))
-        elif m["raw"]:
-            out.append(Event(m["raw"].lower() + "*"))
-        elif m["name"]:
-            marks, hidden = _marks(m["attrs"]) if m["attrs"] and not m["end"] else ((), False)
-            out.append(Event(m["name"].lower(), end=bool(m["end"]), marks=marks, hidden=hidden))
+            continue
+        if m["raw"]:
+            end = None
+            if name == "svg" and attrs.endswith("/"):
+                end = m
+            elif name not in endless and not (end := _RAW_END[name].search(page, at)):
+                endless.add(name)
+            if end or name == "script":
+                at = end.end() if end else len(page)
+                out.append(Event(f"{name}*"))
+                continue
+        if name:
+            marks, hidden = _marks(attrs) if attrs and not m["end"] else ((), False)
+            out.append(Event(name, end=bool(m["end"]), marks=marks, hidden=hidden))
         else:
             out.append(Event("!*"))
     return out

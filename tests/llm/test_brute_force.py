@@ -183,6 +183,19 @@ def test_marks_are_of_whole_attribute_names():
     assert html_extract._marks(' href="page.php?id=menu" data-id="share" title="x class=ad"') == ((), False)
 
 
+RAW_HEAD, RAW_TAIL = "Some words of the text come before.", "And the last words of the text come after it."
+
+
+@pytest.mark.parametrize("tag", ["<title-bar>", "<style-guide></style-guide>", "<template-card />", '<svg width="1" />', '<svg aria-label="a > b"/>', "<svg><path/></svg >", "<textarea>", "<iframe src=x>", "<template>", "<svg><svg/>", "<TITLE>a</p></title x>", "<script>a('</p>')</script\n>"])
+def test_raw_tags_do_not_swallow_the_page(tag):
+    page = f"<body><article><p>{RAW_HEAD}</p>{tag}<p>{RAW_TAIL}</p></article></body>"
+    assert html_extract.extract(page, html_extract.Weights()) == f"{RAW_HEAD}\n\n{RAW_TAIL}"
+
+
+def test_an_open_script_goes_on_to_the_end():
+    assert html_extract.extract(f"<p>{RAW_HEAD}</p><script>var a = 1;<p>{RAW_TAIL}</p>", html_extract.Weights()) == RAW_HEAD
+
+
 def test_pages_of_the_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()}
     got = {r.page_id: r for r in queries.op4_html_extract(spark, DIR).collect()}
