@@ -2,14 +2,15 @@
 
 Text is lower-cased, everything but letters becomes a space, runs of spaces one. A model of order 5 is
 trained for each language on at most `per_lang` labelled documents (those with the smallest hash of their
-id; a document longer than `longest` characters is not taken, so the sample has a proven bound). The n-grams
+id; of a document longer than `longest` characters its first ones, so the sample has a proven bound). The n-grams
 of all languages lie in one sorted array of hashes for each order, with the interpolated log probability and
 the back-off weight of each language beside them. Looking up an n-gram is one search for all languages.
 
 A text's language is the one with the lowest cross-entropy per character over the whole text. The score is
 the softmax of the negated cross-entropies at a temperature calibrated on documents that were kept out of
 the counts; a text is rejected if it has no letter, or if its cross-entropy, allowing for its length, is above
-what all but `reject_rate` of the calibration documents have, with a margin of `slack` nats per character.
+what all but `reject_rate` of its language's calibration documents have, with a margin of `slack` nats per
+character. Of a language with too few documents the ends of their texts are kept out instead.
 
 Defined cases: null, empty or letterless text is `und` with score 0 and rejected; ties go to the first
 language by name; rows with a null label are not learned from; without any labelled row every text is `und`;
@@ -83,7 +84,7 @@ class Model:
     back: list[np.ndarray]  # per order, log back-off of the n-gram as a context
     floor: float
     temperature: float = 1.0
-    limits: tuple[float, float] = (np.inf, 0.0)  # rejected above limits[0] + limits[1] / sqrt(length)
+    limits: tuple[np.ndarray | float, np.ndarray | float] = (np.inf, 0.0)  # per language: rejected above limits[0] + limits[1] / sqrt(length)
     starts: list | None = None
 
     def find(self, n: int, h: np.ndarray) -> np.ndarray:
@@ -145,7 +146,8 @@ class Model:
         low = h.min(1)
         score = 1 / np.exp(np.clip((low[:, None] - h) / self.temperature, -700, 0)).sum(1)
         none = letters == 0
-        bad = none | (low > self.limits[0] + self.limits[1] / np.sqrt(np.maximum(length, 1)))
+        base, spread = (np.broadcast_to(x, len(self.langs))[best] for x in self.limits)
+        bad = none | (low > base + spread / np.sqrt(np.maximum(length, 1)))
         return np.where(none, -1, best), np.where(none, 0.0, score), np.where(none, 0.0, low), bad
 
 
@@ -216,7 +218,10 @@ def train(samples: dict[str, list[str]]) -> Model:
 
 
 def calibrate(model: Model, samples: dict[str, list[str]], reject_rate: float = REJECT_RATE, slack: float = SLACK) -> None:
-    """Set the temperature (least log loss) and the limits of the cross-entropy from documents kept out."""
+    """Set the temperature (least log loss) and each language's limits of the cross-entropy from documents kept out.
+
+    What a language's own documents spread around their median counts, but not below what all languages' do
+    around theirs, since few documents tell little of it; a language of which none is recognized has no limit."""
     texts = [t for lang in model.langs for t in samples.get(lang, [])]
     truth = np.array([model.langs.index(lang) for lang in model.langs for _ in samples.get(lang, [])])
     if not len(truth):
@@ -229,9 +234,15 @@ def calibrate(model: Model, samples: dict[str, list[str]], reject_rate: float =
         losses.append((np.log(np.exp(z).sum(1)) - z[np.arange(len(truth)), truth]).mean())
     model.temperature = float(grid[int(np.argmin(losses))])
     low, root = h.min(1), np.sqrt(np.maximum(length, 1))
-    middle = float(np.median(low))
-    spread = float(np.quantile(np.maximum(low - middle, 0) * root, 1 - reject_rate))
-    model.limits = (middle + slack, max(spread, 1.0) * 1.5)
+    own = h.argmin(1) == truth  # not those with another language's label
+    middle = np.array([np.median(low[own & (truth == j)]) if (own & (truth == j)).any() else np.inf for j in range(len(model.langs))])
+    if not own.any():
+        return
+    above = np.where(own, np.maximum(low - np.where(own, middle[truth], 0.0), 0) * root, 0.0)
+    most = lambda who: float(np.quantile(above[who], 1 - reject_rate)) if who.any() else 0.0
+    least = max(most(own), 1.0)
+    spread = np.array([max(most(own & (truth == j)), least) for j in range(len(model.langs))])
+    model.limits = (middle + slack, spread * 1.5)
 
 
 def held_out(id_col: Column) -> Column:
@@ -243,7 +254,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     per_lang * longest characters for a language."""
     rows = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit(3), F.col(id_col)).alias("h"))
-    rows = rows.where(F.char_length("text") <= longest)
+    rows = rows.withColumn("text", F.substring("text", 1, longest))
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return Model([], [], [], [], 0.0)
@@ -257,7 +268,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     kept_out: dict[str, list[str]] = {}
     every = max(2, round(1 / CALIBRATION))
     for r in first.select("lang", "k", "text").orderBy("lang", "k").collect():
-        (kept_out if r["k"] % every == 0 else train_set).setdefault(r["lang"], []).append(r["text"])
+        if n[r["lang"]] < every:
+            cut = len(r["text"]) - len(r["text"]) // every
+            train_set.setdefault(r["lang"], []).append(r["text"][:cut])
+            kept_out.setdefault(r["lang"], []).append(r["text"][cut:])
+        else:
+            (kept_out if r["k"] % every == 0 else train_set).setdefault(r["lang"], []).append(r["text"])
     for lang in kept_out:
         train_set.setdefault(lang, [])
     model = train({k: v for k, v in train_set.items() if v})

@@ -391,6 +391,38 @@ def test_foreign_text_is_rejected():
     assert not model.predict(["the quick fox runs over the lazy dog and jumps away " * 5])[3][0]
 
 
+def many_letters(rng, n):
+    """Text of a language with thousands of letters, of which some are frequent."""
+    return " ".join("".join(chr(0x4E00 + int(3000 * rng.random() ** 2)) for _ in range(12)) for _ in range(n))
+
+
+def few_letters(rng, n):
+    return " ".join(rng.choice("the quick brown fox jumps over a lazy dog and runs away from it".split()) for _ in range(n))
+
+
+def test_long_texts_of_an_uneven_language_are_not_rejected():
+    rng = random.Random(5)
+    made = {"en": few_letters, "zh": many_letters}
+    texts = {lang: [f(rng, 100) for _ in range(n)] for (lang, f), n in zip(made.items(), (40, 20))}
+    model = language_id.train({k: v[5:] for k, v in texts.items()} | {"en": texts["en"][10:]})
+    language_id.calibrate(model, {"en": [*texts["en"][:10], few_letters(rng, 100)], "zh": texts["zh"][:5]})
+    for n in (20, 100, 20_000):
+        best, _, _, bad = model.predict([f(rng, n) for f in made.values()])
+        assert [model.langs[b] for b in best] == ["en", "zh"] and not bad.any()
+    assert model.predict(["zzxq wvkj qqpz xkcd jjjw vvvq " * 2000])[3][0]
+
+
+def test_languages_of_long_or_few_documents_are_learned(spark):
+    rng = random.Random(6)
+    rows = [(i, few_letters(rng, 6000), "en") for i in range(20)] + [(i, many_letters(rng, 300), "zh") for i in range(100, 104)]
+    assert min(len(t) for _, t, lang in rows if lang == "en") > language_id.LONGEST
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.langs == ["en", "zh"] and np.isfinite(model.limits[0]).all()
+    got = language_id.predict(docs, model).collect()
+    assert all(r.lang_pred == ("zh" if r.doc_id >= 100 else "en") and not r.rejected for r in got)
+
+
 def test_archives_are_valid_gzip(spark, tmp_path):
     import gzip
 
