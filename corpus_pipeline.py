@@ -26,9 +26,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    gone = ngram_join.similar(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of each group of near copies, that with the smallest id. Where ids repeat or are null, rows are
+    numbered in the order of their ids, so that each is a document of its own."""
+    columns, key = docs.columns, "doc_id"
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        key = "_row"
+        docs = written(docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64(*columns)).withColumn(key, F.monotonically_increasing_id()), "numbered")
+    gone = ngram_join.similar(docs, id_col=key).where("not kept").select(F.col(key).alias("_gone")).distinct()
+    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti").select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -232,6 +232,9 @@ def _verifier(n: int, bands: int, rows: int, threshold: float, tolerance: float)
                     sets += [np.unique(hashes[s:e]) for s, e in zip(first[:-1], first[1:])]
                 done += len(chunk)
             good = np.flatnonzero(np.concatenate(good))  # not another row's text under a repeated id
+            place = np.searchsorted(group_starts([table.column(c).to_numpy() for c in _GROUP]), good, "right")
+            _, once = np.unique(np.stack([place, c1[good], c2[good]]), axis=1, return_index=True)
+            good = good[np.sort(once)]  # nor the same class again for a repeated row
             x = _read(table.take(pa.array(good)))
             sets = [sets[i] for i in good]
             group = np.repeat(np.arange(len(x["cuts"]) - 1), np.diff(x["cuts"]))

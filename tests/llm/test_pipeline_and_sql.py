@@ -64,6 +64,23 @@ def test_stages(spark):
     assert pieces == times
 
 
+def test_one_row_of_each_group_where_ids_repeat(spark):
+    words = [f"w{i}" for i in range(100)]
+    a, near, b = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"other{i}" for i in range(40))
+    rows = [(2, a), (2, a), (2, b), (3, near), (1, near), (4, b), (None, a), (5, "alone here"), (5, "alone here"), (6, None), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.drop_near_copies(spark, docs, DIR)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, near), (2, b), (5, "alone here"), (6, None), (6, None)], key=str)
+
+
+def test_links_where_rows_repeat(spark):
+    words = [f"w{i}" for i in range(100)]
+    a, near = " ".join(words), " ".join([*words[:-1], "x"])
+    docs = spark.createDataFrame([(1, a), (1, a), (1, a.replace(" ", "  ")), (2, near), (2, near)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_copies, r.n_links) for r in ngram_join.similar(docs).collect()) == [(1, 3, 4)] * 3 + [(2, 2, 4)] * 2
+
+
 def test_run_agrees_with_itself(spark):
     a, b = ({(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, DIR).collect()} for _ in range(2))
     assert a == b and len(a) > 0
