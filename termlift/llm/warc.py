@@ -8,9 +8,11 @@ the file is a valid sequence of members. Plain archives (compressed=False) have
 second one that ends a record.
 
 Reading. An archive's records are parsed one after the other and checked: version line, header, length,
-the blank line after the block, and the digest. After a failed check the reader searches for the next valid
+the blank line after the block, and the sha1 digests of the block and the payload (which for application/http
+is what follows the HTTP header, as sent or without its chunks). After a failed check the reader searches for the next valid
 gzip member or version line, takes up again there, and logs the bytes between as a gap (start, length,
-reason). Every byte of an archive belongs to a record, an empty member or a gap.
+reason). Every byte of an archive belongs to a record, an empty member or a gap. A member that holds several records
+counts with its first; the others, and what is broken between them, have its start and length 0.
 
 Defined cases: a null html is an empty payload; a null id is written as empty and read back as null, and
 such a page is never referred to; rows that repeat the smallest id of a payload are all responses; an empty
@@ -89,6 +91,39 @@ class Broken(ValueError):
     pass
 
 
+def _unchunked(body: bytes) -> bytes | None:
+    """The body without its chunks, or None where it has none."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9a-fA-F]+)[^\r\n]*\r\n").match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size + 2
+    return None
+
+
+def _agrees(claimed: str, data: bytes) -> bool:
+    """Whether data has that digest, in base 32 or hexadecimal."""
+    return claimed.upper() == digest(data) or claimed.lower() == hashlib.sha1(data).hexdigest()
+
+
+def _check(headers: dict[str, str], block: bytes) -> None:
+    of = lambda name: x[5:] if (x := headers.get(name, ""))[:5].lower() == "sha1:" else None
+    if (claimed := of("warc-block-digest")) is not None and not _agrees(claimed, block):
+        raise Broken("block digest differs")
+    claimed = of("warc-payload-digest")
+    if claimed is None or headers.get("warc-type") in ("revisit", "continuation") or "warc-segment-number" in headers:
+        return  # the payload is not, or not wholly, in this record
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        if not _agrees(claimed, block):
+            raise Broken("digest differs")
+        return
+    body = block.partition(b"\r\n\r\n")[2]
+    if not _agrees(claimed, body) and not ((plain := _unchunked(body)) is not None and _agrees(claimed, plain)):
+        raise Broken("digest differs")
+
+
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Header, block and end of the record at `at`."""
     v = _VERSION.match(data, at)
@@ -112,9 +147,7 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Broken("block does not end where it should")
     block = data[start:stop]
-    claimed = headers.get("warc-payload-digest", "")
-    if claimed.startswith("sha1:") and headers.get("warc-type") != "revisit" and claimed[5:] != digest(block):
-        raise Broken("digest differs")
+    _check(headers, block)
     return headers, block, stop + 4
 
 
@@ -140,6 +173,26 @@ def _next(data: bytes, at: int) -> int:
     return min(found)
 
 
+def _members(inner: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[str]]:
+    """The records of a member, and why what lies between them is none. Without any record: Broken."""
+    found, faults, at, lost = [], [], 0, False
+    while at < len(inner):
+        try:
+            headers, block, at = _parse(inner, at)
+        except Broken as e:
+            if not lost:
+                faults.append(str(e))
+            lost = True
+            v = _VERSION.search(inner, at + 1)
+            at = v.start() if v else len(inner)
+            continue
+        found.append((headers, block))
+        lost = False
+    if not found:
+        raise Broken(faults[0])
+    return found, faults
+
+
 def salvage(data: bytes) -> Salvage:
     """All records of an archive that pass their checks, and the gaps between them."""
     out, at, broken = Salvage(), 0, -1
@@ -154,11 +207,10 @@ def salvage(data: bytes) -> Salvage:
                         broken = -1
                     at = end
                     continue
-                headers, block, stop = _parse(inner, 0)
-                if stop != len(inner):
-                    raise Broken("a member holds more than a record")
+                found, faults = _members(inner)
             else:
                 headers, block, end = _parse(data, at)
+                found, faults = [(headers, block)], []
         except Broken as e:
             if broken < 0:
                 broken, why = at, str(e)
@@ -167,7 +219,8 @@ def salvage(data: bytes) -> Salvage:
         if broken >= 0:
             out.gap(broken, at, why)
             broken = -1
-        out.records.append(Record(at, end - at, headers, block))
+        out.records += [Record(at, 0 if k else end - at, headers, block) for k, (headers, block) in enumerate(found)]
+        out.gaps += [(at, 0, fault) for fault in faults]
         at = end
     if broken >= 0:
         out.gap(broken, len(data), why)

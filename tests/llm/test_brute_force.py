@@ -1,6 +1,8 @@
 """Operators that SQL cannot express, against plain code on small data."""
 
 import collections
+import gzip
+import hashlib
 import html
 import math
 import random
@@ -309,6 +311,27 @@ def test_salvage(gz, harm):
     assert sum(r.length for r in got.records) + sum(n for _, n, _ in got.gaps) == len(data)
 
 
+def foreign(i, http, body, claim=None, block_claim=None):
+    """A response as crawlers write it: the HTTP header stands in the block before the payload."""
+    block = http + b"\r\n\r\n" + body
+    lines = ["WARC/1.0", "WARC-Type: response", f"WARC-Record-ID: <urn:page:{i}>", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Block-Digest: sha1:{block_claim or warc.digest(block)}"]
+    lines += [f"WARC-Payload-Digest: sha1:{claim or warc.digest(body)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("form", ["plain", "member", "one member"])
+def test_archives_of_others(form):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html"
+    good = [foreign(0, http, b"<p>one</p>"), foreign(1, http, b""), foreign(2, http, b"3\r\nabc\r\n2\r\nde\r\n0\r\n\r\n", warc.digest(b"abcde")), foreign(3, http, b"x", hashlib.sha1(b"x").hexdigest())]
+    bad = [foreign(8, http, b"y", warc.digest(b"z")), foreign(9, http, b"y", None, warc.digest(b"z"))]
+    records = [*good[:2], bad[0], *good[2:], bad[1]]
+    data = b"".join(records) if form == "plain" else b"".join(map(gzip.compress, records)) if form == "member" else gzip.compress(b"".join(records))
+    got = warc.salvage(data)
+    assert [r.headers["warc-record-id"] for r in got.records] == [f"<urn:page:{i}>" for i in range(4)]
+    assert [why for _, _, why in got.gaps] == ["digest differs", "block digest differs"]
+    assert sum(r.length for r in got.records) + sum(n for _, n, _ in got.gaps) == len(data)
+
+
 def test_gaps_are_logged_on_spark(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 50) for i in range(20)], "page_id long, url string, html string").repartition(1)
     warc.write_archives(pages, str(tmp_path / "w"), compressed=False)
