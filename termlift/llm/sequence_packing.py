@@ -11,15 +11,19 @@ once more in larger groups, so that what is lost is a few sequences for every `g
 
 The ids of byte_bpe_50k.json are made by tiktoken from the same vocabulary as ranks, which is four times as
 fast as the tokenizers library here and gives the same ids (tests/llm compares them; `engine="tokenizers"`
-uses that library). Strings of special tokens in a text are ordinary text.
+uses that library). Strings of special tokens in a text are ordinary text. tiktoken cannot split a text with about
+a million white-space characters in a row; such a run is cut out where the split pattern ends a token anyway and
+merged as one token of its own.
 
-Defined cases: a null or empty text is the end id alone; rows that repeat an id are documents of their own;
-an empty table gives an empty result; further columns of the input are ignored.
+Defined cases: a null or empty text is the end id alone; a text of any length and make is encoded whole; rows
+that repeat an id are documents of their own; ties between sequences go to the fullest; an empty table gives an
+empty result; further columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,9 +37,25 @@ from ._shared import written
 
 LENGTH, END_ID, GROUP, SEED = 2048, 0, 16384, 5
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of Unicode white space that are long enough to be cut out where the split pattern fails.
+_LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 _made: dict[tuple[str, str], object] = {}
 
 
+def _in_parts(text: str) -> Iterator[tuple[bool, str]]:
+    """The text in order, as (is one token of the split pattern, part). A run of white space is one token but
+    for its last character, which begins the next one; at the end of the text it is one token."""
+    at = 0
+    for m in _LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        if m.start() > at:
+            yield False, text[at : m.start()]
+        yield True, text[m.start() : end]
+        at = end
+    if at < len(text):
+        yield False, text[at:]
+
+
 def encoder(json_path: str, ranks_path: str | None, engine: str = "tiktoken"):
     """A function from a text to its ids as little-endian uint32."""
     if (json_path, engine) not in _made:
@@ -43,8 +63,15 @@ def encoder(json_path: str, ranks_path: str | None, engine: str = "tiktoken"):
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-            made = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-            _made[json_path, engine] = lambda text: made.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+            split, whole = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("split", _SPLIT), ("whole", r"(?s).+")))
+
+            def encode(text: str) -> np.ndarray:
+                try:
+                    return split.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+                except ValueError:  # the pattern's stack is too small for a run of white space
+                    return np.concatenate([(whole if one else split).encode_to_numpy(x, disallowed_special=()) for one, x in _in_parts(text)]).astype("<u4", copy=False)
+
+            _made[json_path, engine] = encode
         else:
             from tokenizers import Tokenizer
 

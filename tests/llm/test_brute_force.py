@@ -272,6 +272,38 @@ def test_both_engines_agree_on_odd_texts():
         assert a(text).tolist() == b(text).tolist(), text
 
 
+LONG_RUNS = {
+    "spaces": "x" + " " * 1_000_100, "lines": "\n" * 1_000_100 + "word", "mixed": "a  " + " \t" * 600_000 + " b" + "\n" * 1_000_100 + "c", "wide": "a" + "\u3000  " * 400_000 + " b\n",
+    "letters": "x" * 1_000_100, "no space": "\x1c" * 1_000_100, "signs": "-" * 1_000_100,
+}
+
+
+@pytest.mark.parametrize("name", LONG_RUNS)
+def test_long_runs_against_the_tokenizers_library(name):
+    paths = sequence_packing.vocabulary()
+    a, b = (sequence_packing.encoder(*paths, engine)(LONG_RUNS[name]) for engine in ("tiktoken", "tokenizers"))
+    assert np.array_equal(a, b)
+
+
+def test_runs_of_five_million_have_the_ids_of_their_unit():
+    encode = sequence_packing.encoder(*sequence_packing.vocabulary())
+    assert (encode(" " * 5_000_000) == encode(" ")[0]).all()
+    lines = encode("y" + "\n" * 5_000_000 + "y")
+    assert len(lines) == 2 + 2_500_000 and len(set(lines[1:-2].tolist())) == 1
+
+
+def test_long_runs_are_packed(spark):
+    import corpus_pipeline
+
+    rows = list(enumerate(LONG_RUNS.values()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    encode = sequence_packing.encoder(*sequence_packing.vocabulary())
+    total = collections.Counter()
+    for r in corpus_pipeline.pack_sequences(spark, docs, DIR).collect():
+        total[r.doc_id] += r.length
+    assert total == {i: len(encode(t)) + 1 for i, t in rows}
+
+
 # ------------------------------------------------------------------ warc
 
 
