@@ -56,8 +56,12 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_written_path", None)
         if path:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 # ------------------------------------------------------------------ text buffers

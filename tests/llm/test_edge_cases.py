@@ -1,5 +1,8 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, an empty table and further columns."""
 
+import os
+import time
+
 import pytest
 
 from termlift.llm import embedding_dedup, html_extract, language_id, line_dedup, ngram_join, quality_rules, sequence_packing, source_mixing, token_counts, warc
@@ -56,6 +59,51 @@ def test_lines(docs):
     assert line_dedup.clean(docs.limit(0)).count() == 0
 
 
+def test_lines_of_clashing_columns(spark):
+    df = spark.createDataFrame([(i, f"a line of text that all of them hold\nown {i}", 9, "x", None, 1.5, 0) for i in range(3)], "doc_id long, text string, n_lines int, kept_text string, n_dropped int, _gone double, n_chars int")
+    out = line_dedup.clean(df)
+    assert out.columns == ["doc_id", "text", "_gone", "n_chars", "kept_text", "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in out.collect()) == [(0, "own 0", 2, 1), (1, "own 1", 2, 1), (2, "a line of text that all of them hold\nown 2", 2, 0)]
+    kept = line_dedup.cleaned(df)
+    assert kept.schema.simpleString() == df.schema.simpleString()
+    assert sorted((r.doc_id, r.text, r.n_lines, r.kept_text, r.n_chars) for r in kept.collect())[0] == (0, "own 0", 9, "x", 5)
+
+
+def test_work_on_a_text_is_in_proportion_to_its_lines(spark):
+    """A text of 200,000 lines (10 MB) that loses half of them; made again for every line it would take hours."""
+    lines = [f"this is line number {i} of a long text of many lines" for i in range(200_000)]
+    rows = [(i, "\n".join(lines[: 100_000 if i else 200_000])) for i in range(3)]
+    began = time.monotonic()
+    got = by_id(line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert time.monotonic() - began < 90
+    assert [(got[i][0].n_lines, got[i][0].n_dropped) for i in range(3)] == [(200_000, 100_000), (100_000, 100_000), (100_000, 0)]
+    assert got[0][0].kept_text == "\n".join(lines[100_000:]) and got[1][0].kept_text == "" and got[2][0].kept_text == rows[2][1]
+
+
+def test_runs_are_merged_without_dealing_or_sorting(spark, monkeypatch):
+    plans = []
+
+    class Seen(line_dedup.LineRuns):
+        def _sorted(self, rows):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+            name = super()._sorted(rows)
+            path = self.paths[name].removeprefix("file:")
+            files = [f for f in os.listdir(path) if f.endswith(".parquet")]
+            assert len({f.split("_")[1] for f in files}) == len(files)  # one file a bucket, or its order does not count
+            return name
+
+    monkeypatch.setattr(line_dedup, "LineRuns", Seen)
+    rows = [(i, f"a line of text that all of them hold\none of a group of four {i % 10} lines\nown line of this very text {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(line_dedup.clean(df))
+    assert sum(r[0].n_dropped for r in got.values()) == 39 + 30
+    joins = [p for p in plans if "SortMergeJoin" in p]
+    assert len(joins) >= 8 and any("LeftAnti" in p for p in joins) and any("FullOuter" in p for p in joins)
+    assert all("Exchange" not in p and "Sort [" not in p for p in joins)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lines_")]
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering", "false") == "false"
+
+
 def test_mixing(docs):
     rows = source_mixing.mix(docs).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.taken <= 3 * r.size for r in rows)
