@@ -1,20 +1,27 @@
 """Main-content extraction by maximum-scoring subsequence (Pasternack and Roth, 2009).
 
-A page is a sequence of words and tags. A word scores positive, a tag negative; one linear scan finds the
-contiguous region with the highest total, which is the content. The scores are log-odds of seeing the word or
-tag inside rather than outside the content, counted on labelled pages: those that mark their content with
-exactly one <article> or <main> element. At most `sample` of them are used (those with the smallest hash of
-their id), none longer than `longest` characters. A tag's feature is its name, and with its class, id and
-role where the labelled pages have that. Tags are held below `tag_most`, words above `word_least`.
-
-Elements that are never article text are left out, and what they hold scores nothing: scripts, styles, forms, menus, headers and
-footers outside the content element, sidebars, and elements whose class, id or role says advert, notice,
-comments and so on (NEVER, NEVER_MARKS). Character references are decoded, white space inside a block
-becomes one space, blocks are joined by an empty line.
+A page is a sequence of words and tags, each with a score; one linear scan finds the contiguous region with the
+highest total, which is the content. Tags score negative; words score positive where they stand as content words
+do and negative where they stand as the words of menus, adverts and footers do. All scores are learned on labelled
+pages, those that mark their content with exactly one <article> or <main> element: at most `sample` of them
+(those with the smallest hash of their id), none longer than `longest` characters.
+
+ - A tag scores its log-odds of standing inside rather than outside the content, from `tag_least` to `tag_most`;
+   its feature is its name, and with its class, id and role where the labelled pages have that.
+ - A word scores 2p - 1, p being the naive Bayes probability of content given the innermost block element, whether
+   it is in a link, the number of words of its block, and how many of those are in links. So a page whose
+   elements have no telling names is decided by the scan alone.
+
+The region is widened to whole blocks. Of what is in it, elements that are never article text are left out (and score nothing
+in the scan, so that they end no region): scripts, styles, forms, menus, headers and footers outside the content
+element, sidebars, and elements whose class, id or role says advert, notice, comments and so on (NEVER,
+NEVER_MARKS). Character references are decoded, white space inside a block becomes one space, blocks are
+joined by an empty line. A page is read in time proportional to its length, however malformed.
 
 Defined cases: a null or empty html gives an empty text, as does a page without words; without labelled pages
-the default scores hold; of regions with equal totals the first, and of those the shortest, counts; rows
-that repeat an id are pages of their own; an empty table gives an empty result; further columns are ignored.
+the default scores hold; of regions with equal totals the first, and of those the shortest, counts; a "<" that
+begins no tag is text, as is a tag that never ends; pages of any length are read whole; rows that repeat an id are
+pages of their own; an empty table gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, LONGEST, TAG_MOST, WORD_LEAST, MILD, UNSEEN = 600, 200_000, -0.05, 0.25, -0.1, -2.0
+SAMPLE, LONGEST, TAG_MOST, TAG_LEAST, FEATURE_MOST, MILD, UNSEEN = 600, 200_000, -0.05, -6.0, 4.0, -0.1, -2.0
 
 NEVER = frozenset(
     "head title nav aside form script style noscript template button select textarea iframe object svg canvas dialog menu input label".split()
@@ -51,21 +58,17 @@ TEXT_TAGS = frozenset(
     "pre q s samp section small span strike strong sub summary sup table tbody td tfoot th thead time tr tt u ul var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title)(?=[\s/>])(?P<rawattrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_RAW = frozenset("script style noscript template textarea iframe svg title".split())
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag, ">" in quotes not being its end. Nothing here is matched in two ways, so a failure is found in one go.
+_TAG_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 #: One attribute, name and value; matched one after the other, so that no name is found inside a value.
 _ATTRIBUTE = re.compile(r"([^\s/>=]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
-_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in "script style noscript template textarea iframe svg title".split()}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
 _PARTS = re.compile(r"[a-z0-9]+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Event:
     """A run of text (name is empty) or a tag."""
 
@@ -94,47 +97,124 @@ def _marks(attrs: str) -> tuple[tuple[str, ...], bool]:
 
 def events(page: str) -> list[Event]:
     """Text and tags. What a raw element holds is skipped up to its end tag; one that has none is a tag like others,
-    but a script then goes on to the end of the page."""
+    but a script then goes on to the end of the page. No part of the page is searched twice in vain."""
     out: list[Event] = []
-    at, endless = 0, set()
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        name = (m["raw"] or m["name"] or "").lower()
-        attrs = m["rawattrs"] if m["raw"] else m["attrs"]
-        if m["text"] is not None:
-            text = html.unescape(m["text"]) if "&" in m["text"] else m["text"]
-            if out and not out[-1].name:  # a "<" that begins no tag is text
-                out[-1].text += text
-                out[-1].words = len(out[-1].text.split())
-            else:
-                out.append(Event("", text, words=len(text.split())))
+    text: list[str] = []  # the parts of the run of text that is being read
+    at, n, last, quotes, endless = 0, len(page), page.rfind(">"), True, set()
+
+    def flush() -> None:
+        if text:
+            run = "".join(text)
+            run = html.unescape(run) if "&" in run else run
+            out.append(Event("", run, words=len(run.split())))
+            text.clear()
+
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = n
+        if lt > at:
+            text.append(page[at:lt])
+        if lt == n:
+            break
+        at = lt
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            flush()
+            out.append(Event("!*"))
+            at = end + 3 if end >= 0 else n
             continue
-        if m["raw"]:
-            end = None
-            if name == "svg" and attrs.endswith("/"):
-                end = m
-            elif name not in endless and not (end := _RAW_END[name].search(page, at)):
-                endless.add(name)
-            if end or name == "script":
-                at = end.end() if end else len(page)
+        if at > last:  # no tag ends any more
+            text.append(page[at:])
+            break
+        if page.startswith(("<!", "<?"), at):
+            flush()
+            out.append(Event("!*"))
+            at = page.index(">", at) + 1
+            continue
+        closing = page.startswith("/", at + 1)
+        found = _NAME.match(page, at + 1 + closing)
+        if not found:
+            text.append("<")
+            at += 1
+            continue
+        rest = _TAG_REST.match(page, found.end()) if quotes else None
+        if not rest:
+            quotes = False  # from here on quotes do not pair
+        end = rest.end() if rest else page.index(">", found.end()) + 1
+        name, attrs = found[0].lower(), page[found.end() : end - 1]
+        flush()
+        at = end
+        if name in _RAW and not closing:
+            over = end if name == "svg" and attrs.endswith("/") else 0
+            if not over and name not in endless:
+                to = _RAW_END[name].search(page, at)
+                over = page.find(">", to.end()) + 1 if to else 0
+                if not over:
+                    endless.add(name)
+            if over or name == "script":
+                at = over or n
                 out.append(Event(f"{name}*"))
                 continue
-        if name:
-            marks, hidden = _marks(attrs) if attrs and not m["end"] else ((), False)
-            out.append(Event(name, end=bool(m["end"]), marks=marks, hidden=hidden))
-        else:
-            out.append(Event("!*"))
+        marks, hidden = _marks(attrs) if attrs and not closing else ((), False)
+        out.append(Event(name, end=closing, marks=marks, hidden=hidden))
+    flush()
+    return out
+
+
+_SAME = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th")}
+_SIZES = (2, 5, 10, 20, 40)
+_CELLS = frozenset("td th".split())
+
+
+def places(page: list[Event]) -> list[tuple[str, ...]]:
+    """For each run of text the features of where it stands: its innermost block element, whether it is in a link, and
+    the size of its block and the share of it that is links. Tags have none."""
+    open_: list[str] = []
+    count: Counter[str] = Counter()
+    block, link = 0, False
+    runs: list[tuple[int, int, str, bool]] = []
+    words: list[int] = [0]
+    linked: list[int] = [0]
+    for i, e in enumerate(page):
+        name = e.name
+        if not name:
+            words[block] += e.words
+            linked[block] += e.words * link
+            runs.append((i, block, open_[-1] if open_ else "", link))
+        elif name == "a":
+            link = not e.end
+        elif name in BLOCKS or name in _CELLS:
+            block += 1
+            words.append(0), linked.append(0)
+            link = False
+            if not e.end:
+                while open_ and open_[-1] in _SAME.get(name, ("p",)):
+                    count[open_.pop()] -= 1
+                if name not in _VOID:
+                    open_.append(name)
+                    count[name] += 1
+            elif count[name]:
+                while (gone := open_.pop()) != name:
+                    count[gone] -= 1
+                count[name] -= 1
+    out: list[tuple[str, ...]] = [()] * len(page)
+    for i, b, parent, in_link in runs:
+        n = words[b]
+        out[i] = (f"in {parent}", f"link {int(in_link)}", f"size {bisect_right(_SIZES, n)}", f"links {0 if not linked[b] else 1 + (2 * linked[b] > n)}")
     return out
 
 
 @dataclass
 class Weights:
-    word: float = 1.0
+    words: dict[str, float] = field(default_factory=dict)  # log-odds of the features of places()
     tags: dict[str, float] = field(default_factory=dict)
 
-    def of(self, e: Event) -> float:
+    def of(self, e: Event, place: tuple[str, ...]) -> float:
         if not e.name:
-            return self.word * e.words
+            if not self.words:
+                return e.words * (-0.5 if place[1] == "link 1" else 1.0)
+            return e.words * math.tanh(sum(self.words.get(f, 0.0) for f in place) / 2)
         for mark in e.marks:
             if (w := self.tags.get(f"{e.feature}.{mark}")) is not None:
                 return w
@@ -151,28 +231,39 @@ def labelled(page: list[Event]) -> tuple[int, int] | None:
 
 
 def fit(pages: list[str]) -> Weights:
-    """Log-odds of words and tags on the labelled pages among these."""
-    counts = [Counter(), Counter()]
+    """Log-odds of tags and of the places of words on the labelled pages among these."""
+    tags, words = (Counter(), Counter()), (Counter(), Counter())
+    total = [0, 0]
     for page in map(events, pages):
-        region = labelled(page)
-        if not region:
+        inside = labelled(page)
+        if not inside:
             continue
-        hidden = {k for i, j in _left_out(page) for k in range(i + 1, j)}
-        for i, e in enumerate(page):
-            if i in hidden:
+        unseen = {k for i, j in _left_out(page, ("head",)) for k in range(i, j)}
+        furniture = {k for i, j in _left_out(page) for k in range(i, j)}
+        for i, (e, place) in enumerate(zip(page, places(page))):
+            if i in unseen:
                 continue
-            to = counts[region[0] <= i < region[1] and not (e.name and NEVER_MARKS.intersection(e.marks))]
+            to = int(inside[0] <= i < inside[1] and i not in furniture)
             if not e.name:
-                to[""] += e.words
+                total[to] += e.words
+                for f in place:
+                    words[to][f] += e.words
             else:
-                to[e.feature] += 1
+                tags[to][e.feature] += 1
                 for mark in e.marks:
-                    to[f"{e.feature}.{mark}"] += 1
-    if not counts[1][""]:
+                    tags[to][f"{e.feature}.{mark}"] += 1
+    if not total[1]:
         return Weights()
-    whole = [sum(n for f, n in c.items() if "." not in f) for c in counts]
-    odds = lambda f: math.log((counts[1][f] + 0.5) / (whole[1] + 1)) - math.log((counts[0][f] + 0.5) / (whole[0] + 1))
-    return Weights(max(WORD_LEAST, odds("")), {f: min(TAG_MOST, odds(f)) for f in counts[0] | counts[1] if f})
+
+    def odds(counts: tuple[Counter, Counter], f: str, whole: list[int]) -> float:
+        return math.log((counts[1][f] + 0.5) / (whole[1] + 1)) - math.log((counts[0][f] + 0.5) / (whole[0] + 1))
+
+    every = [sum(n for f, n in c.items() if "." not in f) + total[k] for k, c in enumerate(tags)]
+    held = lambda x, least, most: max(least, min(most, x))
+    return Weights(
+        {f: held(odds(words, f, total), -FEATURE_MOST, FEATURE_MOST) for f in words[0] | words[1]},
+        {f: held(odds(tags, f, every), TAG_LEAST, TAG_MOST) for f in tags[0] | tags[1]},
+    )
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -187,8 +278,19 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def _left_out(page: list[Event]) -> list[tuple[int, int]]:
-    """Elements that are never article text: ranges of events."""
+def region(page: list[Event], scores: list[float]) -> tuple[int, int]:
+    """The best region, widened to the blocks that it begins and ends in."""
+    start, end = best_region(scores)
+    if start < end:
+        while start and page[start - 1].name not in BLOCKS:
+            start -= 1
+        while end < len(page) and page[end].name not in BLOCKS:
+            end += 1
+    return start, end
+
+
+def _left_out(page: list[Event], only: tuple[str, ...] = ()) -> list[tuple[int, int]]:
+    """Elements that are never article text, or those named `only`: ranges of events."""
     close: dict[int, int] = {}
     open_: dict[str, list[int]] = {}
     for i, e in enumerate(page):
@@ -206,7 +308,7 @@ def _left_out(page: list[Event]) -> list[tuple[int, int]]:
             continue
         outer = e.name in ("header", "footer") and not (e.name == "header" and any(a < i < b for a, b in inside))
         marked = bool(NEVER_MARKS.intersection(e.marks)) and bisect_right(heads, j) == bisect_right(heads, i)
-        if e.name in NEVER or outer or e.hidden or marked:
+        if e.name in only if only else e.name in NEVER or outer or e.hidden or marked:
             out.append((i, j + 1))
     outer_most: list[tuple[int, int]] = []
     for i, j in sorted(out):
@@ -223,11 +325,11 @@ def extract(page: str, weights: Weights) -> str:
         return ""
     tokens = events(page)
     gone = _left_out(tokens)
-    scores = [weights.of(e) for e in tokens]
+    scores = [weights.of(e, place) for e, place in zip(tokens, places(tokens))]
     for i, j in gone:  # what such an element holds is no sign of content, nor of its end
         for k in range(i + 1, j):
             scores[k] = 0.0
-    start, end = best_region(scores)
+    start, end = region(tokens, scores)
     blocks: list[str] = []
     parts: list[str] = []
     k, until = 0, -1

@@ -7,6 +7,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -208,6 +209,44 @@ def test_pages_of_the_table(spark):
         assert got[i].text == "\n\n".join(b for b in blocks if b) and got[i].n_chars == len(got[i].text)
 
 
+def bare(page):
+    """The page without names that tell what an element is for."""
+    page = re.sub(r' (?:class|id|role)="[^"]*"', "", page)
+    return re.sub(r"<(/?)(?:article|main|nav|aside|header|footer|form)\b[^>]*>", r"<\1div>", page)
+
+
+def content(page):
+    inner = page[page.index("<article>") + 9 : page.index("</article>")]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_the_scan_finds_the_content_of_pages_without_telling_names(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    weights = html_extract.fit(pages[:100])
+    right = lambda: sum(html_extract.extract(bare(p), weights) == content(p) for p in pages[100:])
+    assert right() >= 0.95 * len(pages[100:])
+    monkeypatch.setattr(html_extract, "best_region", lambda scores: (0, len(scores)))
+    assert right() <= 0.05 * len(pages[100:])
+
+
+def test_the_best_region_is_widened_to_whole_blocks():
+    page = '<div><a href="/">Home</a></div><p><a href="/j">John</a> said that the text of a page has many words in it, and left, by <a href="/x">way of this</a></p><div><a href="/">Other</a></div>'
+    weights = html_extract.Weights({"link 1": -4.0, "link 0": 2.0}, {"div": -4.0, "/div": -4.0})
+    assert html_extract.extract(page, weights) == "John said that the text of a page has many words in it, and left, by way of this"
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<script ", "<a ", "<", "<!--", "<!", "<script>", "</script ", '<a ">" ', '<a "', "<a x='", "<p x='x=\"", "<svg ", "<div>", "</div>", "<a>", "<p><b>", "<li>", "&", "&amp", "<x", '<p style="display '],
+)
+def test_any_page_is_read_in_time_proportional_to_its_length(part):
+    weights = html_extract.Weights()
+    began = time.monotonic()
+    html_extract.extract("<p>one</p>" + part * (1_000_000 // len(part)) + ">two", weights)
+    assert time.monotonic() - began < 12  # one or two seconds, where quadratic work takes hours
+
+
 # ------------------------------------------------------------------ packing
 
 
