@@ -355,7 +355,7 @@ def archive(gz):
 def test_archives_are_read_whole(gz):
     parts = archive(gz)
     got = warc.salvage(b"".join(parts))
-    assert [r.block for r in got.records] == [b"one", b"", b"three\r\n\r\nWARC/1.1\r\nnot a record", b"four"] and not got.gaps
+    assert [r.payload for r in got.records] == [b"one", b"", b"three\r\n\r\nWARC/1.1\r\nnot a record", b"four"] and not got.gaps
 
 
 @pytest.mark.parametrize("gz", [False, True])
@@ -403,6 +403,52 @@ def test_archives_of_others(form):
     assert sum(r.length for r in got.records) + sum(n for _, n, _ in got.gaps) == len(data)
 
 
+@pytest.mark.parametrize("gz", [False, True])
+def test_an_archive_with_a_thousand_damaged_records(gz):
+    """Reading is in proportion to the archive: 4,000 records of 20 KB, every fourth of them damaged."""
+    rng = np.random.default_rng(1)
+    parts, bad = [], bytearray()
+    for i in range(4000):
+        p = rng.integers(0, 256, 20_000, np.uint8).tobytes()
+        r = warc.encode(i, "u", p, warc.digest(p))
+        parts.append(warc.member(r) if gz else r + b"\r\n")
+        bad += parts[-1]
+        if i % 4 == 1:
+            bad[-len(parts[-1]) // 2] ^= 0xFF
+    began = time.monotonic()
+    got = warc.salvage(bytes(bad))
+    assert time.monotonic() - began < 30
+    assert [r.headers["warc-record-id"] for r in got.records] == [f"<urn:page:{i}>" for i in range(4000) if i % 4 != 1]
+    assert len(got.gaps) == 1000 and sum(r.length for r in got.records) + sum(n for _, n, _ in got.gaps) == len(bad)
+
+
+@pytest.mark.parametrize("junk", [b"WARC/1.1\r\n" * 100_000, b"WARC/1.1\r\na: b\r\n" * 60_000, b"\x1f\x8b\x08" * 60_000, b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03" * 100_000])
+def test_junk_is_passed_in_time_proportional_to_its_length(junk):
+    good = archive(True)
+    began = time.monotonic()
+    got = warc.salvage(good[0] + junk + good[3])
+    assert time.monotonic() - began < 20 and len(got.records) == 2 and sum(n for _, n, _ in got.gaps) == len(junk)
+
+
+def test_records_are_handed_on_as_they_are_read():
+    good = archive(True)
+    found = warc.read(b"".join(good))
+    assert next(found).payload == b"one"
+    assert [type(x) for x in found] == [warc.Record] * 3
+
+
+def test_archives_are_bounded_in_bytes(spark, tmp_path):
+    rows = [(i, "u", "".join(random.Random(i).choices("abcdefgh", k=20_000))) for i in range(60)] + [(60, "u", "x" * 300_000), (61, "u", "x" * 300_000), (None, "u", "y" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    warc.write_archives(pages, str(tmp_path / "w"), bundle=100_000, per_file=2, compressed=False)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").iterdir() if p.name.startswith("part")]
+    assert max(sizes) < 320_000 and len(sizes) >= 8
+    records, gaps = warc.read_archives(spark, str(tmp_path / "w"))
+    got = {r.page_id: r for r in warc.summary(records).collect()}
+    assert gaps.count() == 0 and len(got) == 63 and (got[61].record_type, got[61].refers_to, got[61].payload_bytes) == ("revisit", 60, 300_000)
+    assert got[None].record_type == "response" and got[60].refers_to is None
+
+
 def test_gaps_are_logged_on_spark(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 50) for i in range(20)], "page_id long, url string, html string").repartition(1)
     warc.write_archives(pages, str(tmp_path / "w"), compressed=False)
