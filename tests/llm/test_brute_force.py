@@ -11,6 +11,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from termlift.llm import _shared, embedding_dedup, html_extract, language_id, ngram_join, queries, sequence_packing, source_mixing, token_counts, warc
@@ -55,9 +56,45 @@ def test_embeddings(spark):
 
 def test_embedding_plan_reaches_its_recall():
     for rows in (1_000, 100_000, 10_000_000):
-        k, tables = embedding_dedup.plan(rows)
-        p = embedding_dedup.collision(math.sqrt(0.2), embedding_dedup.WIDTH) ** k
+        k, tables, width = embedding_dedup.plan(rows)
+        p = embedding_dedup.collision(math.sqrt(0.2), width) ** k
         assert 1 - (1 - p) ** tables >= embedding_dedup.RECALL
+    assert embedding_dedup.plan(1_000_000_000)[1] < 160
+
+
+def test_production_recall_just_at_the_threshold(spark):
+    """20,000 pairs at cosine 0.9, with production parameters; the pairs link with nothing else in 64 dimensions."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a, c = unit(rng.standard_normal((20_000, 64))), 0.9001
+    other = rng.standard_normal((20_000, 64))
+    other = unit(other - (other * a).sum(1, keepdims=True) * a)
+    x = np.concatenate([a, c * a + math.sqrt(1 - c * c) * other])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(40_000), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_duplicates(df).toPandas().sort_values("vec_id")
+    n, comp = got["n_links"].to_numpy(), got["component_id"].to_numpy()
+    assert ((n == 0) | (n == 1)).all() and (n[:20_000] == n[20_000:]).all() and (comp[n == 1] == got["vec_id"].to_numpy()[n == 1] % 20_000).all()
+    assert n.mean() >= 0.93
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(9)
+    signs, most = rng.standard_normal((2, embedding_dedup.BITS, 200_000)), embedding_dedup.most_differing(0.9)
+    differ = ((signs[0] > 0) != (0.9 * signs[0] + math.sqrt(0.19) * signs[1] > 0)).sum(0)
+    assert (differ <= most).all() and most < 70
+
+
+def test_embeddings_of_the_table(spark):
+    """Production parameters on the whole table, against all pairs."""
+    d = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r.embedding for r in rows])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    want = dict(zip((r.vec_id for r in rows), near.sum(1) - 1))
+    got = {r.vec_id: r.n_links for r in queries.op1_embedding_dedup(spark, d).collect()}
+    assert set(got) == set(want) and all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.98 * sum(want.values())
 
 
 def shingle_set(text):
