@@ -7,14 +7,18 @@ of all languages lie in one sorted array of hashes for each order, with the inte
 the back-off weight of each language beside them. Looking up an n-gram is one search for all languages.
 
 A text's language is the one with the lowest cross-entropy per character over the whole text. The score is
-the softmax of the negated cross-entropies at a temperature calibrated on documents that were kept out of
-the counts; a text is rejected if it has no letter, or if its cross-entropy, allowing for its length, is above
-what all but `reject_rate` of its language's calibration documents have, with a margin of `slack` nats per
-character. Of a language with too few documents the ends of their texts are kept out instead.
+the softmax of the negated cross-entropies at a temperature calibrated on documents that were kept out of the
+counts. A text is rejected if it has no letter, or if its cross-entropy h is too far above that of its language's
+kept-out documents: (h - middle) / sqrt(a^2 + b^2 / length) above a limit, where middle is the language's median,
+and a and b, fitted on all languages' kept-out documents (b larger where a language's own need it), are how much documents
+and characters differ. The limit is the value that `reject_rate` of the kept-out documents exceed, the tail above their
+`tail` quantile being taken as exponential. Of a language with too few documents the ends of their texts are kept
+out instead. At most `most_langs` languages are learned, those with the most documents.
 
 Defined cases: null, empty or letterless text is `und` with score 0 and rejected; ties go to the first
 language by name; rows with a null label are not learned from; without any labelled row every text is `und`;
-rows that repeat an id are predicted alike for equal texts; further columns are ignored by `predict`.
+rows that repeat an id are predicted alike for equal texts; texts of any length are read whole; an empty table gives an
+empty result; further columns, whatever their names, are ignored by `predict` and kept by `accepted`.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql.window import Window
 from ._shared import mix64
 
 _U = np.uint64
-ORDER, PER_LANG, LONGEST, CALIBRATION, REJECT_RATE, SLACK, STEP_CHARS = 5, 400, 20_000, 0.25, 0.001, 0.35, 1 << 18
+ORDER, PER_LANG, LONGEST, MOST_LANGS, CALIBRATION, REJECT_RATE, TAIL, STEP_CHARS = 5, 400, 20_000, 400, 0.25, 0.0001, 0.1, 1 << 18
 UNKNOWN, _PAD, _SPACE = "und", 1, 32
 _P = _U(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
@@ -83,8 +87,11 @@ class Model:
     logp: list[np.ndarray]  # per order, (n-grams, languages)
     back: list[np.ndarray]  # per order, log back-off of the n-gram as a context
     floor: float
+    begin: np.ndarray | None = None  # (length of the context, languages), log back-off of the pads before a text as a context
     temperature: float = 1.0
-    limits: tuple[np.ndarray | float, np.ndarray | float] = (np.inf, 0.0)  # per language: rejected above limits[0] + limits[1] / sqrt(length)
+    middle: np.ndarray | float = np.inf  # per language, the median cross-entropy of kept-out documents
+    spread: tuple[float, np.ndarray | float] = (0.0, 0.0)  # a, and per language b
+    limit: float = 0.0
     starts: list | None = None
 
     def find(self, n: int, h: np.ndarray) -> np.ndarray:
@@ -135,10 +142,17 @@ class Model:
             if n:
                 at = self.find(n - 1, hashes[n - 1][rest - 1])
                 add(rest[at >= 0], self.back[n - 1][at[at >= 0]])
+                first = rest[codes[rest - 1] == _PAD]
+                add(first, np.broadcast_to(self.begin[n - 1], (len(first), len(self.langs))))
         if len(rest):
             add(rest, np.full((len(rest), len(self.langs)), self.floor))
         return -total / np.maximum(length, 1)[:, None], length, letters
 
+    def excess(self, h: np.ndarray, length: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """How far a cross-entropy is above the middle of its language, in its spread at that length."""
+        middle, b = (np.broadcast_to(x, len(self.langs))[lang] for x in (self.middle, self.spread[1]))
+        return (h - middle) / np.sqrt(self.spread[0] ** 2 + b**2 / np.maximum(length, 1) + 1e-12)
+
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language (-1: und), score, cross-entropy, rejected."""
         h, length, letters = self.cross_entropy(texts)
@@ -146,8 +160,7 @@ class Model:
         low = h.min(1)
         score = 1 / np.exp(np.clip((low[:, None] - h) / self.temperature, -700, 0)).sum(1)
         none = letters == 0
-        base, spread = (np.broadcast_to(x, len(self.langs))[best] for x in self.limits)
-        bad = none | (low > base + spread / np.sqrt(np.maximum(length, 1)))
+        bad = none | (self.excess(low, length, best) > self.limit)
         return np.where(none, -1, best), np.where(none, 0.0, score), np.where(none, 0.0, low), bad
 
 
@@ -191,6 +204,8 @@ def train(samples: dict[str, list[str]]) -> Model:
     alphabet = max(2, len(union[0]))
     logp = [np.zeros((len(u), len(langs)), np.float32) for u in union]
     back = [np.zeros((len(u), len(langs)), np.float32) for u in union]
+    pads = [h[-1:] for h in gram_hashes(np.full(ORDER - 1, _PAD, np.uint32))]
+    begin = np.zeros((ORDER - 1, len(langs)))
     for j, own in enumerate(raw):
         prob: list[np.ndarray] = []
         for n in range(ORDER):
@@ -214,54 +229,62 @@ def train(samples: dict[str, list[str]]) -> Model:
             logp[n][:, j] = np.log(p)
             if n:
                 back[n - 1][:, j] = np.log(_get(u, discount * types / whole, union[n - 1], 1.0))
-    return Model(langs, union, logp, back, float(np.log(1.0 / alphabet) - 5.0))
+                begin[n - 1, j] = np.log(_get(u, discount * types / whole, pads[n - 1], 1.0)[0])
+    return Model(langs, union, logp, back, float(np.log(1.0 / alphabet) - 5.0), begin)
 
 
-def calibrate(model: Model, samples: dict[str, list[str]], reject_rate: float = REJECT_RATE, slack: float = SLACK) -> None:
-    """Set the temperature (least log loss) and each language's limits of the cross-entropy from documents kept out.
+def calibrate(model: Model, samples: dict[str, list[str]], reject_rate: float = REJECT_RATE, tail: float = TAIL) -> None:
+    """Set the temperature (least log loss) and what decides on rejection from documents kept out.
 
-    What a language's own documents spread around their median counts, but not below what all languages' do
-    around theirs, since few documents tell little of it; a language of which none is recognized has no limit."""
+    A language of which none is recognized rejects nothing."""
     texts = [t for lang in model.langs for t in samples.get(lang, [])]
     truth = np.array([model.langs.index(lang) for lang in model.langs for _ in samples.get(lang, [])])
     if not len(truth):
         return
-    h, length, _ = model.cross_entropy(texts)
+    h, length, letters = model.cross_entropy(texts)
     losses = []
     grid = np.geomspace(0.03, 2.0, 40)
     for t in grid:
         z = -(h - h.min(1, keepdims=True)) / t
         losses.append((np.log(np.exp(z).sum(1)) - z[np.arange(len(truth)), truth]).mean())
     model.temperature = float(grid[int(np.argmin(losses))])
-    low, root = h.min(1), np.sqrt(np.maximum(length, 1))
-    own = h.argmin(1) == truth  # not those with another language's label
-    middle = np.array([np.median(low[own & (truth == j)]) if (own & (truth == j)).any() else np.inf for j in range(len(model.langs))])
+    own = (h.argmin(1) == truth) & (letters > 0)  # not those with another language's label
     if not own.any():
         return
-    above = np.where(own, np.maximum(low - np.where(own, middle[truth], 0.0), 0) * root, 0.0)
-    most = lambda who: float(np.quantile(above[who], 1 - reject_rate)) if who.any() else 0.0
-    least = max(most(own), 1.0)
-    spread = np.array([max(most(own & (truth == j)), least) for j in range(len(model.langs))])
-    model.limits = (middle + slack, spread * 1.5)
+    low, length, truth = h.min(1)[own], np.maximum(length[own], 1), truth[own]
+    langs = range(len(model.langs))
+    model.middle = np.array([np.median(low[truth == j]) if (truth == j).any() else np.inf for j in langs])
+    off = low - model.middle[truth]
+    # the median of |off| at a length is about 2/3 of the spread there: b from the shorter half of the texts, a from the longer
+    short = length <= np.median(length)
+    size = lambda x: 1.4826 * float(np.median(np.abs(x))) if len(x) else 0.0
+    a = max(size(off[~short]), 0.05)
+    b = max(size((off * np.sqrt(length))[short]), 0.5)
+    wide = [max(b, size((off * np.sqrt(length))[short & (truth == j)])) for j in langs]
+    model.spread = (a, np.array(wide))
+    z = np.sort(model.excess(low, length, truth))
+    far = float(np.quantile(z, 1 - tail))
+    beyond = z[z > far] - far
+    scale = float(beyond.mean()) if len(beyond) else 1.0
+    model.limit = far + max(scale, 0.25) * float(np.log(tail / reject_rate))
 
 
 def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, longest: int = LONGEST) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, longest: int = LONGEST, most_langs: int = MOST_LANGS) -> Model:
     """Train on the documents that are not held out. The sample that comes to the driver is at most
-    per_lang * longest characters for a language."""
+    per_lang * longest characters for each of at most most_langs languages."""
     rows = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.lit(3), F.col(id_col)).alias("h"))
     rows = rows.withColumn("text", F.substring("text", 1, longest))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not n:
         return Model([], [], [], [], 0.0)
-    # a hash below this bound has about twice per_lang documents of a language; the window then sees only those
-    bound = F.lit(-1.0)
-    for lang, count in sorted(n.items()):
-        bound = F.when(F.col("lang") == lang, F.lit(min(1.0, (2.0 * per_lang + 20) / count))).otherwise(bound)
+    # a hash below its language's bound leaves about twice per_lang documents; the window then sees only those
+    bounds = docs.sparkSession.createDataFrame([(lang, min(1.0, (2.0 * per_lang + 20) / count)) for lang, count in sorted(n.items())], "lang string, bound double")
+    rows, bound = rows.join(F.broadcast(bounds), "lang"), F.col("bound")  # at most most_langs rows
     few = rows.where((F.shiftrightunsigned("h", 1).cast("double") / F.lit(float(1 << 63))) < bound)
     first = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= per_lang)
     train_set: dict[str, list[str]] = {}

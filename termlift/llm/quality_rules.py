@@ -6,15 +6,18 @@ A line that has a word fails if one of these holds (counts are of its code point
   capitals     at least 5 words, and A-Z are more than 7 in 10 of its ASCII letters
   navigation   a quarter or more of its words are separators (a word that is one of | > / » › · •)
   stutter      more than a third of its words equal the word before in the line
-  boilerplate  it holds one of BOILERPLATE, in any case
+  endless      at least 30 words, and no sentence mark (one of SENTENCE) among its characters
+  menu         it is one of three or more successive lines (those without a word apart) that each have fewer than 6
+               words and do not end with a sentence mark, a colon, a semicolon, a quote or a bracket
+  boilerplate  it holds one of BOILERPLATE (in English, German, French or Spanish), A-Z being equal to a-z
   repeat       it equals an earlier line of the text
 A document is rejected if it fails the base rules (fewer than 20 words, or more than 30 % of its words in
 8-word windows that occur twice or more), or if its failing lines hold more than `most_lost` percent of its
 characters. Words are `[^\\x20\\x09-\\x0D]+`, lines are split at \\n, whole texts are read.
 
 Defined cases: a null or empty text has no word and is rejected; rows that repeat an id are documents of
-their own; an empty table gives an empty result; further columns of the input are ignored by `assess` and
-kept by `clean`.
+their own; texts and lines of any length are read whole; an empty table gives an empty result; further columns of
+the input, whatever their names, are ignored by `assess` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -36,12 +39,18 @@ BOILERPLATE = (
     "all rights reserved", "cookie policy", "uses cookies", "accept cookies", "privacy policy", "terms of use",
     "terms of service", "subscribe to our", "sign up for our", "enable javascript", "click here", "lorem ipsum",
     "skip to content", "share on facebook", "licensed under", "released under the",
+    "alle rechte vorbehalten", "verwendet cookies", "newsletter abonnieren", "hier klicken", "zum inhalt springen", "javascript aktivieren",
+    "politique de cookies", "utilise des cookies", "cliquez ici", "conditions d'utilisation", "aller au contenu", "partager sur facebook",
+    "todos los derechos reservados", "utiliza cookies", "haga clic", "saltar al contenido", "compartir en facebook", "aviso legal",
 )
+#: Marks that a sentence has, and what else a line of running text may end with.
+SENTENCE, CLOSING = ".!?…。！？।؟۔", ":;\"')]”»“"
+ENDLESS, BRIEF, MENU = 30, 6, 3
 
 _LINES = Powers(0x9E3779B97F4A7C15)
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
-_PHRASES = re.compile(b"|".join(re.escape(x.encode()) for x in BOILERPLATE), re.I)
+_PHRASES = re.compile(b"|".join(re.escape(x.encode()) for x in BOILERPLATE), re.I)  # of bytes: A-Z only
 _MARKS = {int(word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]))[0]) for x in SEPARATORS}
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "lost_chars"]
 
@@ -53,6 +62,19 @@ def _sums(flags: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return total[cuts[1:]] - total[cuts[:-1]]
 
 
+def _last_bytes(buf: np.ndarray, marks: str) -> np.ndarray:
+    """Flags of the bytes with which one of the marks ends."""
+    out = np.zeros(len(buf), bool)
+    for mark in marks:
+        code = mark.encode()
+        at = buf == code[-1]
+        for k in range(1, len(code)):
+            at[k:] &= buf[:-k] == code[-1 - k]
+            at[:k] = False
+        out |= at
+    return out
+
+
 def measure(buf: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Counts for each row; and the lines' bounds, with a flag for those that fail."""
     rows = len(offs) - 1
@@ -93,6 +115,15 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], n
     stutter = 3 * _sums(same, first_word) > line_words
 
     fails = stutter | (10 * symbols > chars) | (3 * pairs > line_words) | ((line_words >= 5) & (10 * upper > 7 * (upper + lower))) | (4 * marks >= line_words)
+    sentence = _last_bytes(buf, SENTENCE)
+    fails |= (line_words >= ENDLESS) & (_sums(sentence, cuts) == 0)
+    ended = sentence | _last_bytes(buf, CLOSING)
+    some = np.flatnonzero(has)
+    brief = (line_words[some] < BRIEF) & ~ended[ends[first_word[1:][some] - 1] - 1]
+    # runs of brief lines within a row
+    begin = np.flatnonzero(np.concatenate([[True], (brief[1:] != brief[:-1]) | (line_row[some][1:] != line_row[some][:-1])])[: len(some)])
+    run = np.diff(np.append(begin, len(some)))
+    fails[some] |= brief & (np.repeat(run, run) >= MENU)
     data = buf.tobytes()
     for m in _PHRASES.finditer(data):
         k = np.searchsorted(cuts, m.start(), "right") - 1

@@ -1,12 +1,14 @@
 """The results of the queries that SQL can express, as DuckDB statements over the same tables."""
 
-from .quality_rules import BOILERPLATE, SEPARATORS
+from .quality_rules import BOILERPLATE, BRIEF, CLOSING, ENDLESS, MENU, SENTENCE, SEPARATORS
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _MARKS = ", ".join(f"'{x}'" for x in SEPARATORS)
-_PHRASES = "|".join(BOILERPLATE)
+_PHRASES = "|".join(BOILERPLATE).replace("'", "''")
+_LOWER = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ENDS = (SENTENCE + CLOSING).replace("'", "''")
 
 SQL: dict[str, str] = {
     "op2_line_dedup": f"""
@@ -55,13 +57,19 @@ l AS (
            length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars,
            length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
            len(regexp_extract_all(line, '!!')) AS bangs,
-           length(regexp_replace(line, '[^A-Z]', '', 'g')) AS ups, length(regexp_replace(line, '[^a-z]', '', 'g')) AS lows
+           length(regexp_replace(line, '[^A-Z]', '', 'g')) AS ups, length(regexp_replace(line, '[^a-z]', '', 'g')) AS lows,
+           length(translate(line, '{SENTENCE}', '')) < length(line) AS sentence
     FROM lines),
+h AS (SELECT *, len(w) < {BRIEF} AND instr('{_ENDS}', right(w[-1], 1)) = 0 AS brief FROM l WHERE len(w) > 0),
+k AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, brief ORDER BY pos) AS island
+    FROM h),
 f AS (
     SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup,
            10 * symbols > chars OR 3 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > len(w) OR 3 * bangs > len(w) OR (len(w) >= 5 AND 10 * ups > 7 * (ups + lows))
-           OR 4 * len(list_filter(w, lambda x: x IN ({_MARKS}))) >= len(w) OR regexp_matches(line, '{_PHRASES}', 'i') AS bad
-    FROM l WHERE len(w) > 0),
+           OR 4 * len(list_filter(w, lambda x: x IN ({_MARKS}))) >= len(w) OR regexp_matches({_LOWER}, '{_PHRASES}')
+           OR (len(w) >= {ENDLESS} AND NOT sentence) OR (brief AND count(*) OVER (PARTITION BY doc_id, brief, island) >= {MENU}) AS bad
+    FROM k),
 g AS (
     SELECT doc_id, sum(chars) AS word_chars, sum(symbols) AS n_symbols, sum(CAST(dup AS INT)) AS n_dup_lines,
            sum(CAST(bad OR dup AS INT)) AS n_failed_lines, sum(CASE WHEN bad OR dup THEN chars ELSE 0 END) AS lost_chars

@@ -13,8 +13,9 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from termlift.llm import _shared, embedding_dedup, html_extract, language_id, ngram_join, queries, sequence_packing, source_mixing, token_counts, warc
+from termlift.llm import _shared, embedding_dedup, html_extract, language_id, ngram_join, quality_rules, queries, sequence_packing, source_mixing, token_counts, warc
 
 DIR = "/root/testdata/sf0.001"
 
@@ -181,6 +182,28 @@ def test_mix_is_near_its_targets_and_agrees_with_itself(spark, group):
     assert {i: n for i, n in repeated.items()} == {r.doc_id: r.times for r in out if r.times}
 
 
+# ------------------------------------------------------------------ lines that fail
+
+LINES = [
+    "Home\nAbout us\nContact\n\nA real sentence of the text stands here.\nNews", "one two\nthree\n  \nfour five…\nsix\nseven\neight  ", " ".join(f"w{i}" for i in range(35)) + "\nx.",
+    "\u212aelvin clic\u212a here CLICK here", "é。\nHAGA CLIC aquí para más", "a\nb\nc", "a\nb", "Menü\nÜber\nKontakt ”\nx", None, "", "Conditions d'utilisation du site\nb\nc\nd", "\n".join(["x"] * 9),
+    " ".join(f"wort{i}," for i in range(29)), " ".join(f"wort{i}," for i in range(30)), " ".join(f"w{i}" for i in range(40)) + "？ und", "»\n“\n”\nabc\tdef  \n ghi\njk\n",
+]
+
+
+def test_line_rules_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in enumerate(LINES)])
+    want = con.sql(queries.oracle_sql()["op9_quality_rules"])
+    got = quality_rules.assess(spark.createDataFrame(list(enumerate(LINES)), "doc_id long, text string").coalesce(1)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    failed = {r.doc_id: r.n_failed_lines for r in got.collect()}
+    assert [failed[i] for i in (0, 2, 4, 5, 6, 12, 13)] == [3, 1, 1, 3, 0, 0, 1]
+
+
 # ------------------------------------------------------------------ html
 
 
@@ -550,6 +573,86 @@ def test_probabilities_sum_to_one():
     assert total == pytest.approx(1.0, abs=0.02)
 
 
+class PlainKneserNey:
+    """One language's interpolated Kneser-Ney model of order 5, with dictionaries of strings."""
+
+    def __init__(self, texts, alphabet):
+        self.alphabet, self.count = alphabet, [collections.Counter() for _ in range(6)]
+        for t in map(self.clean, texts):
+            for i in range(4, len(t)):
+                for n in range(1, 6):
+                    self.count[n][t[i - n + 1 : i + 1]] += 1
+        for n in range(1, 5):  # below the highest order, the number of different characters before
+            before = collections.Counter(g[1:] for g in self.count[n + 1])
+            self.count[n] = {g: max(before[g], 1) for g in self.count[n]}
+        self.discount, self.total, self.types = {}, collections.Counter(), collections.Counter()
+        for n in range(1, 6):
+            ones, twos = (sum(c == k for c in self.count[n].values()) for k in (1, 2))
+            self.discount[n] = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+            for g, c in self.count[n].items():
+                self.total[g[:-1]] += c
+                self.types[g[:-1]] += 1
+
+    @staticmethod
+    def clean(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower())
+        return "\x01" * 4 + re.sub(" +", " ", words).lstrip(" ")
+
+    def p(self, gram):
+        n = len(gram)
+        if not n:
+            return 1 / self.alphabet
+        lower, total = self.p(gram[1:]), self.total[gram[:-1]]
+        if not total:
+            return lower
+        return (max(self.count[n].get(gram, 0) - self.discount[n], 0) + self.discount[n] * self.types[gram[:-1]] * lower) / total
+
+    def cross_entropy(self, text):
+        t = self.clean(text)
+        return -sum(math.log(self.p(t[i - 4 : i + 1])) for i in range(4, len(t))) / max(len(t) - 4, 1)
+
+
+def test_models_against_plain_dictionaries(documents):
+    by = collections.defaultdict(list)
+    for d in documents:
+        by[d.lang].append((d.text or "")[:3000])
+    train = {lang: texts[:12] for lang, texts in by.items()}
+    model = language_id.train(train)
+    alphabet = len({c for texts in train.values() for t in texts for c in PlainKneserNey.clean(t)} - {"\x01"})
+    plain = [PlainKneserNey(train[lang], alphabet) for lang in model.langs]
+    known = {c for texts in train.values() for t in texts for c in PlainKneserNey.clean(t)}
+    probe = [t for texts in by.values() for t in texts[12:20] if set(PlainKneserNey.clean(t)) <= known] + ["the  of, und -- die 12 la", "a", "zqx zqx"]
+    assert len(probe) > 10
+    got = model.cross_entropy(probe)[0]
+    want = np.array([[m.cross_entropy(t) for m in plain] for t in probe])
+    assert np.abs(got - want).max() < 2e-6
+
+
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for lang in ("en", "de"):
+        model = language_id.fit(docs.where(F.col("lang") != lang))
+        got = language_id.predict(docs, model, keep=["lang"]).where(F.col("lang_pred") != "und").groupBy(F.col("lang") == lang).agg(F.avg(F.col("rejected").cast("int"))).collect()
+        share = dict(map(tuple, got))
+        assert share[True] >= 0.9 and share[False] <= 0.02
+
+
+def test_the_limit_rejects_about_its_rate():
+    rng = random.Random(2)
+    model = language_id.train({"en": [few_letters(rng, 60) for _ in range(100)]})
+    kept_out = [few_letters(rng, rng.randrange(5, 200)) for _ in range(400)]
+    for rate in (0.05, 0.01):
+        language_id.calibrate(model, {"en": kept_out}, reject_rate=rate)
+        again = model.predict([few_letters(rng, rng.randrange(5, 200)) for _ in range(2000)])[3].mean()
+        assert 0.2 * rate <= again <= 3 * rate
+
+
+def test_at_most_so_many_languages_are_learned(spark):
+    rows = [(i, "some words of a text", f"l{i % 7:02}") for i in range(70)] + [(i, "some more words", "most") for i in range(100, 130)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=3)
+    assert len(model.langs) == 3 and "most" in model.langs
+
+
 def test_languages_held_out(spark):
     d = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
@@ -595,7 +698,7 @@ def test_languages_of_long_or_few_documents_are_learned(spark):
     assert min(len(t) for _, t, lang in rows if lang == "en") > language_id.LONGEST
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.fit(docs)
-    assert model.langs == ["en", "zh"] and np.isfinite(model.limits[0]).all()
+    assert model.langs == ["en", "zh"] and np.isfinite(model.middle).all()
     got = language_id.predict(docs, model).collect()
     assert all(r.lang_pred == ("zh" if r.doc_id >= 100 else "en") and not r.rejected for r in got)
 

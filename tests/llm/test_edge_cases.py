@@ -4,11 +4,12 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from termlift.llm import embedding_dedup, html_extract, language_id, line_dedup, ngram_join, quality_rules, sequence_packing, source_mixing, token_counts, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, size string, rep string"
-LONG = " ".join(f"word{i}" for i in range(60_000))
+LONG = " ".join(f"word{i}" + "." * (i % 10 == 9) for i in range(60_000))
 SAME = "the same words in this text appear again and again without any change at all in the table"
 ROWS = [
     (1, None, None, None, None, "x", None, None),
@@ -126,6 +127,8 @@ def test_counts_and_rules(docs):
     got = by_id(quality_rules.assess(docs))
     assert got[1][0].base_failed and not got[1][0].kept and got[4][0].kept
     assert got[7][0].word_chars == 6
+    no_marks = quality_rules.assess(docs.where("doc_id = 4").withColumn("text", F.translate("text", ".", ""))).first()
+    assert not no_marks.kept and no_marks.n_failed_lines == 1
     assert quality_rules.clean(docs).columns == docs.columns and quality_rules.assess(docs.limit(0)).count() == 0
 
 
