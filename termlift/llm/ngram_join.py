@@ -272,7 +272,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = written(texts.mapInArrow(_signer(n, bands, rows, seed), "id long, c1 long, c2 long, sig binary"), "signed")
     of_class = signed.where("id is not null and c1 is not null").groupBy("c1", "c2")
-    classes = written(of_class.agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")).withColumn("cid", F.xxhash64("c1", "c2")), "classes")
+    classes = written(of_class.agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")).withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     light = classes.select("cid", "sig").mapInArrow(_bander(bands, rows), "rep long, band int, key long")
     light = written(light, "bands")
