@@ -12,7 +12,7 @@ counts. A text is rejected if it has no letter, or if its cross-entropy h is too
 kept-out documents: (h - middle) / sqrt(a^2 + b^2 / length) above a limit, where middle is the language's median,
 and a and b, fitted on all languages' kept-out documents (b larger where a language's own need it), are how much documents
 and characters differ. The limit is the value that `reject_rate` of the kept-out documents exceed, the tail above their
-`tail` quantile being taken as exponential. Of a language with too few documents the ends of their texts are kept
+1 - `tail` quantile being taken as exponential, and more where they are few. Of a language with too few documents the ends of their texts are kept
 out instead. At most `most_langs` languages are learned, those with the most documents.
 
 Defined cases: null, empty or letterless text is `und` with score 0 and rejected; ties go to the first
@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from ._shared import mix64
 
 _U = np.uint64
-ORDER, PER_LANG, LONGEST, MOST_LANGS, CALIBRATION, REJECT_RATE, TAIL, STEP_CHARS = 5, 400, 20_000, 400, 0.25, 0.0001, 0.1, 1 << 18
+ORDER, PER_LANG, LONGEST, MOST_LANGS, CALIBRATION, REJECT_RATE, TAIL, FEW, STEP_CHARS = 5, 400, 20_000, 400, 0.25, 0.0001, 0.1, 20, 1 << 18
 UNKNOWN, _PAD, _SPACE = "und", 1, 32
 _P = _U(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
@@ -266,7 +266,8 @@ def calibrate(model: Model, samples: dict[str, list[str]], reject_rate: float =
     far = float(np.quantile(z, 1 - tail))
     beyond = z[z > far] - far
     scale = float(beyond.mean()) if len(beyond) else 1.0
-    model.limit = far + max(scale, 0.25) * float(np.log(tail / reject_rate))
+    # few documents tell little of how far the next ones may lie
+    model.limit = (far + max(scale, 0.25) * float(np.log(tail / reject_rate))) * (1 + FEW / len(z))
 
 
 def held_out(id_col: Column) -> Column:

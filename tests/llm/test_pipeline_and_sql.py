@@ -64,6 +64,57 @@ def test_stages(spark):
     assert pieces == times
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars int, n_lines int, n_dropped string, kept_text string, _gone long, _row int, _k int, _id long, _text string, rid long, id string, size int, kept boolean, component_id long, piece int, facts map<string,int>"
+
+
+@pytest.fixture(scope="module")
+def odd_documents(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, clashing names."""
+    extra = (7, "d", "k", 8, 9, 1, 2, "t", 3, "i", 4, False, 5, 6, {"a": 1})
+    none = (None,) * 15
+    prose = "the words of this text are english words and they stand in a line of it.\n"
+    texts = [f"{prose}this is text number {i} of the many texts in the table, and it has words of its own {i}." for i in range(40)]
+    rows = [(i, t, "en", f"s{i % 3}", 1, *extra) for i, t in enumerate(texts)]
+    rows += [(40, None, "en", None, None, *none), (41, "", None, "s1", 0, *none), (42, " \n ", "en", "s2", 3, *none), (43, "123 !!!", "en", "s1", 7, *none)]
+    rows += [(None, texts[0], "en", "s0", None, *none), (5, texts[5], "en", "s2", 1, *extra), (5, texts[5], "en", "s2", 1, *extra), (6, texts[7], None, None, 1, *none)]
+    rows += [(50, (prose * 3000) + "the end of a very long text. " * 20_000, "en", "s0", 1, *extra), (51, "the text" + " " * 1_000_100 + "goes on", "en", "s1", 1, *extra)]
+    return spark.createDataFrame(rows, CLASHING)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_documents(spark, odd_documents, name, stage):
+    out = stage(spark, odd_documents, DIR)
+    rows = out.collect()
+    if name != "pack":
+        assert out.schema.simpleString() == odd_documents.schema.simpleString()
+        assert all(r.facts == {"a": 1} and r.n_lines == 7 and r["_gone"] == 8 for r in rows if r.doc_id in (1, 50))
+    ids = collections.Counter(r.doc_id for r in rows if name != "pack" or r.piece == 0)
+    if name == "language":
+        assert not {40, 41, 42, 43} & set(ids) and ids[5] == 3 and ids[50] == ids[51] == ids[None] == 1
+    elif name == "lines":
+        assert sum(ids.values()) == 50
+        long = next(r for r in rows if r.doc_id == 50)
+        assert long.text == "the words of this text are english words and they stand in a line of it.\n" * 3000 + "the end of a very long text. " * 20_000
+        assert all(r.n_chars == len(r.text) for r in rows) and next(r.text for r in rows if r.doc_id == 40) == ""
+        assert next(r.text for r in rows if r.doc_id == 1) == "this is text number 1 of the many texts in the table, and it has words of its own 1."
+    elif name == "near copies":
+        assert ids[5] == 1 and ids[None] == 0 and ids[6] == 2 and ids[7] == 0 and all(ids[i] == 1 for i in (40, 41, 42, 43, 50, 51))
+    elif name == "mix":
+        assert max(r for r in ids.values()) <= 9
+    else:
+        assert sum(ids.values()) == 50 and ids[5] == 3 and sum(r.length for r in rows if r.doc_id == 40) == 1
+    assert stage(spark, odd_documents.limit(0), DIR).count() == 0
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    corpus_pipeline.run(spark, DIR).count()
+    assert {p.rsplit("-", 1)[0] for p in set(os.listdir(shared)) - before} == {"mix", "pieces", "packed"}
+
+
 def test_one_row_of_each_group_where_ids_repeat(spark):
     words = [f"w{i}" for i in range(100)]
     a, near, b = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"other{i}" for i in range(40))
