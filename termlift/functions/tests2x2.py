@@ -81,15 +81,29 @@ def left_tail(a: np.ndarray, k: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.
     return right_tail(k - a, k, n - m, n)
 
 
+def _first_not_above(start: np.ndarray, end: np.ndarray, sign: float, most: np.ndarray, k: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """From start towards end, where log P(X = x) falls, the first x with a value of at most `most` (end + sign if none)."""
+    near, far = np.zeros(len(start)), np.abs(end - start) + 1
+    while (open_ := near < far).any():
+        mid = np.floor((near + far) / 2)
+        x = np.where(open_ & (np.abs(end - start) >= mid), start + sign * mid, end)
+        low = log_point(x, k, m, n) <= most
+        far = np.where(open_ & low, mid, far)
+        near = np.where(open_ & ~low, mid + 1, near)
+    return start + sign * near
+
+
 def two_sided(a: np.ndarray, k: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The sum of all P(X = x) that are not above P(X = a)."""
-    out = np.ones(len(a))
-    for i, (ai, ki, mi, ni) in enumerate(zip(a, k, m, n)):
-        x = np.arange(max(0, ki + mi - ni), min(ki, mi) + 1, dtype=np.float64)
-        p = np.exp(log_point(x, *(np.full(len(x), float(v)) for v in (ki, mi, ni))))
-        here = p[int(ai - x[0])]
-        out[i] = min(1.0, p[p <= here * TWO_SIDED_SLACK].sum())
-    return out
+    """The sum of all P(X = x) that are not above P(X = a): two tails, whose ends towards the mode bisection finds."""
+    a, k, m, n = (np.asarray(v, np.float64) for v in (a, k, m, n))
+    lowest, highest = np.maximum(0, k + m - n), np.minimum(k, m)
+    mode = np.clip(np.floor((k + 1) * (m + 1) / (n + 2)), lowest, highest)
+    most = log_point(a, k, m, n) + np.log(TWO_SIDED_SLACK)
+    up = _first_not_above(mode, highest, 1.0, most, k, m, n)
+    down = _first_not_above(mode, lowest, -1.0, most, k, m, n)
+    right = np.where(up > highest, 0.0, right_tail(np.minimum(up, highest), k, m, n))
+    left = np.where(down < lowest, 0.0, left_tail(np.maximum(down, lowest), k, m, n))
+    return np.where(up == mode, 1.0, np.minimum(1.0, left + right))
 
 
 _TAILS = {"greater": right_tail, "less": left_tail, "two-sided": two_sided}

@@ -69,7 +69,8 @@ def q_levels(rows: DataFrame, n_tests: int, p: str = "p_value", ranges: int = RA
     ranked = levels.join(F.broadcast(offsets), "_b").withColumn("_rank", F.col("_before") + F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, 0)))
     ranked = ranked.withColumn("_q", F.col("p") * F.lit(float(n_tests)) / F.col("_rank"))
     least = ranked.groupBy("_b").agg(F.min("_q").alias("_m")).withColumn("_after", F.min("_m").over(whole.rowsBetween(1, Window.unboundedFollowing))).drop("_m")
-    down = F.min("_q").over(up.rowsBetween(0, Window.unboundedFollowing))
+    # downwards from the largest: a frame that ends at the last row would be made anew for every row
+    down = F.min("_q").over(Window.partitionBy("_b").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0))
     joined = ranked.join(F.broadcast(least), "_b")
     return joined.select("p", F.least(F.lit(1.0), down, F.coalesce("_after", F.lit(1.0))).alias("q"))
 

@@ -94,16 +94,19 @@ def with_ancestors(entity_terms: DataFrame, paths: DataFrame) -> DataFrame:
 def optimal_level_tests(assocs: DataFrame, features: DataFrame, entity_terms: DataFrame, edges: DataFrame, orientation: str = "to_root", relations: Sequence[str] | None = None) -> DataFrame:
     """(feature, term, next, background, p): each association tested within every neighbouring term's entities.
 
-    Counts are grouped joins restricted to the (feature, term, next) that occur in assocs."""
+    Counts are grouped joins; both sides are restricted to what occurs in assocs before they meet on the entity, and a
+    term's neighbours come in only after that."""
     wanted = cut(assocs.select("feature", "term").distinct().join(neighbours(edges, orientation, relations), "term"))
     next_of = entity_terms.select("entity", F.col("term").alias("next"))
     size = next_of.groupBy("next").agg(F.count("*").alias("background"))
     inside = next_of.join(wanted.select("next").distinct(), "next", "left_semi")
     term_in = entity_terms.join(wanted.select("term", "next").distinct(), "term").join(inside, ["entity", "next"], "left_semi")
     ac = term_in.groupBy("term", "next").agg(F.count("*").alias("ac"))
+    features = cut(features.join(wanted.select("feature").distinct(), "feature", "left_semi").select("entity", "feature"))
     feature_in = inside.join(features, "entity").join(wanted.select("feature", "next").distinct(), ["feature", "next"], "left_semi")
     af = feature_in.groupBy("feature", "next").agg(F.count("*").alias("af"))
-    both = term_in.join(features, "entity").join(wanted, ["feature", "term", "next"], "left_semi").groupBy("feature", "term", "next").agg(F.count("*").alias("afc"))
+    met = features.join(entity_terms.join(wanted.select("term").distinct(), "term", "left_semi"), "entity").join(wanted, ["feature", "term"])
+    both = met.join(inside, ["entity", "next"], "left_semi").groupBy("feature", "term", "next").agg(F.count("*").alias("afc"))
     rows = wanted.join(size, "next", "left").join(ac, ["term", "next"], "left").join(af, ["feature", "next"], "left").join(both, ["feature", "term", "next"], "left")
     n = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("background", "ac", "af", "afc")}
     rows = rows.withColumns(n)

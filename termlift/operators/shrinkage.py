@@ -31,7 +31,7 @@ def extended_pairs(pairs: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def shrink(rows: DataFrame, meta: DataFrame, strength: float = STRENGTH, min_obs: float = MIN_OBS) -> DataFrame:
-    """rows(feature, term, p_value, ...): adds p_raw, prior and alpha; p_value becomes the shrunk value.
+    """rows(feature, term, p_value, ...): adds p_raw, prior, alpha and composite; p_value becomes the shrunk value.
 
     The prior is the geometric mean over the parts that were tested with the term; a part that occurs twice
     counts twice, a part that was not tested is skipped (absent pairs have p = 1 and count as such where
@@ -47,14 +47,14 @@ def shrink(rows: DataFrame, meta: DataFrame, strength: float = STRENGTH, min_obs
     prior = met.groupBy("feature", "term").agg(F.exp(F.avg(F.ln(F.greatest(part_p, F.lit(TINY))))).alias("prior"))
     out = rows.join(prior, ["feature", "term"], "left").withColumn("alpha", F.when(F.col("prior").isNotNull(), alpha(F.col("n_obs"), strength, min_obs)))
     mixed = F.exp((1 - F.col("alpha")) * F.ln(F.greatest("p_value", F.lit(TINY))) + F.col("alpha") * F.ln(F.greatest("prior", F.lit(TINY))))
-    return out.withColumn("p_raw", F.col("p_value")).withColumn("p_value", F.coalesce(mixed, F.col("p_value"))).drop("constituents", "n_obs")
+    return out.withColumn("p_raw", F.col("p_value")).withColumn("p_value", F.coalesce(mixed, F.col("p_value"))).withColumn("composite", F.size("constituents") > 0).drop("constituents", "n_obs")
 
 
 def statistics(rows: DataFrame, threshold: float = 0.01, n_dense: int | None = None) -> DataFrame:
-    """One row on composites: tests, raised, median ratio, lost and gained below the threshold.
+    """One row on the composites among the rows of shrink(): tests, raised, median ratio, lost and gained below the threshold.
 
     n_dense adds the pairs left out, whose ratio is 1."""
-    own = rows.where(F.col("feature").contains(",")).select("p_raw", "p_value", (F.greatest("p_value", F.lit(TINY)) / F.greatest("p_raw", F.lit(TINY))).alias("ratio"), F.lit(1).cast("long").alias("w"))
+    own = rows.where("composite").select("p_raw", "p_value", (F.greatest("p_value", F.lit(TINY)) / F.greatest("p_raw", F.lit(TINY))).alias("ratio"), F.lit(1).cast("long").alias("w"))
     n = own.count() if n_dense is not None else 0
     if n_dense is not None and n_dense > n:
         own = own.unionByName(rows.sparkSession.createDataFrame([(1.0, 1.0, 1.0, n_dense - n)], "p_raw double, p_value double, ratio double, w long"))

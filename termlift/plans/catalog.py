@@ -17,7 +17,6 @@ from termlift.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_WHOLE: dict[str, Query] = {}
 ALPHA = 0.01
 
 
@@ -26,12 +25,6 @@ def _query(f: Query) -> Query:
     return f
 
 
-def _whole(f: Query) -> Query:
-    """A query with runs of up to features.MAX_RUN, where the statement of its short form has runs of two only."""
-    _WHOLE[f.__name__] = f
-    return f
-
-
 # ------------------------------------------------------------------ roles
 
 
@@ -304,8 +297,8 @@ def both_annotated(spark, d):
 # ------------------------------------------------------------------ shrinkage
 
 
-def _shrunk(spark, d, max_run=2):
-    a = features.architectures(occurrences(spark, d), ["position", "part"], max_run)
+def _shrunk(spark, d):
+    a = arch(spark, d)
     feats, ts = features.entity_features(a), entity_terms(spark, d)
     meta = features.metadata(feats)
     pairs = shrinkage.extended_pairs(associations.cooccurrence(feats, ts), meta)
@@ -314,7 +307,7 @@ def _shrunk(spark, d, max_run=2):
 
 
 def _shrunk_pvalues(rows):
-    return rows.where(F.col("feature").contains(",")).select("feature", "term", "a", _logp("p_raw", "neg_log10_raw"), _logp("prior", "neg_log10_prior"), _logp("p_value", "neg_log10_p"))
+    return rows.where("composite").select("feature", "term", "a", _logp("p_raw", "neg_log10_raw"), _logp("prior", "neg_log10_prior"), _logp("p_value", "neg_log10_p"))
 
 
 def _shrunk_stats(rows):
@@ -332,16 +325,6 @@ def shrink_stats(spark, d):
     return _shrunk_stats(_shrunk(spark, d))
 
 
-@_whole
-def shrink_pvalues_whole(spark, d):
-    return _shrunk_pvalues(_shrunk(spark, d, features.MAX_RUN))
-
-
-@_whole
-def shrink_stats_whole(spark, d):
-    return _shrunk_stats(_shrunk(spark, d, features.MAX_RUN))
-
-
 # ------------------------------------------------------------------ ontology
 
 
@@ -505,13 +488,6 @@ def composition_report(spark, d):
 
 @_query
 def full_pipeline(spark, d):
-    params = pipeline.Parameters(alpha=0.2, with_shrinkage=True, max_run=2)
-    got = pipeline.associate(features.architectures(occurrences(spark, d), ["position", "part"], 2), entity_terms(spark, d), params)
-    return got.significant.select("feature", "term", "a", _logp("p_value", "neg_log10_p"), _logp("q_value", "neg_log10_q"))
-
-
-@_whole
-def full_pipeline_whole(spark, d):
     """Significant associations and, from those the level filter leaves, annotations with their ancestors; a pair that is only one of the two has nulls."""
     params = pipeline.Parameters(alpha=0.2, with_shrinkage=True, with_ontology=True)
     got = pipeline.associate(features.architectures(occurrences(spark, d), ["position", "part"], params.max_run), entity_terms(spark, d), params, edges(spark, d))
@@ -520,13 +496,12 @@ def full_pipeline_whole(spark, d):
     return hits.join(notes, ["feature", "term"], "full")
 
 
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+#: The names of round one for the queries on runs of up to three features.
+_QUERIES |= {f"{f.__name__}_whole": f for f in (shrink_pvalues, shrink_stats, full_pipeline)}
 
 
-def whole_queries() -> dict[str, Query]:
-    """Queries without a statement of their own; tests hold them against widened ones."""
-    return dict(_WHOLE)
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

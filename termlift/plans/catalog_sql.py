@@ -107,12 +107,10 @@ _LEVEL = {
 
 
 def _shrunk(alpha: float | None = None) -> dict[str, str]:
-    """Composites of two features, shrunk towards their parts."""
+    """Composites of two and three features, shrunk towards their parts."""
     return {
-        "comp2": "SELECT entity, array_to_string(list_slice(singles, i, i + 1), ',') AS feature FROM (SELECT entity, singles, unnest(range(1, len(singles))) AS i FROM arch)",
-        "f2": "SELECT DISTINCT entity, feature FROM (SELECT entity, feature FROM occ UNION ALL SELECT entity, feature FROM comp2)",
-        "k2": "SELECT feature, count(*) AS k FROM f2 GROUP BY feature",
-        "pairs2": "SELECT feature, term, count(*) AS a FROM f2 JOIN et USING (entity) GROUP BY ALL",
+        "k2": "SELECT feature, count(*) AS k FROM feats GROUP BY feature",
+        "pairs2": "SELECT feature, term, count(*) AS a FROM feats JOIN et USING (entity) GROUP BY ALL",
         "shape": "SELECT feature, k AS n_obs, string_split(feature, ',') AS parts FROM k2",
         "long_": "SELECT feature, n_obs, unnest(parts) AS part FROM shape WHERE len(parts) > 1",
         "ext": "SELECT feature, term, max(a) AS a FROM (SELECT * FROM pairs2 UNION ALL SELECT DISTINCT long_.feature, pairs2.term, 0 FROM long_ JOIN pairs2 ON pairs2.feature = long_.part) GROUP BY ALL",
@@ -123,6 +121,23 @@ def _shrunk(alpha: float | None = None) -> dict[str, str]:
     }
 
 
+#: Ranks, significant pairs, the level filter on them and what is propagated of the rest.
+_WHOLE = {
+    "ls": "SELECT p, sum(count(*)) OVER (ORDER BY p) AS r FROM sh GROUP BY p",
+    "qs": "SELECT p, least(1.0, min(p * ((SELECT count(*) FROM k2) * (SELECT count(*) FROM mt)) / r) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM ls",
+    "hit": "SELECT sh.*, q, CASE WHEN a = 0 THEN 0.0 WHEN p_raw <= 0 THEN 100.0 ELSE greatest(1.0, least(100.0, -10 * log10(p_raw))) END AS score FROM sh JOIN qs ON sh.p = qs.p WHERE q <= 0.2",
+    "wish": "SELECT feature, term, parent AS next FROM hit JOIN edges ON child = term",
+    "bg2": "SELECT term AS next, count(*) AS background FROM own GROUP BY term",
+    "ac2": "SELECT y.term, x.term AS next, count(*) AS ac FROM own x JOIN own y USING (entity) GROUP BY ALL",
+    "af2": "SELECT feature, term AS next, count(*) AS af FROM feats JOIN own USING (entity) GROUP BY ALL",
+    "afc2": "SELECT f.feature, y.term, w.next, count(*) AS afc FROM feats f JOIN own y USING (entity) JOIN wish w ON w.feature = f.feature AND w.term = y.term JOIN own x ON x.entity = f.entity AND x.term = w.next GROUP BY ALL",
+    "lev2": "SELECT feature, term, coalesce(background, 0) AS background, coalesce(af, 0) AS af, coalesce(ac, 0) AS ac, coalesce(afc, 0) AS afc FROM wish LEFT JOIN bg2 USING (next) LEFT JOIN ac2 USING (term, next) LEFT JOIN af2 USING (feature, next) LEFT JOIN afc2 USING (feature, term, next)",
+    "fails": f"SELECT DISTINCT feature, term FROM lev2 WHERE background < 3 OR NOT CASE WHEN afc = 0 THEN 1.0 ELSE {_tail('afc', 'least(af, ac)', 'af', 'ac', 'background')} END < 0.05",
+    "good": "SELECT * FROM hit ANTI JOIN fails USING (feature, term) WHERE score BETWEEN 1 AND 100",
+    "wide": "SELECT feature, term, term AS source, score FROM good UNION ALL SELECT feature, ancestor, good.term, score FROM good JOIN paths USING (term)",
+    "noted": "SELECT feature, term, source AS direct_source_term, score, CASE WHEN term = source THEN 'direct' ELSE 'propagated' END AS annotation_type FROM wide QUALIFY row_number() OVER (PARTITION BY feature, term ORDER BY source) = 1",
+}
+
 SQL: dict[str, str] = {
     "cooccurrence": _with("pairs", "SELECT * FROM pairs"),
     "feature_marginals": _with("kf", "SELECT * FROM kf"),
@@ -160,8 +175,8 @@ SQL: dict[str, str] = {
         numbered="SELECT *, rank() OVER (ORDER BY part, position, entity) AS o FROM occ", firsts="SELECT entity, min(o) AS f FROM numbered GROUP BY entity"),
     "term_lookup": _with("et", "SELECT entity FROM et WHERE term = 'blue anvil'"),
     "both_annotated": _with("ef ann", "SELECT feature, count(*) AS k FROM ef WHERE entity IN (SELECT entity FROM ann WHERE evidence IN ('R', 'A') AND aspect = 'O') GROUP BY feature"),
-    "shrink_pvalues": _with("arch et mt ef un", f"SELECT feature, term, a, {_logp('p_raw')} AS neg_log10_raw, {_logp('prior')} AS neg_log10_prior, {_logp('p')} AS neg_log10_p FROM sh WHERE contains(feature, ',')", **_shrunk()),
-    "shrink_stats": _with("arch et mt ef un", """SELECT CAST(count(*) AS BIGINT) AS n_composite_tests, count(*) FILTER (WHERE p > p_raw) AS n_increased, round(100.0 * count(*) FILTER (WHERE p > p_raw) / count(*), 4) AS pct_increased,
+    "shrink_pvalues": _with("feats et mt un", f"SELECT feature, term, a, {_logp('p_raw')} AS neg_log10_raw, {_logp('prior')} AS neg_log10_prior, {_logp('p')} AS neg_log10_p FROM sh WHERE contains(feature, ',')", **_shrunk()),
+    "shrink_stats": _with("feats et mt un", """SELECT CAST(count(*) AS BIGINT) AS n_composite_tests, count(*) FILTER (WHERE p > p_raw) AS n_increased, round(100.0 * count(*) FILTER (WHERE p > p_raw) / count(*), 4) AS pct_increased,
         round(median(p / p_raw), 4) AS median_ratio, count(*) FILTER (WHERE p_raw < 0.01 AND p >= 0.01) AS lost, count(*) FILTER (WHERE p_raw >= 0.01 AND p < 0.01) AS gained
         FROM (SELECT greatest(round(p_raw, 7), 1e-323) AS p_raw, greatest(round(p, 7), 1e-323) AS p FROM sh WHERE contains(feature, ','))""", **_shrunk()),
     "closure": _with("paths", "SELECT term, ancestor, CAST(depth AS BIGINT) AS depth FROM paths"),
@@ -194,7 +209,8 @@ SQL: dict[str, str] = {
     "architecture_contribution": _with("contrib", "SELECT feature, term, n_total, n_single, round(fraction, 8) AS fraction_single FROM contrib"),
     "contribution_summary": _with("contrib", "SELECT count(*) AS n, round(coalesce(avg(fraction), 0.0), 8) AS mean_fraction, coalesce(median(n_total), 0.0) AS median_entities FROM contrib"),
     "composition_report": _with("meta", "SELECT CASE parts WHEN 1 THEN 'single' WHEN 2 THEN 'supra_pair' ELSE 'supra_triple' END AS feature_type, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM meta), 8) AS pct FROM meta GROUP BY 1"),
-    "full_pipeline": _with("arch et mt ef un", f"SELECT feature, term, a, {_logp('sh.p')} AS neg_log10_p, {_logp('q')} AS neg_log10_q FROM sh JOIN qs ON sh.p = qs.p WHERE q <= 0.2", **_shrunk(),
-        ls="SELECT p, sum(count(*)) OVER (ORDER BY p) AS r FROM sh GROUP BY p",
-        qs="SELECT p, least(1.0, min(p * ((SELECT count(*) FROM k2) * (SELECT count(*) FROM mt)) / r) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM ls"),
+    "full_pipeline": _with("feats et mt un own paths", f"""SELECT coalesce(h.feature, x.feature) AS feature, coalesce(h.term, x.term) AS term, a, CASE WHEN h.p IS NOT NULL THEN {_logp('p')} END AS neg_log10_p, CASE WHEN h.p IS NOT NULL THEN {_logp('q')} END AS neg_log10_q,
+        x.annotation_type, x.direct_source_term, {_SCORE.replace('score', 'x.score')} AS association_score FROM hit h FULL JOIN noted x ON h.feature = x.feature AND h.term = x.term""", **_shrunk(), **_WHOLE),
 }
+#: The names of round one for the queries on runs of up to three features.
+SQL |= {f"{name}_whole": SQL[name] for name in ("shrink_pvalues", "shrink_stats", "full_pipeline")}

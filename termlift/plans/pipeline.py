@@ -16,6 +16,10 @@ class ConfigurationError(ValueError):
     """Parameters that do not fit."""
 
 
+#: How a variable of the environment is read, by the annotation of its field.
+_READ = {"bool": lambda raw: raw.lower() in ("1", "true", "yes"), "int": int, "float": float, "str": str}
+
+
 @dataclass(frozen=True)
 class Parameters:
     evidence: str = "manual"
@@ -50,8 +54,7 @@ class Parameters:
         for f in fields(cls):
             raw = os.environ.get(prefix + f.name.upper())
             if raw is not None:
-                kind = type(f.default)
-                given[f.name] = raw.lower() in ("1", "true", "yes") if kind is bool else kind(raw)
+                given[f.name] = _READ[f.type](raw)
         return cls(**given)
 
 

@@ -1,12 +1,15 @@
 """A store of results: annotations, association statistics and metadata as Parquet tables in a folder.
 
-Writing checks the constraints first and then replaces a table. Each table is written beside the old one
-and a pointer file is renamed last, so a reader sees the old or the new table, never part of one.
+Writing checks the constraints first and then replaces a table. Each table is written beside the old one, and a pointer
+file with the next version's number is renamed to its place last; the pointer with the highest number counts. So a
+reader sees the old or the new table, never none or part of one, whenever a writer ends. The version before the
+current one stays, for those who read it still.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Collection
 
@@ -48,6 +51,11 @@ def statistics_violations(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", n).where(bad | (F.col("_n") > 1)).drop("_n")
 
 
+def orphans(annotations: DataFrame, statistics: DataFrame) -> DataFrame:
+    """Direct annotations whose (feature, term) has no row of statistics."""
+    return annotations.where("annotation_type = 'direct'").join(statistics.select("feature", "term"), ["feature", "term"], "left_anti")
+
+
 class ResultStore:
     def __init__(self, spark: SparkSession, folder: str, prefix: str | None = "GO:"):
         self.spark, self.folder, self.prefix = spark, folder.rstrip("/"), prefix
@@ -58,30 +66,39 @@ class ResultStore:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self, table: str) -> str | None:
-        p, fs = self._fs(f"{self.folder}/{table}.current")
-        if not fs.exists(p):
-            return None
+    def _versions(self, table: str) -> list[tuple[int, str]]:
+        """(number, path) of the table's pointers, the current one last."""
+        p, fs = self._fs(self.folder)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        found = [re.fullmatch(rf"{table}\.v([0-9]+)", n) for n in names]
+        return sorted((int(m[1]), f"{self.folder}/{m[0]}") for m in found if m)
+
+    def _target(self, pointer: str) -> str:
+        p, fs = self._fs(pointer)
         stream = fs.open(p)
         try:
             return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
+    def _current(self, table: str) -> str | None:
+        versions = self._versions(table)
+        return self._target(versions[-1][1]) if versions else None
+
     def _replace(self, table: str, rows: DataFrame) -> None:
-        old = self._current(table)
         name = f"{table}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.folder}/{name}")
-        new, fs = self._fs(f"{self.folder}/{table}.next")
+        versions = self._versions(table)
+        new, fs = self._fs(f"{self.folder}/{name}.next")
         stream = fs.create(new, True)
         stream.write(bytearray(name.encode()))
         stream.close()
-        at, _ = self._fs(f"{self.folder}/{table}.current")
-        fs.delete(at, False)
+        at, _ = self._fs(f"{self.folder}/{table}.v{versions[-1][0] + 1 if versions else 1:012d}")
         if not fs.rename(new, at):
-            raise OSError(f"cannot rename {new}")
-        if old:
-            fs.delete(self._fs(f"{self.folder}/{old}")[0], True)
+            raise OSError(f"another writer was first: {at}")
+        for _, pointer in versions[:-1]:
+            fs.delete(self._fs(f"{self.folder}/{self._target(pointer)}")[0], True)
+            fs.delete(self._fs(pointer)[0], False)
 
     def table(self, name: str) -> DataFrame:
         current = self._current(name)
@@ -99,6 +116,8 @@ class ResultStore:
             raise ConstraintError(f"annotations break constraints, such as {bad}")
         if statistics is not None and (bad := statistics_violations(statistics).take(5)):
             raise ConstraintError(f"statistics break constraints, such as {bad}")
+        if statistics is not None and (bad := orphans(annotations, statistics).take(5)):
+            raise ConstraintError(f"annotations have no statistics, such as {bad}")
         names = [c.split()[0] for c in TABLES["annotations"].split(", ")]
         self._replace("annotations", annotations.select(*names).sortWithinPartitions("feature"))
         if statistics is not None:
@@ -126,6 +145,16 @@ class ResultStore:
         read = {"numeric": lambda v: json.loads(v), "boolean": lambda v: v == "true", "json": json.loads, "string": str}
         return {r["key"]: read[r["data_type"]](r["value"]) for r in self.table("metadata").collect()}
 
+    def check_schema(self) -> list[str]:
+        """What differs between the tables of an existing store and TABLES."""
+        out = []
+        for name, wanted in TABLES.items():
+            if self._current(name):
+                found = ", ".join(f"{c} {t.replace('bigint', 'long')}" for c, t in self.table(name).dtypes)
+                if found != wanted:
+                    out.append(f"{name}: {found} instead of {wanted}")
+        return out
+
     def info(self) -> DataFrame:
         """(table_name, n_rows)."""
         out = None

@@ -61,8 +61,11 @@ def read_occurrences(spark: SparkSession, path: str, least: int = 10, allowed: D
 
 
 def read_ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(terms, edges) of an OBO file without obsolete terms: a stanza is a row, its lines are tags."""
-    stanzas = spark.read.option("lineSep", "\n\n").text(path).select(F.regexp_replace("value", "\r", "").alias("s")).where(F.trim("s").startswith("[Term]"))
+    """(terms, edges) of an OBO file without obsolete terms: a stanza is a row, its lines are tags.
+
+    A file's rows end where a line "[Term]" begins, whatever its line ends are; stanzas of other kinds are cut off."""
+    rows = spark.read.option("lineSep", "\n[Term]").text(path).select(F.regexp_replace("value", "\r", "").alias("s")).where("s rlike '^(\\\\[Term\\\\])?[ \\\\t]*\\n'")
+    stanzas = rows.select(F.regexp_replace("s", r"(?s)\n\[(?!Term\]).*", "").alias("s"))
     one = lambda tag: F.nullif(F.regexp_extract("s", rf"(?m)^{tag}:\s*(.*?)\s*$", 1), F.lit(""))
     terms = stanzas.select(one("id").alias("term"), one("name").alias("name"), one("namespace").alias("namespace"), F.nullif(F.regexp_extract("s", r'(?m)^def:\s*"(.*?)"', 1), F.lit("")).alias("definition"), F.coalesce(one("is_obsolete") == "true", F.lit(False)).alias("is_obsolete"), "s")
     terms = terms.where("term is not null and not is_obsolete")

@@ -92,11 +92,10 @@ def test_metadata(spark):
     assert got == {"A": ("single", [], 2), "A,B": ("supra_pair", ["A", "B"], 1), "A,B,C": ("supra_triple", ["A", "B", "C"], 1)}
 
 
-def test_ontology_file(spark, tmp_path):
+@pytest.mark.parametrize("ends,head", [("\n", "format-version: 1.2\n\n"), ("\r\n", "format-version: 1.2\n\n"), ("\r\n", ""), ("\n", "")])
+def test_ontology_file(spark, tmp_path, ends, head):
     path = tmp_path / "o.obo"
-    path.write_text("""format-version: 1.2
-
-[Term]
+    text = """[Term]
 id: GO:1
 name: root
 namespace: p
@@ -123,12 +122,13 @@ is_a: GO:1
 
 [Typedef]
 id: part_of
-""")
+"""
+    path.write_bytes((head + text).replace("\n", ends).encode())
     terms, edges = S.read_ontology(spark, str(path))
     assert sorted(r.term for r in terms.collect()) == ["GO:1", "GO:2", "GO:3"]
     assert sorted((r.child, r.parent, r.relation) for r in edges.collect()) == [("GO:2", "GO:1", "is_a"), ("GO:3", "GO:1", "part_of"), ("GO:3", "GO:2", "is_a")]
     assert terms.where("term = 'GO:1'").first().definition == "The root."
-    assert S.preflight(spark, str(path), "format-version:")
+    assert S.preflight(spark, str(path), "format-version:" if head else "[Term]")
 
 
 def test_gold_file_last_name_wins(spark, tmp_path):

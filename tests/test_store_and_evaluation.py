@@ -41,6 +41,36 @@ def test_a_bad_row_leaves_the_store_as_it_was(spark, tmp_path, rows):
     assert st.table("annotations").count() == 3
 
 
+def test_a_reader_never_sees_an_empty_store(spark, tmp_path, rows):
+    st = S.ResultStore(spark, f"file://{tmp_path}/store")
+    st.store(rows)
+    before = st.table("annotations")
+    st.store(rows.where("feature = 'F2'"))
+    assert before.count() == 3 and st.table("annotations").count() == 1  # the version before is there still
+    st.store(rows.where("feature = 'F1'"))
+    assert st.table("annotations").count() == 2 and len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("annotations-")]) == 2
+    # a writer that dies before its pointer is in place changes nothing
+    (tmp_path / "store" / "annotations-dead.next").write_text("annotations-dead")
+    assert st.table("annotations").count() == 2 and st.check_schema() == []
+
+
+def test_direct_annotations_need_their_statistics(spark, tmp_path, rows):
+    st = S.ResultStore(spark, f"file://{tmp_path}/store")
+    stats = spark.createDataFrame([("F1", "GO:1", 1, 0, 0, 2, None, 0.1, 10.0)], S.TABLES["statistics"])
+    assert [(r.feature, r.term) for r in S.orphans(rows, stats).collect()] == [("F2", "GO:1")]
+    with pytest.raises(S.ConstraintError):
+        st.store(rows, statistics=stats)
+    st.store(rows.where("feature = 'F1'"), statistics=stats)
+    assert st.table("statistics").count() == 1
+
+
+def test_parameters_of_the_environment(monkeypatch):
+    for name, value in {"ALPHA": "0.05", "SHRINKAGE_MIN_OBS": "2.5", "MAX_RUN": "2", "WITH_ONTOLOGY": "yes", "ORIENTATION": "to_leaf"}.items():
+        monkeypatch.setenv(f"TERMLIFT_{name}", value)
+    p = Parameters.from_environment()
+    assert (p.alpha, p.shrinkage_min_obs, p.max_run, p.with_ontology, p.orientation) == (0.05, 2.5, 2, True, "to_leaf")
+
+
 def test_queries(rows):
     assert [(r.feature, r.term) for r in S.query(rows).collect()] == [("F1", "GO:1"), ("F1", "GO:2"), ("F2", "GO:1")]
     assert S.query(rows, term="GO:1", limit=1).count() == 1 and S.query(rows, limit=0).count() == 3

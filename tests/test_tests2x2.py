@@ -37,6 +37,17 @@ def test_very_small_and_large():
     assert t.right_tail(np.array([0]), np.array([10]), np.array([20]), np.array([1000]))[0] == 1.0
 
 
+def test_two_sided_tails_of_large_margins_and_ties():
+    import time
+
+    began = time.monotonic()
+    wide = [np.array(v) for v in ([300_000] * 500, [1_000_000] * 500, [1_000_000] * 500, [3_000_000] * 500)]
+    assert np.isfinite(t.two_sided(*wide)).all() and time.monotonic() - began < 5
+    # symmetric: both modes are equally likely, and each point has a mirror image
+    args = [np.array(v) for v in ([2, 3, 4, 1, 0, 5], [5] * 6, [5] * 6, [10] * 6)]
+    assert t.two_sided(*args) == pytest.approx([1.0, 1.0, 52 / 252, 52 / 252, 2 / 252, 2 / 252])
+
+
 def test_log_gamma():
     for x in (1, 2, 3, 9.5, 10, 11, 171, 1e6):
         import math

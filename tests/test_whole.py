@@ -1,4 +1,4 @@
-"""The queries with runs of up to three features, against the catalog's statements with wider runs and plain code."""
+"""The queries with runs of up to three features, against the catalog's statements and plain code."""
 
 import collections
 import math
@@ -20,21 +20,15 @@ def con():
     return con
 
 
-def widened(name):
-    two, three = catalog_sql._shrunk()["comp2"], catalog_sql._PART["comp"]
-    assert two in catalog_sql.SQL[name]
-    return catalog_sql.SQL[name].replace(two, three)
-
-
 def plain(rows):
     return sorted((tuple(round(v, 4) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
 @pytest.mark.parametrize("name", ["shrink_pvalues", "shrink_stats"])
 def test_shrinkage_of_runs_of_three(spark, con, name):
-    want = con.sql(widened(name))
+    want = con.sql(catalog_sql.SQL[name])
     columns = sorted(want.columns)
-    got = entry.queries()[f"{name}_whole"](spark, DIR).select(*columns).collect()
+    got = entry.queries()[name](spark, DIR).select(*columns).collect()
     assert plain(got) == plain(want.select(*columns).fetchall())
     if name == "shrink_pvalues":
         assert any(r.feature.count(",") == 2 for r in got)
@@ -45,12 +39,12 @@ def tail(a, k, m, n):
 
 
 def test_full_pipeline(spark, con):
-    rows = entry.queries()["full_pipeline_whole"](spark, DIR).collect()
+    rows = entry.queries()["full_pipeline"](spark, DIR).collect()
     assert len(rows) == len({(r.feature, r.term) for r in rows})
-    want = con.sql(widened("full_pipeline"))
+    want = con.sql(catalog_sql.SQL["full_pipeline"])
     columns = want.columns
     hits = [r for r in rows if r.a is not None]
-    assert plain([tuple(r[c] for c in columns) for r in hits]) == plain(want.fetchall()) and any(r.feature.count(",") == 2 for r in hits)
+    assert plain([tuple(r[c] for c in columns) for r in rows]) == plain(want.fetchall()) and any(r.feature.count(",") == 2 for r in hits)
 
     brands, terms, feats = {}, collections.defaultdict(set), collections.defaultdict(set)
     for e, _, _, b, t in con.sql("SELECT l_orderkey, l_linenumber, l_partkey, p_brand, p_name FROM lineitem JOIN part ON l_partkey = p_partkey ORDER BY 1, 2, 3").fetchall():
