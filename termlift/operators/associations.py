@@ -15,9 +15,12 @@ from termlift.functions.tests2x2 import bounded_score, fisher_p, odds_ratio
 ALPHA, RANGES = 0.01, 64
 
 
-def universe(features: DataFrame, terms: DataFrame) -> DataFrame:
-    """(n): entities that have a feature or a term. One row."""
-    both = features.select("entity").union(terms.select("entity"))
+def universe(features: DataFrame, terms: DataFrame, how: str = "union") -> DataFrame:
+    """(n): entities that have a feature or a term, or with how="intersection" both. One row."""
+    if how not in ("union", "intersection"):
+        raise ValueError(f"how must be union or intersection, not {how!r}")
+    a, b = features.select("entity"), terms.select("entity")
+    both = a.union(b) if how == "union" else a.join(b, "entity", "left_semi")
     return both.agg(F.count_distinct("entity").alias("n"))
 
 
@@ -85,10 +88,16 @@ def p_threshold(rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return rows.agg(F.coalesce(F.max(F.when(F.col("q_value") <= alpha, F.col("p_value"))), F.lit(0.0)).alias("p_threshold"))
 
 
-def significant(rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
+def adjusted_among_tested(rows: DataFrame, least: int = 1) -> DataFrame:
+    """Adds q_value to the rows with at least so many co-occurrences, these alone counting as tests."""
+    rows = rows.where(F.col("a") >= least)
+    return adjusted(rows, rows.count())
+
+
+def significant(rows: DataFrame, alpha: float = ALPHA, strict: bool = False) -> DataFrame:
     if not 0 < alpha < 1:
         raise ValueError(f"alpha must lie between 0 and 1, not {alpha}")
-    return rows.where(F.col("q_value") <= alpha)
+    return rows.where(F.col("q_value") < alpha if strict else F.col("q_value") <= alpha)
 
 
 def top_k(rows: DataFrame, k: int = 100) -> DataFrame:

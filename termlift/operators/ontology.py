@@ -114,11 +114,12 @@ def optimal_level_tests(assocs: DataFrame, features: DataFrame, entity_terms: Da
     return rows.select("feature", "term", "next", "background", "af", "ac", "afc", p.alias("p"))
 
 
-def optimal_level(assocs: DataFrame, features: DataFrame, entity_terms: DataFrame, edges: DataFrame, min_background: int = MIN_BACKGROUND, alpha: float = ALPHA, orientation: str = "to_root", relations: Sequence[str] | None = None) -> DataFrame:
+def optimal_level(assocs: DataFrame, features: DataFrame, entity_terms: DataFrame, edges: DataFrame, min_background: int = MIN_BACKGROUND, alpha: float = ALPHA, orientation: str = "to_root", relations: Sequence[str] | None = None, small_rejects: bool = True) -> DataFrame:
     """Associations that are stronger than every neighbouring term's background explains; those of terms
-    without neighbours, or unknown, stay; a neighbour with too small a background rejects."""
+    without neighbours, or unknown, stay; a neighbour with too small a background rejects, or is passed over."""
     tests = optimal_level_tests(assocs, features, entity_terms, edges, orientation, relations)
-    fails = tests.where((F.col("background") < min_background) | ~(F.col("p") < alpha)).select("feature", "term").distinct()
+    small, weak = F.col("background") < min_background, ~(F.col("p") < alpha)
+    fails = tests.where(small | weak if small_rejects else ~small & weak).select("feature", "term").distinct()
     return assocs.join(fails, ["feature", "term"], "left_anti")
 
 
@@ -126,6 +127,14 @@ def valid(score: Column, q: Column) -> Column:
     return F.coalesce(score.between(1, 100) & q.between(0, 1), F.lit(False))
 
 
+def propagate_all(assocs: DataFrame, paths: DataFrame) -> DataFrame:
+    """As propagate(), but with a row for every source of a (feature, term)."""
+    good = assocs.where(valid(F.col("association_score"), F.col("q_value"))).select("feature", F.col("term").alias("direct_source_term"), "q_value", "association_score")
+    own = good.select("feature", F.col("direct_source_term").alias("term"), "q_value", "association_score", F.lit("direct").alias("annotation_type"), "direct_source_term")
+    up = good.join(paths.select(F.col("term").alias("direct_source_term"), F.col("ancestor").alias("term")), "direct_source_term")
+    return own.unionByName(up.withColumn("annotation_type", F.lit("propagated")))
+
+
 def propagate(assocs: DataFrame, paths: DataFrame, prefer_direct: bool = False) -> DataFrame:
     """assocs(feature, term, q_value, association_score): valid ones and their ancestors, each (feature, term) once.
 

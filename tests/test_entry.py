@@ -4,14 +4,15 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-CHECKED = ["cooccurrence", "bh_adjust", "contingency_composites", "shrink_pvalues", "propagate", "threshold_sweep", "disposition_counts", "max_entities"]
+CHECKED = ["cooccurrence", "bh_adjust", "contingency_composites", "shrink_pvalues", "propagate", "threshold_sweep", "disposition_counts", "max_entities", "scan_annotations", "scan_counters", "scan_occurrences", "scan_ontology", "scan_gold", "extract_lines", "stored_annotations", "statistics_orphans", "bh_tested_pairs", "optimal_level_small_kept"]
 
 
 def test_every_query_of_the_catalog_has_sql():
-    from termlift.plans import catalog
+    from termlift.plans import catalog, catalog_files
 
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
-    assert set(catalog.queries()) <= set(entry.queries())
+    for part in (catalog, catalog_files):
+        assert set(part.queries()) == set(part.oracle_sql())
+        assert set(part.queries()) <= set(entry.queries())
 
 
 def test_smoke(spark):
