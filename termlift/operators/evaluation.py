@@ -91,3 +91,20 @@ def composition(predictions: DataFrame, feature_type: Column) -> DataFrame:
     counts = predictions.groupBy(feature_type.alias("feature_type")).agg(F.count("*").alias("n"))
     whole = predictions.agg(F.count("*").alias("_all"))
     return counts.crossJoin(whole).select("feature_type", "n", (100.0 * F.col("n") / F.col("_all")).alias("pct"))
+
+
+def describe(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("feature", "term")) -> DataFrame:
+    """(name, n, n_distinct, least, most, mean): one row for each key, with its distinct values, and each number's range, in one pass."""
+    sums = [x for c in keys for x in (F.count(c).alias(f"n_{c}"), F.count_distinct(c).alias(f"d_{c}"))]
+    sums += [x for c in columns for x in (F.count(c).alias(f"n_{c}"), F.min(c).cast("double").alias(f"lo_{c}"), F.max(c).cast("double").alias(f"hi_{c}"), F.avg(c).alias(f"avg_{c}"))]
+    none, long = F.lit(None).cast("double"), F.lit(None).cast("long")
+    line = lambda c, *v: F.struct(F.lit(c).alias("name"), *[x.alias(n) for x, n in zip(v, ("n", "n_distinct", "least", "most", "mean"))])
+    lines = [line(c, F.col(f"n_{c}"), F.col(f"d_{c}"), none, none, none) for c in keys]
+    lines += [line(c, F.col(f"n_{c}"), long, F.col(f"lo_{c}"), F.col(f"hi_{c}"), F.col(f"avg_{c}")) for c in columns]
+    return rows.agg(*sums).select(F.explode(F.array(*lines)).alias("x")).select("x.*")
+
+
+def quality(annotations: DataFrame, alpha: float) -> DataFrame:
+    """(annotation_type, n, n_over, compliant): annotations of each type, and those whose q is missing or above alpha."""
+    over = F.count_if(~F.coalesce(F.col("q_value") <= alpha, F.lit(False)))
+    return annotations.groupBy("annotation_type").agg(F.count("*").alias("n"), over.alias("n_over")).withColumn("compliant", F.col("n_over") == 0)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlift.functions.lineage import shared_path
-from termlift.operators import associations, features, filters, ontology
+from termlift.operators import associations, evaluation, features, filters, ontology
 from termlift.plans import catalog as C
 from termlift.plans.catalog_sql import _logp, _with
 from termlift.sources import store, text_formats
@@ -36,14 +36,15 @@ def _text(rows: DataFrame, line: Column, **options) -> str:
 
 
 def _annotation_file(spark: SparkSession, d: str) -> str:
-    """A GAF file of the annotations: R, A and N stand for EXP, ISS and IEA, O and F for the aspects P and F."""
+    """A GAF file of the annotations: R, A and N stand for EXP, ISS and IEA, O and F for the aspects P and F;
+    each line of an urgent order is followed by one that is cut short."""
     evidence = F.when(F.col("evidence") == "R", "EXP").when(F.col("evidence") == "A", "ISS").otherwise("IEA")
     aspect = F.when(F.col("aspect") == "O", "P").otherwise("F")
     term = F.concat(F.lit("GO:"), "term")
     fields = [F.lit("db"), F.col("entity"), F.lit("s"), F.coalesce("qualifier", F.lit("")), term, F.lit("r"), evidence, F.lit(""), aspect, *[F.lit(x) for x in ("n", "y", "protein", "taxon:1", "20240101", "by")]]
     rows = C.annotations(spark, d)
     whole = rows.select(F.concat_ws("\t", *fields).alias("line"))
-    short = rows.where("entity % 100 = 0").select(F.concat_ws("\t", F.lit("db"), "entity").alias("line"))
+    short = rows.where("qualifier = '1-URGENT'").select(F.concat_ws("\t", F.lit("db"), "entity").alias("line"))
     return _text(whole.union(short).union(spark.createDataFrame([("!gaf-version: 2.2",)], "line string")), F.col("line"), compression="gzip")
 
 
@@ -66,7 +67,7 @@ def scan_preset(spark, d):
 
 
 @_query(_with("ann", """SELECT CASE WHEN contains(upper(qualifier), 'NOT') THEN 'excluded_qualifier' WHEN evidence = 'IEA' THEN 'filtered_evidence' WHEN aspect <> 'P' THEN 'filtered_aspect' ELSE 'accepted' END AS disposition, count(*) AS n FROM gaf GROUP BY 1
-    UNION ALL SELECT 'malformed', count(*) FROM gaf WHERE entity % 100 = 0 HAVING count(*) > 0""", gaf=_GAF))
+    UNION ALL SELECT 'malformed', count(*) FROM gaf WHERE qualifier = '1-URGENT' HAVING count(*) > 0""", gaf=_GAF))
 def scan_counters(spark, d):
     return text_formats.annotation_counters(spark, _annotation_file(spark, d), filters.MANUAL, ["P"])
 
@@ -145,10 +146,10 @@ def predictions_file(spark, d):
 
 
 def _filled(spark: SparkSession, d: str) -> store.ResultStore:
-    """A store that was filled twice, the second time for good."""
+    """A store that was filled with the direct annotations and then with all of them."""
     held = store.ResultStore(spark, shared_path(spark, "store"), prefix=None)
     rows = C._stored(spark, d)
-    held.store(rows.limit(10))
+    held.store(rows.where("annotation_type = 'direct'"))
     stats = associations.significant(C._adjusted(spark, d), 0.2)
     held.store(rows, {"alpha": 0.2, "ontology": True, "by": "catalog", "levels": [1, 2]}, stats.withColumn("odds_ratio", F.when(F.col("odds_ratio") < float("inf"), F.col("odds_ratio"))))
     return held
@@ -218,6 +219,24 @@ def propagate_all_sources(spark, d):
     return ontology.propagate_all(hits, ontology.closure(C.edges(spark, d))).select("feature", "term", "direct_source_term", "annotation_type")
 
 
+# ------------------------------------------------------------------ reports
+
+
+@_query(_with("adj", """SELECT 'feature' AS name, count(*) AS n, count(DISTINCT feature) AS n_distinct, NULL AS least, NULL AS most, NULL AS mean FROM adj
+    UNION ALL SELECT 'term', count(*), count(DISTINCT term), NULL, NULL, NULL FROM adj
+    UNION ALL SELECT 'a', count(*), NULL, CAST(min(a) AS DOUBLE), CAST(max(a) AS DOUBLE), round(avg(a), 6) FROM adj
+    UNION ALL SELECT 'hyper_score', count(*), NULL, round(min(score), 3), round(max(score), 3), round(avg(score), 3) FROM adj"""))
+def describe_associations(spark, d):
+    out = evaluation.describe(C._adjusted(spark, d), ["a", "hyper_score"])
+    digits = lambda c: F.when(F.col("name") == "a", F.round(c, 6)).otherwise(F.round(c, 3)).alias(c)
+    return out.select("name", "n", "n_distinct", digits("least"), digits("most"), digits("mean"))
+
+
+@_query(_with("store", "SELECT kind AS annotation_type, count(*) AS n, count(*) FILTER (WHERE q > 0.1) AS n_over, count(*) FILTER (WHERE q > 0.1) = 0 AS compliant FROM store GROUP BY kind"))
+def annotation_quality(spark, d):
+    return evaluation.quality(C._stored(spark, d), 0.1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -128,3 +128,12 @@ def test_whole(spark, options):
     assert ("A", "t1") in pairs and ("C", "t2") in pairs and ("A", "t2") not in pairs
     if options.get("with_ontology"):
         assert got.annotations.count() >= len(pairs)
+
+
+def test_describe_and_quality(spark):
+    rows = spark.createDataFrame([("f", "t", 0.1, "direct"), ("f", "u", None, "direct"), (None, "u", 0.3, "propagated")], "feature string, term string, q_value double, annotation_type string")
+    got = {r["name"]: tuple(r)[1:] for r in E.describe(rows, ["q_value"]).collect()}
+    assert got == {"feature": (2, 1, None, None, None), "term": (3, 2, None, None, None), "q_value": (2, None, 0.1, 0.3, 0.2)}
+    assert sorted(map(tuple, E.quality(rows, 0.5).collect())) == [("direct", 2, 1, False), ("propagated", 1, 0, True)]
+    none = rows.where("false")
+    assert [r["n"] for r in E.describe(none, ["q_value"]).collect()] == [0, 0, 0] and E.quality(none, 0.5).isEmpty()
