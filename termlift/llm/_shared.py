@@ -108,12 +108,33 @@ def text_steps(col: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words `[^\\x20\\x09-\\x0D]+`, and for each row the index of its first word."""
+def text_parts(col: pa.Array, breaks: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """As text_steps, with whether the rows end there: a row of more than `most` bytes comes in parts, each cut after
+    the last byte of `most` for which the table `breaks` holds, or after the next one where a stretch has none."""
+    for i, j, data, offs in text_steps(col, most):
+        at = 0
+        while len(data) - at > most:
+            near = np.flatnonzero(breaks[data[at : at + most]])
+            end = at + int(near[-1]) + 1 if len(near) else 0
+            far = at + most
+            while not end and far < len(data):
+                found = np.flatnonzero(breaks[data[far : far + most]])
+                end = far + int(found[0]) + 1 if len(found) else 0
+                far += most
+            if not end or end == len(data):
+                break
+            yield i, j, data[at:end], np.array([0, end - at]), False
+            at = end
+        yield i, j, data[at:], offs if at == 0 else np.array([0, len(data) - at]), True
+
+
+def word_spans(buf: np.ndarray, offs: np.ndarray, apart: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words `[^\\x20\\x09-\\x0D]+` (or runs of bytes that are not `apart`), and for each row the
+    index of its first word."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    space = SPACES[buf]
+    space = apart[buf]
     before = np.empty(len(buf), bool)
     before[0] = True
     before[1:] = space[:-1]

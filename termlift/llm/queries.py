@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, language_id, line_dedup, ngram_join, quality_rules, sequence_packing, source_mixing, token_counts, warc
+from . import concat_cut, embedding_dedup, html_extract, language_id, line_dedup, merkle_manifest, ngram_join, quality_rules, ranked_search, sequence_packing, source_mixing, token_counts, warc
 from .queries_sql import SQL
 
 
@@ -60,6 +60,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op11_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concat_cut.concatenate(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's crc32 seven divides are presented with one character more than they have."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle_manifest.manifest(_table(spark, sf_dir, "documents"), presented={"n_chars": tampered})
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -72,6 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
         "op10_language_id": op10_language_id,
+        "op11_concat_cut": op11_concat_cut,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 

@@ -83,3 +83,61 @@ m AS (
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept FROM b""",
 }
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(n_chars: str) -> str:
+    """H of a row of documents, with that expression for n_chars."""
+    values = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(f'''coalesce(CAST(octet_length(encode({v})) AS VARCHAR) || ':' || {v}, '-')''' for v in values)})"
+
+
+#: crc32 of a decimal: each character is combined, then eight shifts follow it (-1).
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+    lambda k: [CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(k AS INT), 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"""
+
+
+def _climb(name: str, start: str) -> str:
+    return f"""{name} AS (
+    SELECT lang, 0 AS l, i, h, n FROM {start}
+    UNION ALL SELECT lang, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY lang, l, i // 2, n)"""
+
+
+def _fold(name: str, start: str, nodes: str) -> str:
+    return f"""{name} AS (
+    SELECT r, lang, 0 AS l, i, n, cur, proof FROM {start}
+    UNION ALL SELECT f.r, f.lang, f.l + 1, f.i // 2, (f.n + 1) // 2, sha256(CASE WHEN f.i % 2 = 1 THEN s.h || f.cur ELSE f.cur || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+    FROM {name} f LEFT JOIN {nodes} s ON s.lang IS NOT DISTINCT FROM f.lang AND s.l = f.l AND s.i = xor(f.i, 1) WHERE f.n > 1)"""
+
+
+SQL["op12_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf('n_chars')} AS h, {_leaf('n_chars + 1')} AS changed, {_CRC} % 7 = 0 AS tampered FROM documents),
+leaf AS (
+    SELECT doc_id, lang, h, CASE WHEN tampered THEN changed ELSE h END AS cur, '' AS proof, row_number() OVER () AS r,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+    FROM d),
+{_climb('node', 'leaf')},
+sub AS (SELECT lang AS of, NULL AS lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+{_climb('top', 'sub')},
+{_fold('up', 'leaf', 'node')},
+met AS (SELECT r, NULL AS lang, sub.i, sub.n, cur, proof FROM up JOIN sub ON sub.of IS NOT DISTINCT FROM up.lang WHERE up.n = 1),
+{_fold('on_', 'met', 'top')},
+root AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf.h AS leaf, sub.h AS subroot, root, sha256(on_.proof) AS proof_sha256, on_.cur AS folded_root, on_.cur = root AS verified
+FROM leaf JOIN on_ ON on_.r = leaf.r AND on_.n = 1 JOIN sub ON sub.of IS NOT DISTINCT FROM leaf.lang CROSS JOIN root"""
+
+SQL["op13_ranked_search"] = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_ASCII_LOWER.format('text')}, '{_TERM}')) AS term FROM documents),
+len AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM len),
+post AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post CROSS JOIN total GROUP BY term, docs),
+q AS (SELECT item_id, unnest(regexp_extract_all({_ASCII_LOWER.format('text')}, '{_TERM}')) AS term FROM benchmark),
+s AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words)))) AS BIGINT) AS score
+    FROM q JOIN post USING (term) JOIN weight USING (term) JOIN len USING (doc_id) CROSS JOIN total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10"""
