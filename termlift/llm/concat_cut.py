@@ -8,9 +8,9 @@ is sorted or shuffled but the totals, so one source, one group of copies or one
 than its own partition, and only the last sequence is not full.
 
 The vocabulary drops white space, so no token and no step of its normaliser spans one. A text is parted at
-`[\\x20\\x09-\\x0D]+`, every different part of a step is encoded once by the tokenizers library, and parts met
-before come from a table of bounded size. Strings of the vocabulary's special tokens in a text get their own ids, as in
-the library's plain call with add_special_tokens=False. A vocabulary that keeps white space is refused.
+`[\\x20\\x09-\\x0D]+`, and further where it surely is by the vocabulary; every different part of a step is encoded once
+by the tokenizers library, and parts met before come from a table of bounded size. Strings of the vocabulary's special tokens in a text get their own ids, as in
+the library's plain call with add_special_tokens=False. A vocabulary that keeps white space or case is refused.
 
 Defined cases: a null or empty text, and one of white space alone, is the end id alone; a text of any length is encoded
 whole, in steps, so that besides the text only its ids (4 bytes each) are held; rows that repeat are documents of their own,
@@ -21,6 +21,7 @@ further columns of the input, whatever their names, are ignored.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,22 +34,41 @@ from pyspark.sql.window import Window
 from ._shared import SPACES, text_parts, word_spans, written
 
 LENGTH, END_ID = 2048, 1
-#: Parts of texts whose ids a worker remembers, and partition totals that are broadcast at most.
-REMEMBERED, BROADCAST_ROWS = 1 << 18, 1_000_000
-#: Their bytes.
-REMEMBERED_BYTES = 1 << 24
+#: Parts of texts whose ids a worker remembers, the bytes of those, bytes of text in a step, partition totals that are broadcast.
+REMEMBERED, REMEMBERED_BYTES, STEP, BROADCAST_ROWS = 1 << 19, 1 << 25, 1 << 22, 1_000_000
+#: How many parts are encoded as one text.
+TOGETHER = 512
+#: Kinds of bytes: digits, letters (those of U+00C0 to U+017F have lead bytes C3 to C5), other signs.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[0x30:0x3A] = 2
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+#: Bytes that leave a run in one: apostrophes, which may begin a part of their own, "<" of special tokens, other characters.
+_ODD = np.zeros(256, bool)
+_ODD[[0x27, 0x3C, 0xC2, *range(0xC6, 0x100)]] = True
+#: The signs and the letter that lowers to two in U+00C0 to U+017F.
+_ODD_PAIRS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
+_ODD_PART = re.compile(b"|".join([b"[" + bytes(np.flatnonzero(_ODD).tolist()) + b"]", *map(bytes, _ODD_PAIRS)]))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
 
 class PartEncoder:
-    """Ids of parts of texts without white space; the ids of up to `most` different ones are remembered."""
+    """Ids of rows of text, by encoding every different part once; up to `most` different parts are remembered.
+
+    A part is a run without white space, or, where such a run has only the letters, digits and signs whose kinds are
+    known by their bytes, each of its stretches of letters or of signs and each digit, A to Z lower-cased: what the
+    vocabulary splits and lowers anyway. Such parts have one token with the mark of a word's end, so many of them are
+    encoded as one text and told apart by that mark."""
 
     def __init__(self, json_path: str, most: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(json_path)
-        if self.plain.encode("a \n a", add_special_tokens=False).ids != 2 * self.plain.encode("a", add_special_tokens=False).ids:
-            raise ValueError(f"{json_path} keeps white space, so that texts cannot be encoded in parts")
+        plain = lambda x: self.plain.encode(x, add_special_tokens=False).ids
+        if plain("A \n b1c") != [i for x in ("a", "b", "1", "c") for i in plain(x)]:
+            raise ValueError(f"{json_path} keeps white space, case or words with digits, so that texts cannot be encoded in parts")
+        self.ends = np.array([str(self.plain.id_to_token(i)).endswith("</w>") for i in range(self.plain.get_vocab_size())])
         self.most = most
         self._clear()
 
@@ -57,34 +77,81 @@ class PartEncoder:
         self.held = 0
         self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def _learn(self, parts: list[bytes]) -> None:
-        ids = [e.ids for e in self.plain.encode_batch([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)]
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.plain.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def _alone(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids(parts)
         sizes = np.array([len(x) for x in ids], np.int64)
+        return np.fromiter((i for x in ids for i in x), "<u4", int(sizes.sum())), sizes
+
+    def _together(self, parts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        groups = [parts[i : i + TOGETHER] for i in range(0, len(parts), TOGETHER)]
+        out = []
+        for group, ids in zip(groups, self._ids([b" ".join(g) for g in groups])):
+            ids = np.array(ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids])
+            out.append((ids, np.diff(ends, prepend=-1)) if len(ends) == len(group) else self._alone(group))
+        return out
+
+    def _learn(self, parts: list[bytes]) -> None:
+        simple, whole = [p for p in parts if not _ODD_PART.search(p)], [p for p in parts if _ODD_PART.search(p)]
+        made = self._together(simple) + ([self._alone(whole)] if whole else [])
+        sizes = np.concatenate([x[1] for x in made])
         self.held += sum(map(len, parts))
-        self.place.update(zip(parts, range(len(self.starts), len(self.starts) + len(parts))))
+        self.place.update(zip([*simple, *whole], range(len(self.starts), len(self.starts) + len(parts))))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), "<u4", int(sizes.sum()))])
+        self.pool = np.concatenate([self.pool, *[x[0] for x in made]])
+
+    @staticmethod
+    def _parts(data: np.ndarray, offs: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The parts of rows of text, and the index of each row's first one."""
+        starts, ends, first = word_spans(data, offs)
+        at = np.concatenate([[0], np.cumsum(ends - starts)])
+        inner = data[~SPACES[data]]
+        odd = _ODD[inner]
+        for x, y in _ODD_PAIRS:
+            odd[:-1] |= (inner[:-1] == x) & (inner[1:] == y)
+        whole = np.repeat(np.add.reduceat(odd, at[:-1], dtype=np.int32) > 0, ends - starts)
+        kind = _KIND[inner]
+        begins = kind == 2
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins &= ~whole
+        begins[at[:-1]] = True
+        cuts = np.flatnonzero(begins)
+        inner = np.where(whole, inner, _LOWER[inner])
+        bounds = np.append(cuts, len(inner)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(inner.tobytes())])
+        return parts.dictionary_encode(), np.searchsorted(cuts, at[first])
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of rows of text, end to end, and how many each row has."""
-        starts, ends, first = word_spans(data, offs)
-        if not len(starts):
+        if not len(data) or SPACES[data].all():
             return np.zeros(0, "<u4"), np.zeros(len(offs) - 1, np.int64)
-        at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
-        parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data[~SPACES[data]].tobytes())]).dictionary_encode()
+        parts, first = self._parts(data, offs)
         distinct = parts.dictionary.to_pylist()
         if len(self.place) + len(distinct) > self.most or self.held > REMEMBERED_BYTES:
             self._clear()
         if new := [p for p in distinct if p not in self.place]:
             self._learn(new)
-        place = np.array([self.place[p] for p in distinct], np.int64)[parts.indices.to_numpy()]
+        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[parts.indices.to_numpy()]
         sizes = self.sizes[place]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.repeat(self.starts[place] - upto[:-1], sizes) + np.arange(upto[-1])]
         return ids, np.diff(upto[first])
 
 
+_encoders: dict[str, PartEncoder] = {}
+
+
+def encoder(json_path: str) -> PartEncoder:
+    """The worker's own, with what it remembers."""
+    if json_path not in _encoders:
+        _encoders[json_path] = PartEncoder(json_path)
+    return _encoders[json_path]
+
+
 def vocabulary() -> str:
     """Path of the public tokenizer."""
     import public_tokenizers
@@ -107,11 +174,11 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = PartEncoder(path), TaskContext.get().partitionId(), 0
+        known, part, at = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             held: list[np.ndarray] = []  # of a row that is not at its end
-            for i, j, data, offs, whole in text_parts(batch.column(1), SPACES):
-                ids, counts = encoder.encode(data, offs)
+            for i, j, data, offs, whole in text_parts(batch.column(1), SPACES, STEP):
+                ids, counts = known.encode(data, offs)
                 if not whole:
                     held.append(ids)
                     continue

@@ -1,6 +1,7 @@
 """Concatenate and cut, the Merkle manifest and ranked search against plain code, and on odd rows."""
 
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -9,6 +10,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from termlift.llm import concat_cut, merkle_manifest, queries, ranked_search
@@ -35,11 +38,15 @@ def odd(spark):
 # ------------------------------------------------------------------ concatenate and cut
 
 
-def plain_ids(text):
+@functools.cache
+def plain_tokenizer():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(concat_cut.vocabulary())
-    return tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(concat_cut.vocabulary())
+
+
+def plain_ids(text):
+    return plain_tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def check_cut(rows, docs, length=2048):
@@ -79,7 +86,7 @@ def test_cut_of_odd_rows(odd):
 
 
 def test_parts_of_texts_have_the_ids_of_the_whole():
-    texts = [STRANGE, "<|endoftext|><|endoftext|>", " <|endoftext|> ", "a<|endoftext|>", "'S 'LL can'T", "Å̇ 힣ᆨ", "", "  ", "ﬁ ½ ²³ ǅ ß ẞ", "a‍b", "\t\x00\x7f"]
+    texts = [STRANGE, "<|endoftext|><|endoftext|>", " <|endoftext|> ", "a<|endoftext|>", "'S 'LL can'T", "Å̇ 힣ᆨ", "", "  ", "ﬁ ½ ²³ ǅ ß ẞ", "a‍b", "\t\x00\x7f", "Über×Straße÷2, ÉCOLE-12ab34 İx H̱ l'été \'tis a'S <b> a_b%", "x\x85y\xa0z ŁÓDŹ ŉ ſ"]
     encoder = concat_cut.PartEncoder(concat_cut.vocabulary(), most=4)
     for _ in range(2):
         data = np.frombuffer("".join(texts).encode(), np.uint8)
@@ -88,6 +95,14 @@ def test_parts_of_texts_have_the_ids_of_the_whole():
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain_ids(t)[:-1] for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAzéÉßİ×÷ıſŉ12'’<|>.-_ \n\t\u0301\u0331\x85\xa0\u2028ΣK日H"), max_size=30), min_size=1, max_size=6))
+def test_parts_of_any_texts_have_the_ids_of_the_whole(texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ids, counts = concat_cut.encoder(concat_cut.vocabulary()).encode(data, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain_ids(t)[:-1] for t in texts]
+
+
 def test_a_vocabulary_that_keeps_white_space_is_refused():
     import public_tokenizers
 
