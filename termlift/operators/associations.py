@@ -6,13 +6,19 @@ tests the adjusted values of the sparse rows are those of the dense matrix.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from termlift.functions.tests2x2 import bounded_score, fisher_p, odds_ratio
+from termlift.functions.lineage import cut
+from termlift.functions.tests2x2 import bounded_score, odds_ratio, test_tables
 
-ALPHA, RANGES = 0.01, 64
+ALPHA = 0.01
+#: Rows of a class of adjusted(), and how many classes at least and at most.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 500_000, 16, 4096
 
 
 def universe(features: DataFrame, terms: DataFrame, how: str = "union") -> DataFrame:
@@ -44,10 +50,14 @@ def contingency(features: DataFrame, terms: DataFrame, n: DataFrame | None = Non
 
 
 def tested(cells: DataFrame, alternative: str = "greater") -> DataFrame:
-    """Adds p_value, odds_ratio and hyper_score (always of the right tail's p)."""
-    out = cells.withColumn("p_value", fisher_p(F.col("a"), F.col("k"), F.col("m"), F.col("n"), alternative))
-    raw = F.col("p_value") if alternative == "greater" else fisher_p(F.col("a"), F.col("k"), F.col("m"), F.col("n"))
-    return out.withColumns({"odds_ratio": odds_ratio(*(F.col(c) for c in "abcd")), "hyper_score": bounded_score(raw, F.col("a"))})
+    """Adds p_value, odds_ratio and hyper_score (always of the right tail's p). Each different table is tested once.
+
+    cells are read twice: cut the lineage of the pairs under them."""
+    out = test_tables(cells, alternative)
+    if alternative != "greater":
+        out = test_tables(out, "greater", "_raw")
+    raw = F.col("p_value" if alternative == "greater" else "_raw")
+    return out.withColumns({"odds_ratio": odds_ratio(*(F.col(c) for c in "abcd")), "hyper_score": bounded_score(raw, F.col("a"))}).drop("_raw")
 
 
 def number_of_tests(features: DataFrame, terms: DataFrame) -> DataFrame:
@@ -55,32 +65,37 @@ def number_of_tests(features: DataFrame, terms: DataFrame) -> DataFrame:
     return features.agg(F.count_distinct("feature").alias("nf")).crossJoin(terms.agg(F.count_distinct("term").alias("nt"))).select((F.col("nf") * F.col("nt")).alias("n_tests"))
 
 
-def q_levels(rows: DataFrame, n_tests: int, p: str = "p_value", ranges: int = RANGES) -> DataFrame:
-    """(p, q) for every distinct p by Benjamini and Hochberg.
-
-    Ranks need a global order. The distinct values are cut into ranges at approximate quantiles; a range's
-    rank offset and the least value above it come from one row per range, the rest from windows within
-    ranges, so no task holds all values."""
-    levels = rows.groupBy(F.col(p).alias("p")).agg(F.count("*").alias("_n"))
-    cuts = levels.agg(F.percentile_approx("p", [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("p"))) if cuts else F.lit(0)
-    levels = levels.withColumn("_b", bucket)
-    whole = Window.orderBy("_b")  # over one row for each range
-    offsets = levels.groupBy("_b").agg(F.sum("_n").alias("_t")).withColumn("_before", F.sum("_t").over(whole) - F.col("_t")).drop("_t")
-    up = Window.partitionBy("_b").orderBy("p")
-    ranked = levels.join(F.broadcast(offsets), "_b").withColumn("_rank", F.col("_before") + F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("_q", F.col("p") * F.lit(float(n_tests)) / F.col("_rank"))
-    least = ranked.groupBy("_b").agg(F.min("_q").alias("_m")).withColumn("_after", F.min("_m").over(whole.rowsBetween(1, Window.unboundedFollowing))).drop("_m")
-    # downwards from the largest: a frame that ends at the last row would be made anew for every row
-    down = F.min("_q").over(Window.partitionBy("_b").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0))
-    joined = ranked.join(F.broadcast(least), "_b")
-    return joined.select("p", F.least(F.lit(1.0), down, F.coalesce("_after", F.lit(1.0))).alias("q"))
-
-
-def adjusted(rows: DataFrame, n_tests: int, p: str = "p_value") -> DataFrame:
-    """Adds q_value."""
-    return rows.join(q_levels(rows, n_tests, p).withColumnRenamed("q", "q_value"), F.col(p) == F.col("p")).drop("p")
+def adjusted(rows: DataFrame, n_tests: int, p: str = "p_value", ranges: int | None = None) -> DataFrame:
+    """Adds q_value by Benjamini and Hochberg, n_tests counting also the tests that are left out, whose p is 1.
+
+    Ranks need a global order. Approximate quantiles part the values into classes: each quantile itself, and what lies between two.
+    A value with more than a share of the rows, such as p = 1, is a quantile, so its rows are a class of equal
+    values and stay where they are; what lies between two quantiles is a bounded share and is ranked in one sort by a
+    window of its own. A class's ranks begin after the counts, and its values end below the least value, of the classes
+    around it, one row each. rows are read three times: cut their lineage where it is dear."""
+    n = rows.where(F.col(p).isNotNull()).count()
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, n // RANGE_ROWS))
+    cuts = rows.agg(F.percentile_approx(p, [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges).alias("c")).first()["c"] or []
+    cuts = sorted({0.0, 1.0, *cuts})
+    found = Bucketizer(splits=[*cuts, math.inf], inputCol=p, outputCol="_at", handleInvalid="keep").transform(rows)
+    equal = F.get(F.array(*map(F.lit, cuts)), F.col("_at").cast("int")) == F.col(p)
+    dealt = found.withColumn("_b", (2 * F.col("_at") + F.when(equal, 0).otherwise(1)).cast("int")).drop("_at")
+    whole = Window.orderBy("_b")  # over one row for each class
+    sizes = dealt.where(F.col(p).isNotNull()).groupBy("_b").agg(F.count("*").alias("_t")).withColumn("_upto", F.sum("_t").over(whole)).drop("_t")
+    raised = F.col(p) * F.lit(float(n_tests))
+    # downwards from the largest value, so that one order gives the rank and the running least
+    down = Window.partitionBy("_b").orderBy(F.desc(p))
+    between = dealt.where("_b % 2 = 1").join(F.broadcast(sizes), "_b").withColumn("_q", raised / (F.col("_upto") - F.row_number().over(down) + 1))
+    between = cut(between.withColumn("_q", F.min("_q").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_upto"))
+    # of the classes of equal values, the value is the class's own
+    values = F.get(F.array(*map(F.lit, cuts)), (F.col("_b") / 2).cast("int")) * F.lit(float(n_tests)) / F.col("_upto")
+    least = sizes.where("_b % 2 = 0").select("_b", values.alias("_m")).unionByName(between.groupBy("_b").agg(F.min("_q").alias("_m")))
+    least = cut(least.select("_b", F.least(F.lit(1.0), F.min("_m").over(whole.rowsBetween(1, Window.unboundedFollowing))).alias("_after"), "_m"))
+    least = F.broadcast(least)  # at most twice as many rows as ranges
+    one = F.lit(1.0)
+    parts = between.join(least.drop("_m"), "_b").withColumn("q_value", F.least(one, "_q", F.coalesce("_after", one))).drop("_q", "_after", "_b")
+    same = dealt.where("_b % 2 = 0").join(least, "_b").withColumn("q_value", F.least(one, "_m", F.coalesce("_after", one))).drop("_m", "_after", "_b")
+    return parts.unionByName(same)
 
 
 def p_threshold(rows: DataFrame, alpha: float = ALPHA) -> DataFrame:

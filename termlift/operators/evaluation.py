@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termlift.functions.lineage import cut
+from termlift.functions.quantiles import quantiles
+
 P_CUTS = (1e-2, 1e-3, 1e-4, 1e-6, 1e-8, 1e-10)
 SCORE_CUTS = (10.0, 20.0, 30.0, 40.0, 50.0, 60.0, 70.0, 80.0)
 
@@ -83,7 +86,10 @@ def architecture_contribution(predictions: DataFrame, gold: DataFrame, arch: Dat
 
 
 def contribution_summary(contribution: DataFrame) -> DataFrame:
-    return contribution.agg(F.count("*").alias("n"), F.coalesce(F.avg("fraction_single"), F.lit(0.0)).alias("mean_fraction"), F.coalesce(F.median("n_total"), F.lit(0.0)).alias("median_entities"))
+    """(n, mean_fraction, median_entities): one row."""
+    contribution = cut(contribution.select("fraction_single", "n_total"))
+    median = quantiles(contribution, "n_total", [0.5])[0] or 0.0
+    return contribution.agg(F.count("*").alias("n"), F.coalesce(F.avg("fraction_single"), F.lit(0.0)).alias("mean_fraction"), F.lit(median).alias("median_entities"))
 
 
 def composition(predictions: DataFrame, feature_type: Column) -> DataFrame:
@@ -104,6 +110,13 @@ def describe(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("fe
     return rows.agg(*sums).select(F.explode(F.array(*lines)).alias("x")).select("x.*")
 
 
+def quartiles(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(name, least, q25, median, q75, most) of each number, exact, in bounded memory; null without values."""
+    rows = cut(rows.select(*columns))
+    found = [(c, *quantiles(rows, c, (0, 0.25, 0.5, 0.75, 1))) for c in columns]
+    return rows.sparkSession.createDataFrame(found, "name string, least double, q25 double, median double, q75 double, most double")
+
+
 def quality(annotations: DataFrame, alpha: float) -> DataFrame:
     """(annotation_type, n, n_over, compliant): annotations of each type, and those whose q is missing or above alpha."""
     over = F.count_if(~F.coalesce(F.col("q_value") <= alpha, F.lit(False)))

@@ -10,10 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termlift.functions.bitmaps import WORDS, bitmaps, common, dense_numbers, members
 from termlift.functions.lineage import cut
-from termlift.functions.tests2x2 import fisher_p
+from termlift.functions.tests2x2 import test_tables
 
-MAX_DEPTH, MIN_BACKGROUND, ALPHA = 64, 10, 0.05
+MIN_BACKGROUND, ALPHA = 10, 0.05
 
 
 def live_terms(terms: DataFrame) -> DataFrame:
@@ -39,25 +40,62 @@ def neighbours(edges: DataFrame, orientation: str = "to_root", relations: Sequen
 def closure(edges: DataFrame, orientation: str = "to_root", relations: Sequence[str] | None = None) -> DataFrame:
     """(term, ancestor, depth): all terms reachable by one or more steps, with the fewest steps.
 
-    Frontier by frontier: each round joins the newest pairs with the edges and keeps pairs not seen before.
-    Rounds are as many as the longest shortest path, so a cycle ends too (and then holds (t, t))."""
-    step = cut(neighbours(edges, orientation, relations))
-    new = step.select("term", F.col("next").alias("ancestor"), F.lit(1).alias("depth"))
-    seen, rounds = new, 1
-    while True:
-        reach = new.join(step.withColumnRenamed("term", "ancestor"), "ancestor").select("term", F.col("next").alias("ancestor")).distinct()
-        new = cut(reach.join(seen, ["term", "ancestor"], "left_anti").withColumn("depth", F.lit(rounds + 1)))
-        if new.isEmpty():
-            return seen
-        seen, rounds = seen.unionByName(new), rounds + 1
-        if rounds > MAX_DEPTH:
-            raise ValueError(f"more than {MAX_DEPTH} steps between terms")
+    Paths double: after round r all pairs of at most 2^r steps are known with their fewest steps, so joining the pairs
+    with themselves gives those of twice as many, and a chain of any length takes as many rounds as its length has
+    bits. A round that finds no new pair is the last, so a cycle ends too (and then holds (t, t))."""
+    known = cut(neighbours(edges, orientation, relations).select("term", F.col("next").alias("ancestor"), F.lit(1).alias("depth")))
+    n = known.count()
+    while n:
+        on = known.select(F.col("term").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("depth").alias("_more"))
+        further = known.join(on, "ancestor").select("term", F.col("_next").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        doubled = cut(known.unionByName(further).groupBy("term", "ancestor").agg(F.min("depth").alias("depth")))
+        before, n = n, doubled.count()
+        if n == before:
+            break
+        known = doubled
+    return known
 
 
 def cyclic_terms(paths: DataFrame) -> DataFrame:
     return paths.where("term = ancestor").select("term")
 
 
+def peeled(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges (child, parent) that peeling leaves, and the number of rounds.
+
+    A round removes the edges into terms that have no parent left and those out of terms that have no child left. A
+    graph without cycles loses all of them in at most half as many rounds as its longest chain has edges, rounded up; of any other
+    the cycles and what lies between two of them stay. Each round reads what the last one left."""
+    left = cut(edges.select("child", "parent").where("child is not null and parent is not null").distinct())
+    n, rounds = left.count(), 0
+    while n:
+        inner = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        inner = cut(inner.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"))
+        before, n, rounds = n, inner.count(), rounds + 1
+        if n == before:
+            break
+        left = inner
+    return left, rounds
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(term, cycle, n_terms): terms that can reach themselves, the smallest term of their cycle or joined cycles, and how
+    many terms that has. Empty for a graph without cycles, of which only the peeling is computed: paths are followed among what it leaves."""
+    left, _ = peeled(edges)
+    paths = closure(left)
+    back = paths.select(F.col("term").alias("ancestor"), F.col("ancestor").alias("term"))
+    both = paths.select("term", "ancestor").join(back, ["term", "ancestor"], "left_semi")
+    return both.groupBy("term").agg(F.min("ancestor").alias("cycle"), F.count("*").alias("n_terms"))
+
+
+def check_acyclic(edges: DataFrame) -> DataFrame:
+    """One row: is_acyclic, n_terms and n_edges, and how many terms lie on cycles, and how many separate ones there are."""
+    ends = edges.select(F.explode(F.array("child", "parent")).alias("term")).where("term is not null")
+    counts = ends.agg(F.count_distinct("term").alias("n_terms")).crossJoin(edges.agg(F.count("*").alias("n_edges")))
+    found = cycles(edges).agg(F.count("*").alias("n_cyclic"), F.count_distinct("cycle").alias("n_cycles"))
+    return counts.crossJoin(found).select((F.col("n_cyclic") == 0).alias("is_acyclic"), "n_terms", "n_edges", "n_cyclic", "n_cycles")
+
+
 def relatives_count(terms: DataFrame, paths: DataFrame, edges: DataFrame) -> DataFrame:
     """Per term: its facts, degrees, and numbers of ancestors and descendants."""
     up = paths.groupBy("term").agg(F.count("*").alias("n_ancestors"))
@@ -91,27 +129,35 @@ def with_ancestors(entity_terms: DataFrame, paths: DataFrame) -> DataFrame:
     return entity_terms.select("entity", "term").unionByName(more).distinct()
 
 
-def optimal_level_tests(assocs: DataFrame, features: DataFrame, entity_terms: DataFrame, edges: DataFrame, orientation: str = "to_root", relations: Sequence[str] | None = None) -> DataFrame:
-    """(feature, term, next, background, p): each association tested within every neighbouring term's entities.
+def conditional_counts(wanted: DataFrame, features: DataFrame, entity_terms: DataFrame) -> DataFrame:
+    """wanted(feature, term, next), distinct: adds background, ac, af and afc, the entities with next, and those of them
+    with the term, with the feature, and with both.
+
+    Entities get dense numbers, and every feature and term that is asked for is a bitmap of them. A pair meets chunk by chunk
+    (WORDS * 64 entities each, and only those in which its first set has members), so a term that all entities
+    have costs no more rows than the chunks of the sets it meets."""
+    asked = wanted.select("term").union(wanted.select("next")).distinct()
+    own = entity_terms.select("entity", "term").join(asked, "term", "left_semi")
+    has = features.select("entity", "feature").join(wanted.select("feature").distinct(), "feature", "left_semi")
+    numbers = dense_numbers(entity_terms, "entity")
+    of_terms = cut(bitmaps(own.join(numbers, "entity"), "term", "t"))
+    of_features = cut(bitmaps(has.join(numbers, "entity"), "feature", "f"))
+    nexts = of_terms.join(wanted.select(F.col("next").alias("term")).distinct(), "term", "left_semi").select(F.col("term").alias("next"), "chunk", *[F.col(f"t{i}").alias(f"n{i}") for i in range(WORDS)])
+    size = nexts.groupBy("next").agg(F.sum(members("n")).alias("background"))
+    total = lambda df, keys, name, *sets: df.groupBy(*keys).agg(F.sum(members(*sets)).alias(name))
+    ac = total(wanted.select("term", "next").distinct().join(of_terms, "term").join(nexts, ["next", "chunk"]), ("term", "next"), "ac", "t", "n")
+    af = total(wanted.select("feature", "next").distinct().join(of_features, "feature").join(nexts, ["next", "chunk"]), ("feature", "next"), "af", "f", "n")
+    met = wanted.select("feature", "term").distinct().join(of_features, "feature").join(of_terms, ["term", "chunk"]).select("feature", "term", "chunk", *common("f", "t", "b"))
+    afc = total(met.join(wanted, ["feature", "term"]).join(nexts, ["next", "chunk"]), ("feature", "term", "next"), "afc", "b", "n")
+    rows = wanted.join(size, "next", "left").join(ac, ["term", "next"], "left").join(af, ["feature", "next"], "left").join(afc, ["feature", "term", "next"], "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("background", "ac", "af", "afc")})
 
-    Counts are grouped joins; both sides are restricted to what occurs in assocs before they meet on the entity, and a
-    term's neighbours come in only after that."""
+
+def optimal_level_tests(assocs: DataFrame, features: DataFrame, entity_terms: DataFrame, edges: DataFrame, orientation: str = "to_root", relations: Sequence[str] | None = None) -> DataFrame:
+    """(feature, term, next, background, af, ac, afc, p): each association tested within every neighbouring term's entities."""
     wanted = cut(assocs.select("feature", "term").distinct().join(neighbours(edges, orientation, relations), "term"))
-    next_of = entity_terms.select("entity", F.col("term").alias("next"))
-    size = next_of.groupBy("next").agg(F.count("*").alias("background"))
-    inside = next_of.join(wanted.select("next").distinct(), "next", "left_semi")
-    term_in = entity_terms.join(wanted.select("term", "next").distinct(), "term").join(inside, ["entity", "next"], "left_semi")
-    ac = term_in.groupBy("term", "next").agg(F.count("*").alias("ac"))
-    features = cut(features.join(wanted.select("feature").distinct(), "feature", "left_semi").select("entity", "feature"))
-    feature_in = inside.join(features, "entity").join(wanted.select("feature", "next").distinct(), ["feature", "next"], "left_semi")
-    af = feature_in.groupBy("feature", "next").agg(F.count("*").alias("af"))
-    met = features.join(entity_terms.join(wanted.select("term").distinct(), "term", "left_semi"), "entity").join(wanted, ["feature", "term"])
-    both = met.join(inside, ["entity", "next"], "left_semi").groupBy("feature", "term", "next").agg(F.count("*").alias("afc"))
-    rows = wanted.join(size, "next", "left").join(ac, ["term", "next"], "left").join(af, ["feature", "next"], "left").join(both, ["feature", "term", "next"], "left")
-    n = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("background", "ac", "af", "afc")}
-    rows = rows.withColumns(n)
-    p = F.when(F.col("afc") == 0, 1.0).otherwise(fisher_p(F.col("afc"), F.col("af"), F.col("ac"), F.col("background")))
-    return rows.select("feature", "term", "next", "background", "af", "ac", "afc", p.alias("p"))
+    rows = test_tables(cut(conditional_counts(wanted, features, entity_terms)), out="p", names=("afc", "af", "ac", "background"))
+    return rows.select("feature", "term", "next", "background", "af", "ac", "afc", F.when(F.col("afc") == 0, 1.0).otherwise(F.col("p")).alias("p"))
 
 
 def optimal_level(assocs: DataFrame, features: DataFrame, entity_terms: DataFrame, edges: DataFrame, min_background: int = MIN_BACKGROUND, alpha: float = ALPHA, orientation: str = "to_root", relations: Sequence[str] | None = None, small_rejects: bool = True) -> DataFrame:

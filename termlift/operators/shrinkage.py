@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termlift.functions.lineage import cut
+from termlift.functions.quantiles import quantiles
+
 TINY, STRENGTH, MIN_OBS = 1e-323, 0.5, 3
 
 
@@ -54,16 +57,17 @@ def statistics(rows: DataFrame, threshold: float = 0.01, n_dense: int | None = N
     """One row on the composites among the rows of shrink(): tests, raised, median ratio, lost and gained below the threshold.
 
     n_dense adds the pairs left out, whose ratio is 1."""
-    own = rows.where("composite").select("p_raw", "p_value", (F.greatest("p_value", F.lit(TINY)) / F.greatest("p_raw", F.lit(TINY))).alias("ratio"), F.lit(1).cast("long").alias("w"))
+    own = cut(rows.where("composite").select("p_raw", "p_value", (F.greatest("p_value", F.lit(TINY)) / F.greatest("p_raw", F.lit(TINY))).alias("ratio"), F.lit(1).cast("long").alias("w")))
     n = own.count() if n_dense is not None else 0
     if n_dense is not None and n_dense > n:
         own = own.unionByName(rows.sparkSession.createDataFrame([(1.0, 1.0, 1.0, n_dense - n)], "p_raw double, p_value double, ratio double, w long"))
     total = F.coalesce(F.sum("w"), F.lit(0))
+    median = quantiles(own, "ratio", [0.5], "w")[0]
     return own.agg(
         total.alias("n_composite_tests"),
         F.count_if(F.col("p_value") > F.col("p_raw")).alias("n_increased"),
         F.coalesce(100.0 * F.count_if(F.col("p_value") > F.col("p_raw")) / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("pct_increased"),
-        F.coalesce(F.percentile("ratio", F.lit(0.5), F.col("w")), F.lit(1.0)).alias("median_ratio"),
+        F.lit(1.0 if median is None else median).alias("median_ratio"),
         F.count_if((F.col("p_raw") < threshold) & (F.col("p_value") >= threshold)).alias("lost"),
         F.count_if((F.col("p_raw") >= threshold) & (F.col("p_value") < threshold)).alias("gained"),
     )

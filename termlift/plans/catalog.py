@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlift.functions.lineage import cut
-from termlift.functions.tests2x2 import fisher_p, odds_ratio
-from termlift.operators import associations, evaluation, features, filters, ontology, shrinkage
+from termlift.functions.tests2x2 import odds_ratio, test_tables
+from termlift.operators import associations, evaluation, features, filters, hierarchy, ontology, shrinkage
 from termlift.plans import pipeline
 from termlift.plans.catalog_sql import SQL
 from termlift.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-ALPHA = 0.01
+ALPHA, STEP_ALPHA = 0.01, 0.6
 
 
 def _query(f: Query) -> Query:
@@ -78,7 +78,8 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
-    return associations.contingency(singles(spark, d), entity_terms(spark, d))
+    feats, ts = singles(spark, d), entity_terms(spark, d)
+    return associations.contingency(feats, ts, pairs=cut(associations.cooccurrence(feats, ts)))
 
 
 def _tested(spark: SparkSession, d: str) -> DataFrame:
@@ -100,10 +101,10 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
     return cut(_adjusted(spark, d).where("q_value <= 0.5"))
 
 
-def _stored(spark: SparkSession, d: str) -> DataFrame:
+def _stored(spark: SparkSession, d: str, hits: DataFrame | None = None) -> DataFrame:
     """Annotations as the store holds them: significant associations and their ancestors."""
-    hits = associations.significant(_adjusted(spark, d), 0.2).withColumnRenamed("hyper_score", "association_score")
-    return cut(ontology.propagate(hits, ontology.closure(edges(spark, d))))
+    hits = associations.significant(_adjusted(spark, d), 0.2) if hits is None else hits
+    return cut(ontology.propagate(hits.withColumnRenamed("hyper_score", "association_score"), ontology.closure(edges(spark, d))))
 
 
 # ------------------------------------------------------------------ counts and tests
@@ -146,8 +147,7 @@ def fisher_greater(spark, d):
 
 
 def _other_tail(spark, d, alternative):
-    p = fisher_p(F.col("a"), F.col("k"), F.col("m"), F.col("n"), alternative)
-    return _cells(spark, d).withColumn("p", p).select("feature", "term", _logp("p", "neg_log10_p"))
+    return test_tables(_cells(spark, d), alternative, "p").select("feature", "term", _logp("p", "neg_log10_p"))
 
 
 @_query
@@ -230,6 +230,33 @@ def feature_coverage(spark, d):
     return out.withColumn("pct_multi", F.round("pct_multi", 8))
 
 
+@_query
+def supported_composites(spark, d):
+    """Runs of two to four features that at least three orders have, pruned level by level."""
+    runs, _ = features.supported_runs(arch(spark, d), 3, 4)
+    return runs.where("n_parts > 1").groupBy("feature").agg(F.count("*").alias("n_entities"))
+
+
+@_query
+def support_levels(spark, d):
+    """What each level counted and kept."""
+    return features.supported_runs(arch(spark, d), 3, 4)[1].withColumn("n_parts", F.col("n_parts").cast("long"))
+
+
+@_query
+def step_down(spark, d):
+    """Composites tested only where their parts are rejected."""
+    rows = hierarchy.step_down(cut(features.entity_features(arch(spark, d))), cut(entity_terms(spark, d)), STEP_ALPHA)
+    return rows.select("feature", "term", F.col("level").cast("long").alias("level"), "a", _logp("p_value", "neg_log10_p"), _logp("q_value", "neg_log10_q"), "rejected")
+
+
+@_query
+def score_quartiles(spark, d):
+    rows = _tested(spark, d).withColumns({"neg_log10_p": -F.log10(F.greatest("p_value", F.lit(1e-300))), "cooccurrences": F.col("a")})
+    out = evaluation.quartiles(rows, ["neg_log10_p", "cooccurrences", "hyper_score"])
+    return out.select("name", *[(F.round(c, 4) + 0.0).alias(c) for c in ("least", "q25", "median", "q75", "most")])
+
+
 # ------------------------------------------------------------------ filters
 
 _EVIDENCE, _ASPECTS = ("R", "A"), ("O",)
@@ -299,11 +326,11 @@ def both_annotated(spark, d):
 
 def _shrunk(spark, d):
     a = arch(spark, d)
-    feats, ts = features.entity_features(a), entity_terms(spark, d)
-    meta = features.metadata(feats)
-    pairs = shrinkage.extended_pairs(associations.cooccurrence(feats, ts), meta)
+    feats, ts = cut(features.entity_features(a)), cut(entity_terms(spark, d))
+    meta = cut(features.metadata(feats))
+    pairs = cut(shrinkage.extended_pairs(cut(associations.cooccurrence(feats, ts)), meta))
     rows = associations.tested(associations.contingency(feats, ts, pairs=pairs))
-    return shrinkage.shrink(cut(rows), meta)
+    return cut(shrinkage.shrink(cut(rows), meta))
 
 
 def _shrunk_pvalues(rows):
@@ -338,6 +365,25 @@ def closure_to_leaf(spark, d):
     return ontology.closure(edges(spark, d), "to_leaf").groupBy("term").agg(F.count("*").alias("n_descendants"))
 
 
+def _name_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """The edges but those of ROOT, and one back to a name from its second word where the name begins with one of six letters."""
+    names = _read(spark, d, "part").select("p_name").distinct().where(F.substring("p_name", 1, 1).isin(*"abcdef"))
+    more = names.select(F.split("p_name", " ")[1].alias("child"), F.col("p_name").alias("parent"), F.lit("back").alias("relation"))
+    return edges(spark, d).where("relation = 'is_a'").unionByName(more)
+
+
+@_query
+def ontology_cycles(spark, d):
+    return ontology.cycles(_name_cycles(spark, d))
+
+
+@_query
+def acyclic_check(spark, d):
+    """The ontology, and the same with edges that close cycles."""
+    whole = ontology.check_acyclic(edges(spark, d)).withColumn("edges", F.lit("ontology"))
+    return whole.unionByName(ontology.check_acyclic(_name_cycles(spark, d)).withColumn("edges", F.lit("names")))
+
+
 @_query
 def ancestor_counts(spark, d):
     e = edges(spark, d)

@@ -13,6 +13,7 @@ from termlift.operators import associations, evaluation, features, filters, onto
 from termlift.plans import catalog as C
 from termlift.plans.catalog_sql import _logp, _with
 from termlift.sources import store, text_formats
+from termlift.streaming.pairs import PairCounts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -148,13 +149,31 @@ def predictions_file(spark, d):
 def _filled(spark: SparkSession, d: str) -> store.ResultStore:
     """A store that was filled with the direct annotations and then with all of them."""
     held = store.ResultStore(spark, shared_path(spark, "store"), prefix=None)
-    rows = C._stored(spark, d)
+    stats = C.cut(associations.significant(C._adjusted(spark, d), 0.2))
+    rows = C._stored(spark, d, stats)
     held.store(rows.where("annotation_type = 'direct'"))
-    stats = associations.significant(C._adjusted(spark, d), 0.2)
     held.store(rows, {"alpha": 0.2, "ontology": True, "by": "catalog", "levels": [1, 2]}, stats.withColumn("odds_ratio", F.when(F.col("odds_ratio") < float("inf"), F.col("odds_ratio"))))
     return held
 
 
+@_query(_with("store adj", """SELECT CAST(1 AS BIGINT) AS version, kind AS annotation_type, count(*) AS n, CAST(0 AS BIGINT) AS n_statistics FROM store WHERE kind = 'direct' GROUP BY kind
+    UNION ALL SELECT 2, kind, count(*), (SELECT count(*) FROM adj WHERE q <= 0.2) FROM store GROUP BY kind"""))
+def store_snapshots(spark, d):
+    """Both versions of the store, read after the second was published; statistics came with the second."""
+    held, out = _filled(spark, d), None
+    for v in held.versions():
+        one = held.at(v).table("annotations").groupBy("annotation_type").agg(F.count("*").alias("n"))
+        one = one.crossJoin(held.at(v).table("statistics").agg(F.count("*").alias("n_statistics"))).select(F.lit(v).cast("long").alias("version"), "annotation_type", "n", "n_statistics")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query(_with("store", "SELECT feature, term, kind AS annotation_type, source AS direct_source_term FROM store WHERE term = 'ROOT'"))
+def term_index(spark, d):
+    """All annotations of one term, through the layout by term."""
+    return _filled(spark, d).query(term="ROOT").select("feature", "term", "annotation_type", "direct_source_term")
+
+
 @_query(_with("store", "SELECT kind AS annotation_type, count(*) AS n, count(DISTINCT feature) AS n_features, count(DISTINCT source) AS n_sources FROM store GROUP BY kind"))
 def stored_annotations(spark, d):
     rows = _filled(spark, d).table("annotations")
@@ -187,6 +206,25 @@ def statistics_orphans(spark, d):
     return store.orphans(C._stored(spark, d), associations.significant(C._adjusted(spark, d), 0.05)).select("feature", "term")
 
 
+# ------------------------------------------------------------------ streams
+
+
+@_query(C.SQL["contingency"])
+def stream_contingency(spark, d):
+    """The tables from a stream of four micro-batches, in which an entity's rows come at different times, some of them twice."""
+    path = shared_path(spark, "stream")
+    rows = C.singles(spark, d).select("entity", F.lit("feature").alias("kind"), F.col("feature").alias("value"))
+    rows = rows.unionByName(C.entity_terms(spark, d).select("entity", F.lit("term").alias("kind"), F.col("term").alias("value")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("value", "entity"), F.lit(4)))
+    for i in range(4):
+        some = rows.where((F.col("part") == i) | ((F.col("part") == 0) & (F.col("kind") == "term")))
+        some.select(F.col("entity").cast("string").alias("entity"), "kind", "value").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("entity string, kind string, value string").option("maxFilesPerTrigger", 1).parquet(path)
+    counts = PairCounts(spark, shared_path(spark, "counts"))
+    counts.follow(stream, shared_path(spark, "checkpoint")).awaitTermination()
+    return counts.contingency().select("feature", "term", "a", "b", "c", "d")
+
+
 # ------------------------------------------------------------------ variants of the tests
 
 

@@ -138,6 +138,44 @@ _WHOLE = {
     "noted": "SELECT feature, term, source AS direct_source_term, score, CASE WHEN term = source THEN 'direct' ELSE 'propagated' END AS annotation_type FROM wide QUALIFY row_number() OVER (PARTITION BY feature, term ORDER BY source) = 1",
 }
 
+#: Runs of one to four parts, level by level: a run is counted where both runs one part shorter are kept.
+_SUPPORT = {
+    "places": "SELECT entity, singles, unnest(range(1, len(singles) + 1)) AS i FROM arch",
+    "run1": "SELECT entity, i, singles[i] AS feature FROM places",
+    "keep1": "SELECT feature, count(DISTINCT entity) AS n FROM run1 GROUP BY feature",
+} | {
+    name: text
+    for n in (2, 3, 4)
+    for name, text in (
+        (f"run{n}", f"SELECT p.entity, p.i, array_to_string(p.singles[p.i : p.i + {n - 1}], ',') AS feature FROM places p JOIN run{n - 1} x ON x.entity = p.entity AND x.i = p.i JOIN run{n - 1} y ON y.entity = p.entity AND y.i = p.i + 1 WHERE x.feature IN (SELECT feature FROM keep{n - 1} WHERE n >= 3) AND y.feature IN (SELECT feature FROM keep{n - 1} WHERE n >= 3)"),
+        (f"keep{n}", f"SELECT feature, count(DISTINCT entity) AS n FROM run{n} GROUP BY feature"),
+    )
+}
+
+
+def _step_down(alpha: float) -> tuple[str, dict[str, str]]:
+    """Levels of runs, each with its opened pairs, their tests and the step-up procedure."""
+    out = {"mt1": "SELECT term, count(*) AS m FROM et GROUP BY term"}
+    for n in (1, 2, 3):
+        out[f"f{n}"] = f"SELECT entity, feature, string_split(feature, ',') AS parts FROM feats WHERE len(string_split(feature, ',')) = {n}"
+        out[f"k{n}"] = f"SELECT feature, any_value(parts) AS parts, count(*) AS k FROM f{n} GROUP BY feature"
+        out[f"c{n}"] = f"SELECT feature, term, count(*) AS a FROM f{n} JOIN et USING (entity) GROUP BY ALL"
+        if n == 1:
+            out["o1"] = "SELECT feature, term, a FROM c1"
+            total = "(SELECT count(*) FROM k1) * (SELECT count(*) FROM mt1)"
+        else:
+            ends = [f"array_to_string(k{n}.parts[{a}:{b}], ',')" for a, b in ((1, n - 1), (2, n))]
+            out[f"o{n}"] = f"SELECT k{n}.feature, x.term, coalesce(c.a, 0) AS a FROM k{n} JOIN r{n - 1} x ON x.feature = {ends[0]} JOIN r{n - 1} y ON y.feature = {ends[1]} AND y.term = x.term LEFT JOIN c{n} c ON c.feature = k{n}.feature AND c.term = x.term"
+            total = f"(SELECT count(*) FROM o{n})"
+        out[f"p{n}"] = f"SELECT *, CASE WHEN a = 0 THEN 1.0 ELSE {_tail('a', 'least(k, m)')} END AS p FROM o{n} JOIN k{n} USING (feature) JOIN mt1 USING (term) CROSS JOIN un"
+        out[f"l{n}"] = f"SELECT p, sum(count(*)) OVER (ORDER BY p) AS r FROM p{n} GROUP BY p"
+        out[f"q{n}"] = f"SELECT p, least(1.0, min(p * {total} / r) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM l{n}"
+        out[f"all{n}"] = f"SELECT feature, term, CAST({n} AS BIGINT) AS level, a, p{n}.p, q FROM p{n} JOIN q{n} ON p{n}.p = q{n}.p"
+        out[f"r{n}"] = f"SELECT feature, term FROM all{n} WHERE q <= {alpha}"
+    every = " UNION ALL ".join(f"SELECT * FROM all{n}" for n in (1, 2, 3))
+    return f"SELECT feature, term, level, a, {_logp('p')} AS neg_log10_p, {_logp('q')} AS neg_log10_q, q <= {alpha} AS rejected FROM ({every})", out
+
+
 SQL: dict[str, str] = {
     "cooccurrence": _with("pairs", "SELECT * FROM pairs"),
     "feature_marginals": _with("kf", "SELECT * FROM kf"),
@@ -212,5 +250,20 @@ SQL: dict[str, str] = {
     "full_pipeline": _with("feats et mt un own paths", f"""SELECT coalesce(h.feature, x.feature) AS feature, coalesce(h.term, x.term) AS term, a, CASE WHEN h.p IS NOT NULL THEN {_logp('p')} END AS neg_log10_p, CASE WHEN h.p IS NOT NULL THEN {_logp('q')} END AS neg_log10_q,
         x.annotation_type, x.direct_source_term, {_SCORE.replace('score', 'x.score')} AS association_score FROM hit h FULL JOIN noted x ON h.feature = x.feature AND h.term = x.term""", **_shrunk(), **_WHOLE),
 }
+_select, _parts = _step_down(0.6)
+SQL["step_down"] = _with("feats et un", _select, **_parts)
+SQL["supported_composites"] = _with("arch comp", "SELECT feature, count(DISTINCT entity) AS n_entities FROM (SELECT entity, array_to_string(list_slice(singles, i, i + n - 1), ',') AS feature FROM (SELECT entity, singles, n, unnest(range(1, len(singles) - n + 2)) AS i FROM arch, (VALUES (2), (3), (4)) AS v(n))) GROUP BY feature HAVING n_entities >= 3")
+SQL["support_levels"] = _with("arch", " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS n_parts, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows, count(*) AS n_candidates, count(*) FILTER (WHERE n >= 3) AS n_kept FROM keep{n}" for n in (1, 2, 3, 4)), **_SUPPORT)
+SQL["score_quartiles"] = _with("s", " UNION ALL ".join(f"SELECT '{name}' AS name, " + ", ".join(f"round(quantile_cont({x}, {q}), 4) + 0.0 AS {c}" for c, q in (("least", 0), ("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("most", 1))) + " FROM s" for name, x in (("neg_log10_p", "-log10(greatest(p, 1e-300))"), ("cooccurrences", "CAST(a AS DOUBLE)"), ("hyper_score", "score"))))
+_CYCLES = {
+    "ring": "SELECT child, parent FROM edges WHERE parent <> 'ROOT' UNION SELECT string_split(p_name, ' ')[2], p_name FROM part WHERE substr(p_name, 1, 1) IN ('a', 'b', 'c', 'd', 'e', 'f')",
+    "reach": "SELECT child AS term, parent AS ancestor FROM ring UNION SELECT reach.term, ring.parent FROM reach JOIN ring ON reach.ancestor = ring.child",
+    "mutual": "SELECT x.term, x.ancestor FROM reach x JOIN reach y ON y.term = x.ancestor AND y.ancestor = x.term",
+    "cyc": "SELECT term, min(ancestor) AS cycle, count(*) AS n_terms FROM mutual GROUP BY term",
+}
+SQL["ontology_cycles"] = _with("edges", "SELECT * FROM cyc", **_CYCLES)
+SQL["acyclic_check"] = _with("edges", """SELECT 'ontology' AS edges, true AS is_acyclic, (SELECT count(*) FROM (SELECT child FROM edges UNION SELECT parent FROM edges)) AS n_terms, (SELECT count(*) FROM edges) AS n_edges, CAST(0 AS BIGINT) AS n_cyclic, CAST(0 AS BIGINT) AS n_cycles
+    UNION ALL SELECT 'names', (SELECT count(*) FROM cyc) = 0, (SELECT count(*) FROM (SELECT child FROM edges WHERE parent <> 'ROOT' UNION SELECT parent FROM edges WHERE parent <> 'ROOT')),
+        (SELECT count(*) FROM edges WHERE parent <> 'ROOT') + (SELECT count(DISTINCT p_name) FROM part WHERE substr(p_name, 1, 1) IN ('a', 'b', 'c', 'd', 'e', 'f')), (SELECT count(*) FROM cyc), (SELECT count(DISTINCT cycle) FROM cyc)""", **_CYCLES)
 #: The names of round one for the queries on runs of up to three features.
 SQL |= {f"{name}_whole": SQL[name] for name in ("shrink_pvalues", "shrink_stats", "full_pipeline")}

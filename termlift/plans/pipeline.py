@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlift.functions.lineage import cut
-from termlift.operators import associations, features, ontology, shrinkage
+from termlift.operators import associations, features, hierarchy, ontology, shrinkage
 
 
 class ConfigurationError(ValueError):
@@ -36,6 +36,8 @@ class Parameters:
     prefer_direct: bool = False
     propagate_entity_terms: bool = False
     min_cooccurrence: int = 1
+    min_support: int = 1
+    step_down: bool = False
 
     def __post_init__(self) -> None:
         for name in ("alpha", "level_alpha"):
@@ -43,8 +45,10 @@ class Parameters:
                 raise ConfigurationError(f"{name} must lie between 0 and 1")
         if not 0 <= self.shrinkage_strength <= 1:
             raise ConfigurationError("shrinkage_strength must lie in [0, 1]")
-        if self.shrinkage_min_obs <= 0 or self.max_run < 1 or self.min_background < 0 or self.min_cooccurrence < 1:
-            raise ConfigurationError("shrinkage_min_obs, max_run and min_cooccurrence must be positive, min_background not negative")
+        if self.shrinkage_min_obs <= 0 or self.max_run < 1 or self.min_background < 0 or self.min_cooccurrence < 1 or self.min_support < 1:
+            raise ConfigurationError("shrinkage_min_obs, max_run, min_cooccurrence and min_support must be positive, min_background not negative")
+        if self.step_down and self.with_shrinkage:
+            raise ConfigurationError("composites are weighted by shrinkage or by stepping down, not by both")
         if self.orientation not in ("to_root", "to_leaf"):
             raise ConfigurationError("orientation must be to_root or to_leaf")
 
@@ -83,25 +87,28 @@ def associate(occurrence_arch: DataFrame, terms: DataFrame, params: Parameters,
 
     Features are those of entities that have terms too; all annotated entities count as the universe."""
     both = occurrence_arch.join(terms.select("entity").distinct(), "entity", "left_semi")
-    feats = features.entity_features(both, params.with_composites)
+    feats = cut(features.entity_features(both, params.with_composites, params.min_support, params.max_run))
     known = terms.join(both.select("entity"), "entity", "left_semi").select("term").distinct()
-    own = terms.join(known, "term", "left_semi")
+    own = cut(terms.join(known, "term", "left_semi"))
     paths = ontology.closure(edges, params.orientation) if edges is not None and (params.with_ontology or params.propagate_entity_terms) else None
     if params.propagate_entity_terms and paths is not None:
-        own = ontology.with_ancestors(own, paths)
+        own = cut(ontology.with_ancestors(own, paths))
     universe = associations.universe(feats, terms)
-    pairs = associations.cooccurrence(feats, own).where(F.col("a") >= params.min_cooccurrence)
-    meta = features.metadata(feats)
     shrunk = params.with_shrinkage and params.with_composites
-    if shrunk:
-        pairs = shrinkage.extended_pairs(pairs, meta)
-    rows = associations.tested(associations.contingency(feats, own, universe, pairs))
-    if shrunk:
-        rows = shrinkage.shrink(rows, meta, params.shrinkage_strength, params.shrinkage_min_obs)
-    rows = cut(rows)  # the ranks below read it more than once
-    n_tests = associations.number_of_tests(feats, own).first()["n_tests"]
-    rows = associations.adjusted(rows, n_tests)
-    rows = cut(rows) if params.with_ontology else rows
+    if params.step_down:
+        rows = hierarchy.step_down(feats, own, params.alpha, params.max_run if params.with_composites else 1, universe)
+        rows = rows.where(F.col("a") >= params.min_cooccurrence)
+    else:
+        pairs = cut(associations.cooccurrence(feats, own).where(F.col("a") >= params.min_cooccurrence))
+        if shrunk:
+            meta = cut(features.metadata(feats))
+            pairs = cut(shrinkage.extended_pairs(pairs, meta))
+        rows = associations.tested(associations.contingency(feats, own, universe, pairs))
+        if shrunk:
+            rows = shrinkage.shrink(cut(rows), meta, params.shrinkage_strength, params.shrinkage_min_obs)
+        n_tests = associations.number_of_tests(feats, own).first()["n_tests"]
+        rows = associations.adjusted(cut(rows), n_tests)  # the ranks read it more than once
+        rows = cut(rows) if params.with_ontology else rows
     hits = associations.significant(rows, params.alpha)
     annotations = None
     if params.with_ontology and edges is not None:

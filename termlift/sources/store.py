@@ -1,15 +1,20 @@
 """A store of results: annotations, association statistics and metadata as Parquet tables in a folder.
 
-Writing checks the constraints first and then replaces a table. Each table is written beside the old one, and a pointer
-file with the next version's number is renamed to its place last; the pointer with the highest number counts. So a
-reader sees the old or the new table, never none or part of one, whenever a writer ends. The version before the
-current one stays, for those who read it still.
+A version of the store is one manifest, a file that names the data of every table. A writer puts new data beside the old, checks the
+constraints on what it wrote, and publishes all tables at once by renaming a manifest to the next version's name, which fails
+where another writer has taken it meanwhile. Readers take the manifest with the highest number, or the one they ask for, so they
+see all tables of one version and never part of one, whenever a writer ends; data without a manifest is nobody's
+and vacuum() removes it. The last KEPT versions stay, for those who read them still.
+
+Annotations are laid out twice: by feature and by term, each in ranges of its key and sorted, in small row groups with Bloom filters,
+so a lookup by either key reads the row groups that can hold it.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Collection
 
@@ -19,6 +24,7 @@ from pyspark.sql.window import Window
 
 TABLES = {
     "annotations": "feature string, term string, q_value double, association_score double, annotation_type string, direct_source_term string",
+    "annotations_by_term": "feature string, term string, q_value double, association_score double, annotation_type string, direct_source_term string",
     "statistics": "feature string, term string, a long, b long, c long, d long, odds_ratio double, p_value double, hyper_score double",
     "metadata": "key string, value string, data_type string, updated_at timestamp",
 }
@@ -28,6 +34,10 @@ class ConstraintError(ValueError):
     """Rows that the store does not take."""
 
 
+class SchemaError(ValueError):
+    """A folder whose tables are not those of this store."""
+
+
 def violations(annotations: DataFrame, prefix: str | None = "GO:") -> DataFrame:
     """Rows that break a constraint, with `reason`. Scores from 0 to 100 are taken."""
     n = F.count("*").over(Window.partitionBy("feature", "term", "annotation_type"))
@@ -56,9 +66,24 @@ def orphans(annotations: DataFrame, statistics: DataFrame) -> DataFrame:
     return annotations.where("annotation_type = 'direct'").join(statistics.select("feature", "term"), ["feature", "term"], "left_anti")
 
 
+class ConflictError(OSError):
+    """Another writer has published a version since this one began."""
+
+
+#: Versions that stay readable; bytes of a row group; key columns of the two layouts of annotations.
+KEPT, ROW_GROUP, LAYOUTS = 2, 1 << 20, {"annotations": "feature", "annotations_by_term": "term"}
+
+
 class ResultStore:
-    def __init__(self, spark: SparkSession, folder: str, prefix: str | None = "GO:"):
-        self.spark, self.folder, self.prefix = spark, folder.rstrip("/"), prefix
+    """The store in a folder; with `version`, a snapshot of it as it then was, which cannot be written."""
+
+    def __init__(self, spark: SparkSession, folder: str, prefix: str | None = "GO:", version: int | None = None):
+        self.spark, self.folder, self.prefix, self.version = spark, folder.rstrip("/"), prefix, version
+        if faults := self.check_schema():
+            raise SchemaError("; ".join(faults))
+
+    def at(self, version: int) -> ResultStore:
+        return ResultStore(self.spark, self.folder, self.prefix, version)
 
     # ---------------------------------------------------------------- files
 
@@ -66,74 +91,150 @@ class ResultStore:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self, table: str) -> list[tuple[int, str]]:
-        """(number, path) of the table's pointers, the current one last."""
-        p, fs = self._fs(self.folder)
-        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-        found = [re.fullmatch(rf"{table}\.v([0-9]+)", n) for n in names]
-        return sorted((int(m[1]), f"{self.folder}/{m[0]}") for m in found if m)
+    def _listed(self, path: str) -> list[tuple[str, int]]:
+        """(name, time of change in milliseconds) of what a folder holds."""
+        p, fs = self._fs(path)
+        return [(f.getPath().getName(), f.getModificationTime()) for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def versions(self) -> list[int]:
+        """Numbers of the readable versions, the current one last."""
+        found = [re.fullmatch(r"v([0-9]{12})\.json", n) for n, _ in self._listed(f"{self.folder}/versions")]
+        return sorted(int(m[1]) for m in found if m)
 
-    def _target(self, pointer: str) -> str:
-        p, fs = self._fs(pointer)
+    def _manifest_path(self, version: int) -> str:
+        return f"{self.folder}/versions/v{version:012d}.json"
+
+    def _read_manifest(self, version: int) -> dict:
+        p, fs = self._fs(self._manifest_path(version))
         stream = fs.open(p)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _current(self, table: str) -> str | None:
-        versions = self._versions(table)
-        return self._target(versions[-1][1]) if versions else None
-
-    def _replace(self, table: str, rows: DataFrame) -> None:
-        name = f"{table}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.folder}/{name}")
-        versions = self._versions(table)
-        new, fs = self._fs(f"{self.folder}/{name}.next")
-        stream = fs.create(new, True)
-        stream.write(bytearray(name.encode()))
+    def manifest(self) -> dict:
+        """version, parent, and for each table the name of its data, its schema and its number of rows."""
+        known = self.versions()
+        if self.version is not None and self.version not in known:
+            raise FileNotFoundError(f"{self.folder} has the versions {known}, not {self.version}")
+        return self._read_manifest(self.version or known[-1]) if known else {"version": 0, "parent": None, "tables": {}}
+
+    def _publish(self, base: int, tables: dict) -> int:
+        """Put a manifest in the place of the version after base, or fail where there is one already."""
+        made = {"version": base + 1, "parent": base or None, "tables": tables}
+        temporary, fs = self._fs(f"{self.folder}/versions/.{uuid.uuid4().hex}")
+        stream = fs.create(temporary, False)
+        stream.write(bytearray(json.dumps(made, sort_keys=True).encode()))
         stream.close()
-        at, _ = self._fs(f"{self.folder}/{table}.v{versions[-1][0] + 1 if versions else 1:012d}")
-        if not fs.rename(new, at):
-            raise OSError(f"another writer was first: {at}")
-        for _, pointer in versions[:-1]:
-            fs.delete(self._fs(f"{self.folder}/{self._target(pointer)}")[0], True)
-            fs.delete(self._fs(pointer)[0], False)
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        never_over = gateway.new_array(kind, 1)
+        never_over[0] = kind.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(temporary, self._fs(self._manifest_path(base + 1))[0], never_over)
+        except Exception as e:
+            fs.delete(temporary, False)
+            raise ConflictError(f"version {base + 1} of {self.folder} was published by another writer") from e
+        return base + 1
+
+    def _write(self, table: str, rows: DataFrame) -> tuple[str, dict]:
+        """Data that no manifest names yet, and what a manifest says of it."""
+        name = f"{table}-{uuid.uuid4().hex}"
+        writer = rows.write
+        if key := LAYOUTS.get(table):
+            rows = rows.repartitionByRange(key).sortWithinPartitions(key, "feature", "term")
+            writer = rows.write.option("parquet.block.size", ROW_GROUP)
+            for column in ("feature", "term"):
+                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(f"{self.folder}/data/{name}")
+        data = self.spark.read.parquet(f"{self.folder}/data/{name}")
+        return name, {"data": name, "schema": _described(data), "rows": data.count()}
+
+    def vacuum(self, older_than_s: float = 24 * 3600) -> list[str]:
+        """Delete data that no version names and that did not change for so long, and say which. Writers need less time than that."""
+        named = {t["data"] for v in self.versions() for t in self._read_manifest(v)["tables"].values()}
+        before = 1000 * (time.time() - older_than_s)
+        gone = [n for n, changed in self._listed(f"{self.folder}/data") if n not in named and changed <= before]
+        for name in gone:
+            p, fs = self._fs(f"{self.folder}/data/{name}")
+            fs.delete(p, True)
+        return sorted(gone)
+
+    def _forget(self) -> None:
+        """Versions before the last KEPT ones, their manifests first, and the data that only they name."""
+        known = self.versions()
+        named = {t["data"] for v in known[-KEPT:] for t in self._read_manifest(v)["tables"].values()}
+        for v in known[:-KEPT]:
+            old = {t["data"] for t in self._read_manifest(v)["tables"].values()} - named
+            p, fs = self._fs(self._manifest_path(v))
+            fs.delete(p, False)
+            for name in old:
+                fs.delete(self._fs(f"{self.folder}/data/{name}")[0], True)
 
     def table(self, name: str) -> DataFrame:
-        current = self._current(name)
-        if current is None:
+        tables = self.manifest()["tables"]
+        if name not in tables:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.parquet(f"{self.folder}/{current}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/data/{tables[name]['data']}")
 
     # ---------------------------------------------------------------- writing
 
-    def store(self, annotations: DataFrame, metadata: dict | None = None, statistics: DataFrame | None = None) -> None:
-        """Replace the annotations (an empty set changes nothing), and statistics and metadata where given."""
-        if annotations.isEmpty():
-            return
-        if bad := violations(annotations, self.prefix).take(5):
-            raise ConstraintError(f"annotations break constraints, such as {bad}")
-        if statistics is not None and (bad := statistics_violations(statistics).take(5)):
-            raise ConstraintError(f"statistics break constraints, such as {bad}")
-        if statistics is not None and (bad := orphans(annotations, statistics).take(5)):
-            raise ConstraintError(f"annotations have no statistics, such as {bad}")
-        names = [c.split()[0] for c in TABLES["annotations"].split(", ")]
-        self._replace("annotations", annotations.select(*names).sortWithinPartitions("feature"))
-        if statistics is not None:
-            self._replace("statistics", statistics.select(*[c.split()[0] for c in TABLES["statistics"].split(", ")]))
-        if metadata is not None:
-            self._replace("metadata", metadata_rows(self.spark, metadata))
-
-    def backup(self, folder: str) -> None:
-        for name in TABLES:
-            if self._current(name):
-                ResultStore(self.spark, folder, self.prefix)._replace(name, self.table(name))
+    def store(self, annotations: DataFrame, metadata: dict | None = None, statistics: DataFrame | None = None) -> int | None:
+        """Replace the annotations (an empty set changes nothing), and statistics and metadata where given, in one
+        version, whose number is returned. What is given is computed once; constraints are checked on what was written."""
+        if self.version is not None:
+            raise ValueError(f"version {self.version} is a snapshot")
+        base = self.manifest()
+        made, mine = dict(base["tables"]), []
+
+        def write(table: str, rows: DataFrame) -> DataFrame:
+            name, made[table] = self._write(table, rows)
+            mine.append(name)
+            return self.spark.read.parquet(f"{self.folder}/data/{name}")
+
+        try:
+            rows = write("annotations", annotations.select(*_names("annotations")))
+            if not made["annotations"]["rows"]:
+                self._drop(mine)
+                return None
+            if bad := violations(rows, self.prefix).take(5):
+                raise ConstraintError(f"annotations break constraints, such as {bad}")
+            if statistics is not None:
+                stats = write("statistics", statistics.select(*_names("statistics")))
+                if bad := statistics_violations(stats).take(5):
+                    raise ConstraintError(f"statistics break constraints, such as {bad}")
+                if bad := orphans(rows, stats).take(5):
+                    raise ConstraintError(f"annotations have no statistics, such as {bad}")
+            write("annotations_by_term", rows)
+            if metadata is not None:
+                write("metadata", metadata_rows(self.spark, metadata))
+            version = self._publish(base["version"], made)
+        except (ConstraintError, ConflictError):
+            self._drop(mine)
+            raise
+        self._forget()
+        return version
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            p, fs = self._fs(f"{self.folder}/data/{name}")
+            fs.delete(p, True)
+
+    def backup(self, folder: str) -> int | None:
+        """A copy of this version as the next one of another store, whole or not at all."""
+        copy = ResultStore(self.spark, folder, self.prefix)
+        base, made = copy.manifest(), {}
+        for name in self.manifest()["tables"]:
+            _, made[name] = copy._write(name, self.table(name))
+        return copy._publish(base["version"], made) if made else None
 
     # ---------------------------------------------------------------- reading
 
     def query(self, feature: str | None = None, term: str | None = None, kind: str | None = None, limit: int | None = None) -> DataFrame:
-        return query(self.table("annotations"), feature, term, kind, limit)
+        """Through the layout whose key is asked for; by feature, where both are."""
+        layout = "annotations_by_term" if term and not feature else "annotations"
+        return query(self.table(layout), feature, term, kind, limit)
 
     def export_tsv(self, path: str, **filters) -> None:
         """Write filtered annotations; nothing is written where none are left."""
@@ -146,22 +247,33 @@ class ResultStore:
         return {r["key"]: read[r["data_type"]](r["value"]) for r in self.table("metadata").collect()}
 
     def check_schema(self) -> list[str]:
-        """What differs between the tables of an existing store and TABLES."""
-        out = []
-        for name, wanted in TABLES.items():
-            if self._current(name):
-                found = ", ".join(f"{c} {t.replace('bigint', 'long')}" for c, t in self.table(name).dtypes)
-                if found != wanted:
-                    out.append(f"{name}: {found} instead of {wanted}")
-        return out
+        """What differs between the tables of the version and TABLES, by the manifest."""
+        tables = self.manifest()["tables"]
+        out = [f"unknown table {name}" for name in sorted(tables.keys() - TABLES.keys())]
+        return out + [f"{n}: {tables[n]['schema']} instead of {wanted}" for n, wanted in TABLES.items() if n in tables and tables[n]["schema"] != wanted]
 
     def info(self) -> DataFrame:
-        """(table_name, n_rows)."""
-        out = None
-        for name in TABLES:
-            one = self.table(name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
-            out = one if out is None else out.unionByName(one)
-        return out
+        """(table_name, n_rows) of the tables, layouts apart."""
+        tables = self.manifest()["tables"]
+        rows = [(name, tables.get(name, {}).get("rows", 0)) for name in TABLES if name != "annotations_by_term"]
+        return self.spark.createDataFrame(rows, "table_name string, n_rows long")
+
+    def files(self) -> DataFrame:
+        """(table_name, n_files, n_bytes, key): how each table of the version lies in the folder."""
+        out = []
+        for name, t in sorted(self.manifest()["tables"].items()):
+            p, fs = self._fs(f"{self.folder}/data/{t['data']}")
+            found = [f.getLen() for f in fs.listStatus(p) if f.getPath().getName().endswith(".parquet")]
+            out.append((name, len(found), sum(found), LAYOUTS.get(name)))
+        return self.spark.createDataFrame(out, "table_name string, n_files long, n_bytes long, key string")
+
+
+def _names(table: str) -> list[str]:
+    return [c.split()[0] for c in TABLES[table].split(", ")]
+
+
+def _described(rows: DataFrame) -> str:
+    return ", ".join(f"{c} {t.replace('bigint', 'long')}" for c, t in rows.dtypes)
 
 
 def metadata_rows(spark: SparkSession, values: dict) -> DataFrame:

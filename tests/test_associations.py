@@ -65,9 +65,28 @@ def test_sparse_equals_dense(spark, seed):
 def test_bh_ranges_and_ties(spark, ranges):
     ps = [0.01, 0.01, 0.05, 0.05, 0.1, 0.9, 0.9, 1e-8, 0.3]
     rows = spark.createDataFrame([(p,) for p in ps], "p_value double")
-    got = {r.p: r.q for r in A.q_levels(rows, len(ps), ranges=ranges).collect()}
+    got = {(r.p_value, r.q_value) for r in A.adjusted(rows, len(ps), ranges=ranges).collect()}
     want = bh(dict(enumerate(ps)))
-    assert all(got[p] == pytest.approx(max(want[i] for i in range(len(ps)) if ps[i] == p)) for p in set(ps))
+    assert len(got) == len(set(ps)) and all(q == pytest.approx(max(want[i] for i in range(len(ps)) if ps[i] == p)) for p, q in got)
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 40, None])
+def test_adjusted_values_of_many_rows(spark, ranges):
+    """A third of all rows share one value, others tie at many; 0, 1 and values that vanish are among them."""
+    rng = random.Random(ranges)
+    ps = [rng.choice([0.2, 1.0, 0.0, 1e-320, round(rng.random() ** 4, 3), rng.random() ** 9]) if i % 3 else 0.031 for i in range(900)]
+    rows = spark.createDataFrame(list(enumerate(ps)), "i int, p_value double").repartition(5)
+    got = A.adjusted(rows, 2000, ranges=ranges).collect()
+    dense = bh(dict(enumerate(ps + [1.0] * 1100)))
+    assert sorted(r.i for r in got) == list(range(900))
+    assert all(r.q_value == pytest.approx(min(1.0, dense[r.i]), rel=1e-12) for r in got)
+
+
+def test_rows_of_one_value_are_not_dealt(spark):
+    """The rows of a hot value meet one row a class by broadcast; only the others are shuffled."""
+    rows = spark.createDataFrame([(1.0,)] * 50 + [(0.3,), (0.2,)], "p_value double")
+    plan = A.adjusted(rows, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
 
 
 def test_threshold_and_significance_are_inclusive(spark):
