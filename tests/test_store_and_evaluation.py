@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from termlift.operators import evaluation as E
 from termlift.plans.pipeline import CONFIGURATIONS, ConfigurationError, Parameters, associate
@@ -41,17 +42,110 @@ def test_a_bad_row_leaves_the_store_as_it_was(spark, tmp_path, rows):
     assert st.table("annotations").count() == 3
 
 
-def test_a_reader_never_sees_an_empty_store(spark, tmp_path, rows):
-    st = S.ResultStore(spark, f"file://{tmp_path}/store")
-    st.store(rows)
+def data_of(folder, table="annotations"):
+    return sorted(p.name for p in (folder / "data").iterdir() if p.name.startswith(f"{table}-"))
+
+
+def test_versions_are_whole_and_the_last_two_stay(spark, tmp_path, rows):
+    folder = tmp_path / "store"
+    st = S.ResultStore(spark, f"file://{folder}")
+    assert st.store(rows, {"n": 1}) == 1
     before = st.table("annotations")
-    st.store(rows.where("feature = 'F2'"))
-    assert before.count() == 3 and st.table("annotations").count() == 1  # the version before is there still
-    st.store(rows.where("feature = 'F1'"))
-    assert st.table("annotations").count() == 2 and len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("annotations-")]) == 2
-    # a writer that dies before its pointer is in place changes nothing
-    (tmp_path / "store" / "annotations-dead.next").write_text("annotations-dead")
-    assert st.table("annotations").count() == 2 and st.check_schema() == []
+    assert st.store(rows.where("feature = 'F2'")) == 2
+    assert before.count() == 3 and st.table("annotations").count() == 1 and st.versions() == [1, 2]
+    old = st.at(1)
+    assert old.table("annotations").count() == 3 and st.at(2).metadata() == old.metadata() == {"n": 1}
+    with pytest.raises(ValueError, match="snapshot"):
+        old.store(rows)
+    assert st.store(rows.where("feature = 'F1'"), {"n": 3}) == 3
+    assert st.versions() == [2, 3] and len(data_of(folder)) == 2 and len(data_of(folder, "metadata")) == 2
+    with pytest.raises(FileNotFoundError):
+        st.at(1).table("annotations")
+    assert st.manifest()["parent"] == 2 and {r.table_name: r.key for r in st.files().collect()} == {"annotations": "feature", "annotations_by_term": "term", "metadata": None}
+
+
+def test_a_writer_that_dies_between_tables_changes_nothing(spark, tmp_path, rows, monkeypatch):
+    folder = tmp_path / "store"
+    st = S.ResultStore(spark, f"file://{folder}")
+    st.store(rows, {"n": 1})
+    stats = spark.createDataFrame([(f, "GO:1", 1, 0, 0, 2, None, 0.1, 10.0) for f in ("F1", "F2")], S.TABLES["statistics"])
+    for step in ("statistics", "metadata"):
+        with monkeypatch.context() as m:
+            whole = S.ResultStore._write
+
+            def dies(self, table, df, step=step, whole=whole):
+                if table == step:
+                    raise RuntimeError("killed")
+                return whole(self, table, df)
+
+            m.setattr(S.ResultStore, "_write", dies)
+            with pytest.raises(RuntimeError):
+                st.store(rows.where("feature = 'F2'"), {"n": 2}, stats)
+        assert st.versions() == [1] and st.table("annotations").count() == 3 and st.metadata() == {"n": 1}
+    assert len(data_of(folder)) == 3  # one that counts, two of the dead
+    assert st.vacuum(3600) == [] and len(st.vacuum(-1)) >= 4 and len(data_of(folder)) == 1
+    assert st.store(rows.where("feature = 'F2'"), {"n": 2}, stats.where("feature = 'F2'")) == 2 and st.table("statistics").count() == 1
+
+
+def test_of_two_writers_one_wins(spark, tmp_path, rows, monkeypatch):
+    folder = tmp_path / "store"
+    first, second = (S.ResultStore(spark, f"file://{folder}") for _ in range(2))
+    first.store(rows)
+    publish = S.ResultStore._publish
+
+    def late(self, base, tables):
+        monkeypatch.setattr(S.ResultStore, "_publish", publish)
+        second.store(rows.where("feature = 'F2'"), {"by": "second"})
+        return publish(self, base, tables)
+
+    monkeypatch.setattr(S.ResultStore, "_publish", late)
+    with pytest.raises(S.ConflictError):
+        first.store(rows.where("feature = 'F1'"), {"by": "first"})
+    assert first.versions() == [1, 2] and first.metadata() == {"by": "second"} and first.table("annotations").count() == 1
+    assert len(data_of(folder)) == 2 and not [p for p in (folder / "versions").iterdir() if not p.name.lstrip(".").startswith("v")]
+
+
+def test_a_store_of_another_schema_is_not_opened(spark, tmp_path, rows):
+    folder = tmp_path / "store"
+    st = S.ResultStore(spark, f"file://{folder}")
+    st.store(rows)
+    path = folder / "versions" / "v000000000001.json"
+    path.write_text(path.read_text().replace("q_value double", "q_value float"))
+    (folder / "versions" / ".v000000000001.json.crc").unlink(missing_ok=True)
+    with pytest.raises(S.SchemaError, match="annotations"):
+        S.ResultStore(spark, f"file://{folder}")
+
+
+def scanned(df):
+    """Rows that a query's scans of files hand on, after it ran."""
+    df.collect()
+    scans, todo = {}, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if node.nodeName().startswith("Scan parquet"):
+            scans[node.id()] = node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return sum(scans.values())
+
+
+def test_a_lookup_by_either_key_reads_a_small_part(spark, tmp_path, monkeypatch):
+    """At most a tenth of the rows for one term or one feature; for both too; all of them without a key."""
+    monkeypatch.setattr(S, "ROW_GROUP", 1 << 14)
+    made = spark.range(60_000).selectExpr("concat('F', id % 3000) AS feature", "concat('GO:', id % 2000 + 2000 * (id div 6000)) AS term", "0.01D AS q_value", "50D AS association_score", "'direct' AS annotation_type", "'x' AS direct_source_term")
+    st = S.ResultStore(spark, f"file://{tmp_path}/store")
+    st.store(made)
+    for options in ({"term": "GO:77"}, {"feature": "F1234"}, {"feature": "F77", "term": "GO:77"}):
+        want = made
+        for c, v in options.items():
+            want = want.where(F.col(c) == v)
+        got = st.query(**options)
+        assert 0 < scanned(got) <= 6000 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), options
+    assert scanned(st.table("annotations")) == 60_000
 
 
 def test_direct_annotations_need_their_statistics(spark, tmp_path, rows):
