@@ -11,7 +11,8 @@ once more in larger groups, so that what is lost is a few sequences for every `g
 
 The ids of byte_bpe_50k.json are made by tiktoken from the same vocabulary as ranks, which is four times as
 fast as the tokenizers library here and gives the same ids (tests/llm compares them; `engine="tokenizers"`
-uses that library). Strings of special tokens in a text are ordinary text. tiktoken cannot split a text with about
+uses that library). Strings of the vocabulary's added tokens in a text get their own ids, as in that library's plain call with
+add_special_tokens=False; what lies between two of them is encoded by itself. tiktoken cannot split a text with about
 a million white-space characters in a row; such a run is cut out where the split pattern ends a token anyway and
 merged as one token of its own.
 
@@ -23,6 +24,7 @@ empty result; further columns of the input, whatever their names, are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -63,9 +65,18 @@ def encoder(json_path: str, ranks_path: str | None, engine: str = "tiktoken"):
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
+            added = {t["content"]: t["id"] for t in json.load(open(json_path, encoding="utf-8"))["added_tokens"]}
+            # the longest first, where one begins with another
+            cut_at = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
             split, whole = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("split", _SPLIT), ("whole", r"(?s).+")))
 
             def encode(text: str) -> np.ndarray:
+                if cut_at and cut_at.search(text):
+                    parts = [x for x in cut_at.split(text) if x]
+                    return np.concatenate([np.array([added[x]], "<u4") if x in added else plain_text(x) for x in parts])
+                return plain_text(text)
+
+            def plain_text(text: str) -> np.ndarray:
                 try:
                     return split.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
                 except ValueError:  # the pattern's stack is too small for a run of white space
@@ -76,7 +87,6 @@ def encoder(json_path: str, ranks_path: str | None, engine: str = "tiktoken"):
             from tokenizers import Tokenizer
 
             plain = Tokenizer.from_file(json_path)
-            plain.encode_special_tokens = True
             _made[json_path, engine] = lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, "<u4")
     return _made[json_path, engine]
 

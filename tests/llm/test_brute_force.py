@@ -371,6 +371,17 @@ def test_both_engines_agree_on_odd_texts():
         assert a(text).tolist() == b(text).tolist(), text
 
 
+END = "<|endoftext|>"
+
+
+@pytest.mark.parametrize("text", [f"a {END} b", END, f"{END}x", f"x {END}", END * 2, f"{END} {END}", f"  {END}\n\n{END}  y", f"a   {END}   b", "<|endoftext|", "<|ENDOFTEXT|>", f"<|{END}|>", f"x\n{END}'s", f"y{' ' * 1_000_100}{END}{' ' * 1_000_100}z"])
+def test_strings_of_added_tokens_have_the_ids_of_the_plain_call(text):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(sequence_packing.vocabulary()[0])
+    assert sequence_packing.encoder(*sequence_packing.vocabulary())(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 LONG_RUNS = {
     "spaces": "x" + " " * 1_000_100, "lines": "\n" * 1_000_100 + "word", "mixed": "a  " + " \t" * 600_000 + " b" + "\n" * 1_000_100 + "c", "wide": "a" + "\u3000  " * 400_000 + " b\n",
     "letters": "x" * 1_000_100, "no space": "\x1c" * 1_000_100, "signs": "-" * 1_000_100,
