@@ -1,14 +1,16 @@
 """Readers of annotation, occurrence, ontology and gold-standard files as typed DataFrames.
 
-Text sources push nothing down; convert once to Parquet where a file is read often. gzip files are read
+Text sources push nothing down, but what a filter asks for is searched in the whole line first, so that lines without it are
+neither split nor dealt out; convert once to Parquet where a file is read often. gzip files are read
 whole by one task each, so readers deal their rows out where asked to (`partitions`).
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Collection
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlift.operators import filters
@@ -16,14 +18,28 @@ from termlift.operators import filters
 
 def _lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     rows = spark.read.text(path)
-    rows = rows.repartition(partitions) if partitions else rows
+    return _trimmed(rows.repartition(partitions) if partitions else rows)
+
+
+def _trimmed(rows: DataFrame) -> DataFrame:
     # trim() takes blanks only; trailing tabs and carriage returns go too
     return rows.select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
 
 
-def read_annotation_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """All lines of a GAF file but comments, with `malformed` for fewer than 15 fields."""
-    rows = _lines(spark, path, partitions).where(~F.col("line").startswith("!"))
+def _may_hold(line: Column, values: Collection[str] | None) -> Column:
+    """Whether any of the values may be a field inside the line: a search for bytes, before the line is split."""
+    found = [line.contains(f"\t{v}\t") for v in values or ()]
+    return functools.reduce(lambda x, y: x | y, found) if found else F.lit(True)
+
+
+def read_annotation_lines(spark: SparkSession, path: str, partitions: int | None = None, wanted: Collection[Collection[str] | None] = ()) -> DataFrame:
+    """All lines of a GAF file but comments, with `malformed` for fewer than 15 fields.
+
+    wanted: sets of values for inner fields; lines that cannot hold one of each set are left out before they are split."""
+    rows = spark.read.text(path).where(~F.ltrim("value").startswith("!"))
+    for values in wanted:
+        rows = rows.where(_may_hold(F.col("value"), values))
+    rows = _trimmed(rows.repartition(partitions) if partitions else rows).where(~F.col("line").startswith("!"))
     f = F.split("line", "\t")
     named = {"entity": 1, "qualifier": 3, "term": 4, "reference": 5, "evidence": 6, "aspect": 8, "taxon": 12}
     return rows.select((F.size(f) < 15).alias("malformed"), *[F.get(f, i).alias(n) for n, i in named.items()])
@@ -31,7 +47,7 @@ def read_annotation_lines(spark: SparkSession, path: str, partitions: int | None
 
 def read_annotations(spark: SparkSession, path: str, evidence: Collection[str] | None = None, aspects: Collection[str] | None = None, exclude_negated: bool = True, partitions: int | None = None) -> DataFrame:
     """Accepted rows of a GAF file."""
-    rows = read_annotation_lines(spark, path, partitions).where(~F.col("malformed")).drop("malformed")
+    rows = read_annotation_lines(spark, path, partitions, (evidence, aspects)).where(~F.col("malformed")).drop("malformed")
     return filters.accepted(rows, evidence, aspects, exclude_negated=exclude_negated)
 
 
@@ -123,5 +139,11 @@ def read_scan_hits(spark: SparkSession, path: str, analysis: str = "Pfam") -> Da
 
 
 def md5(spark: SparkSession, path: str) -> str:
-    """The MD5 of a file, for a check against a published one."""
-    return spark.read.format("binaryFile").load(path).select(F.md5("content").alias("h")).first()["h"]
+    """The MD5 of a file, for a check against a published one; read as a stream, so a file of any size takes no more memory."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.md5Hex(stream)
+    finally:
+        stream.close()

@@ -147,3 +147,17 @@ def test_extract_lines(spark, tmp_path):
     S.write_ids(spark.createDataFrame([("b",), ("a",), ("b",)], "entity string"), str(tmp_path / "w"))
     assert [r.value for r in spark.read.text(str(tmp_path / "w")).collect()] == ["a", "b"]
     assert S.species_paths("d", "human")["annotations"] == "d/goa_human.gaf.gz"
+
+
+def test_lines_are_left_out_before_they_are_split(spark, tmp_path):
+    """The same rows as without, and a plan that searches the line below the split."""
+    from termlift.sources import text_formats
+
+    line = lambda *f: "\t".join(["db", *f, *["x"] * (14 - len(f))])
+    lines = ["!comment", "  !also", line("E1", "s", "", "GO:1", "r", "EXP", "", "P"), line("E2", "s", "", "GO:1", "r", "IEA", "", "P"), line("E3", "s", "", "GO:1", "r", "EXP", "", "F"), line("EXP", "s", "", "GO:1", "P", "IEA", "", "F"), "short\tEXP\tP\t"]
+    (tmp_path / "a.gaf").write_text("\n".join(lines))
+    for evidence, aspects, want in ((["EXP"], ["P"], ["E1"]), (["EXP", "IEA"], None, ["E1", "E2", "E3", "EXP"]), (None, ["F"], ["E3", "EXP"]), ([], [], ["E1", "E2", "E3", "EXP"])):
+        got = text_formats.read_annotations(spark, str(tmp_path), evidence, aspects)
+        assert sorted(r.entity for r in got.collect()) == want
+    plan = text_formats.read_annotations(spark, str(tmp_path), ["EXP"], ["P"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(value" in plan
