@@ -72,7 +72,7 @@ def adjusted(rows: DataFrame, n_tests: int, p: str = "p_value", ranges: int | No
     A value with more than a share of the rows, such as p = 1, is a quantile, so its rows are a class of equal
     values and stay where they are; what lies between two quantiles is a bounded share and is ranked in one sort by a
     window of its own. A class's ranks begin after the counts, and its values end below the least value, of the classes
-    around it, one row each. rows are read three times: cut their lineage where it is dear."""
+    around it, one row each. rows are read five times: cut their lineage where it is dear."""
     n = rows.where(F.col(p).isNotNull()).count()
     ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, n // RANGE_ROWS))
     cuts = rows.agg(F.percentile_approx(p, [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges).alias("c")).first()["c"] or []
@@ -81,15 +81,18 @@ def adjusted(rows: DataFrame, n_tests: int, p: str = "p_value", ranges: int | No
     equal = F.get(F.array(*map(F.lit, cuts)), F.col("_at").cast("int")) == F.col(p)
     dealt = found.withColumn("_b", (2 * F.col("_at") + F.when(equal, 0).otherwise(1)).cast("int")).drop("_at")
     whole = Window.orderBy("_b")  # over one row for each class
-    sizes = dealt.where(F.col(p).isNotNull()).groupBy("_b").agg(F.count("*").alias("_t")).withColumn("_upto", F.sum("_t").over(whole)).drop("_t")
+    sizes = cut(dealt.where(F.col(p).isNotNull()).groupBy("_b").agg(F.count("*").alias("_t")).withColumn("_upto", F.sum("_t").over(whole)).drop("_t"))
     raised = F.col(p) * F.lit(float(n_tests))
     # downwards from the largest value, so that one order gives the rank and the running least
     down = Window.partitionBy("_b").orderBy(F.desc(p))
-    between = dealt.where("_b % 2 = 1").join(F.broadcast(sizes), "_b").withColumn("_q", raised / (F.col("_upto") - F.row_number().over(down) + 1))
-    between = cut(between.withColumn("_q", F.min("_q").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_upto"))
+    odd = dealt.where("_b % 2 = 1")
+    levels = odd.groupBy("_b", p).agg(F.count("*").alias("_n")).join(F.broadcast(sizes), "_b")  # counts are combined before they are dealt
+    levels = levels.withColumn("_q", raised / (F.col("_upto") - F.sum("_n").over(down) + F.col("_n")))
+    between = odd.join(F.broadcast(sizes), "_b").withColumn("_q", raised / (F.col("_upto") - F.row_number().over(down) + 1))
+    between = between.withColumn("_q", F.min("_q").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_upto")
     # of the classes of equal values, the value is the class's own
     values = F.get(F.array(*map(F.lit, cuts)), (F.col("_b") / 2).cast("int")) * F.lit(float(n_tests)) / F.col("_upto")
-    least = sizes.where("_b % 2 = 0").select("_b", values.alias("_m")).unionByName(between.groupBy("_b").agg(F.min("_q").alias("_m")))
+    least = sizes.where("_b % 2 = 0").select("_b", values.alias("_m")).unionByName(levels.groupBy("_b").agg(F.min("_q").alias("_m")))
     least = cut(least.select("_b", F.least(F.lit(1.0), F.min("_m").over(whole.rowsBetween(1, Window.unboundedFollowing))).alias("_after"), "_m"))
     least = F.broadcast(least)  # at most twice as many rows as ranges
     one = F.lit(1.0)

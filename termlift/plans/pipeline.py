@@ -112,6 +112,7 @@ def associate(occurrence_arch: DataFrame, terms: DataFrame, params: Parameters,
     hits = associations.significant(rows, params.alpha)
     annotations = None
     if params.with_ontology and edges is not None:
-        level = ontology.optimal_level(hits, feats, ontology.with_ancestors(terms, paths), edges, params.min_background, params.level_alpha, params.orientation)
+        reached = cut(ontology.with_ancestors(terms, paths))
+        level = ontology.optimal_level(hits, feats, reached, edges, params.min_background, params.level_alpha, params.orientation)
         annotations = ontology.propagate(level.withColumnRenamed("hyper_score", "association_score"), paths, params.prefer_direct)
     return Result(rows, hits, annotations)

@@ -86,7 +86,7 @@ def test_rows_of_one_value_are_not_dealt(spark):
     """The rows of a hot value meet one row a class by broadcast; only the others are shuffled."""
     rows = spark.createDataFrame([(1.0,)] * 50 + [(0.3,), (0.2,)], "p_value double")
     plan = A.adjusted(rows, 100)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(_b") == 1 and "hashpartitioning(p_value" not in plan
 
 
 def test_threshold_and_significance_are_inclusive(spark):
