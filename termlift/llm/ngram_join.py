@@ -16,7 +16,8 @@ many groups, and a pair counts in the first band it shares only. Steps 3 and 4 r
 roots for each class, never the pairs; texts travel only for classes with a pair that survived step 3.
 
 Defined cases: a text that is null or has no word links with nothing, nor does a row whose id is null;
-rows that repeat an id are one document for components, and each repeated text counts as a link; an
+rows that repeat an id are one document for components, and each repeated text counts as a link; a pair exactly at the
+threshold links, and of several documents the smallest id names the component; a text of any length is shingled whole; an
 empty table gives an empty result; further columns of the input are ignored.
 """
 

@@ -12,7 +12,7 @@ has ranks, not probabilities, so a piece's log probability is Zipf's, -log(rank
 vocabulary. A character in no piece costs `unknown` for each of its UTF-8 bytes, a byte piece each.
 
 Defined cases: a null or empty text, or one without a word, has 0 tokens; of segmentations with equal
-scores the one with fewer pieces counts; rows that repeat an id are documents of their own; an empty table
+scores the one with fewer pieces counts; a text of any length is counted whole, words of any length too; rows that repeat an id are documents of their own; an empty table
 gives an empty result; further columns of the input are ignored.
 """
 
