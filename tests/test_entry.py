@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-CHECKED = ["cooccurrence", "bh_adjust", "contingency_composites", "shrink_pvalues", "propagate", "threshold_sweep", "disposition_counts", "max_entities", "scan_annotations", "scan_counters", "scan_occurrences", "scan_ontology", "scan_gold", "extract_lines", "stored_annotations", "statistics_orphans", "bh_tested_pairs", "optimal_level_small_kept", "describe_associations", "annotation_quality", "step_down", "supported_composites", "support_levels", "score_quartiles", "ontology_cycles", "acyclic_check", "store_snapshots", "term_index", "stream_contingency", "optimal_level"]
+CHECKED = ["cooccurrence", "bh_adjust", "contingency_composites", "shrink_pvalues", "propagate", "threshold_sweep", "disposition_counts", "max_entities", "scan_annotations", "scan_counters", "scan_occurrences", "scan_ontology", "scan_gold", "extract_lines", "stored_annotations", "statistics_orphans", "bh_tested_pairs", "optimal_level_small_kept", "describe_associations", "annotation_quality", "step_down", "support_levels", "ontology_cycles", "store_snapshots", "stream_contingency"]
 
 
 def test_every_query_of_the_catalog_has_sql():
