@@ -112,9 +112,7 @@ def extract_lines(spark, d):
 # ------------------------------------------------------------------ ontology, gold and prediction files
 
 
-@_query(_with("terms", """SELECT replace(child, ' ', '_') AS child, replace(parent, ' ', '_') AS parent, CASE parent WHEN 'ROOT' THEN 'part_of' ELSE 'is_a' END AS relation
-    FROM edges WHERE NOT starts_with(child, 'b') AND NOT starts_with(parent, 'b')"""))
-def scan_ontology(spark, d):
+def _ontology_file(spark: SparkSession, d: str) -> str:
     """An OBO file whose lines end in CRLF, in which terms that begin with b are obsolete."""
     ident = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("_"))
     link = F.when(F.col("relation") == "is_a", F.concat(F.lit("is_a: "), ident("parent"), F.lit(" ! x"))).otherwise(F.concat(F.lit("relationship: "), "relation", F.lit(" "), ident("parent")))
@@ -122,7 +120,18 @@ def scan_ontology(spark, d):
     rows = C.terms(spark, d).join(links, "term", "left").coalesce(1)
     gone = F.when(F.col("term").startswith("b"), "is_obsolete: true")
     stanza = F.concat_ws("\r\n", F.lit("[Term]"), F.concat(F.lit("id: "), ident("term")), F.concat(F.lit("name: "), "term"), F.concat(F.lit("namespace: "), "namespace"), gone, "links")
-    return text_formats.read_ontology(spark, _text(rows, stanza, lineSep="\r\n\r\n"))[1]
+    return _text(rows, stanza, lineSep="\r\n\r\n")
+
+
+@_query(_with("terms", """SELECT replace(child, ' ', '_') AS child, replace(parent, ' ', '_') AS parent, CASE parent WHEN 'ROOT' THEN 'part_of' ELSE 'is_a' END AS relation
+    FROM edges WHERE NOT starts_with(child, 'b') AND NOT starts_with(parent, 'b')"""))
+def scan_ontology(spark, d):
+    return text_formats.read_ontology(spark, _ontology_file(spark, d))[1]
+
+
+@_query(_with("terms", "SELECT replace(term, ' ', '_') AS term, term AS name, namespace FROM terms WHERE NOT starts_with(term, 'b')"))
+def scan_ontology_terms(spark, d):
+    return text_formats.read_ontology(spark, _ontology_file(spark, d))[0].select("term", "name", "namespace")
 
 
 @_query(_with("gold", "SELECT feature, replace(term, ' ', '_') AS term, term AS term_name FROM gold"))
@@ -143,6 +152,15 @@ def predictions_file(spark, d):
     return back.join(hits.select("feature", "term", "a"), ["feature", "term"]).select("feature", "term", "a", (F.round("hyper_score", 2) + 0.0).alias("hyper_score"))
 
 
+@_query(C.SQL["top_k"])
+def top_table_file(spark, d):
+    """The table of the strongest associations, written as a TSV and read back."""
+    path = shared_path(spark, "top")
+    store.write_tsv(associations.top_k(C._tested(spark, d), 100).select("rank", "feature", "term", "p_value"), path)
+    back = spark.read.csv(path, sep="\t", header=True, schema="rank int, feature string, term string, p_value double")
+    return back.select("rank", "feature", "term", C._logp("p_value", "neg_log10_p"))
+
+
 # ------------------------------------------------------------------ store
 
 
