@@ -45,7 +45,12 @@ def contingency(features: DataFrame, terms: DataFrame, n: DataFrame | None = Non
     broadcasts them where their size allows."""
     pairs = cooccurrence(features, terms) if pairs is None else pairs
     n = universe(features, terms) if n is None else n
-    rows = pairs.join(marginals(features, "feature", "k"), "feature").join(marginals(terms, "term", "m"), "term").crossJoin(F.broadcast(n))
+    return cells(pairs, marginals(features, "feature", "k"), marginals(terms, "term", "m"), n)
+
+
+def cells(pairs: DataFrame, of_features: DataFrame, of_terms: DataFrame, n: DataFrame) -> DataFrame:
+    """contingency() from pairs(feature, term, a) and counts(feature, k), (term, m), (n) that are there already."""
+    rows = pairs.join(of_features, "feature").join(of_terms, "term").crossJoin(F.broadcast(n))
     return rows.select("feature", "term", "a", (F.col("k") - F.col("a")).alias("b"), (F.col("m") - F.col("a")).alias("c"), (F.col("n") - F.col("k") - F.col("m") + F.col("a")).alias("d"), "k", "m", "n")
 
 

@@ -50,7 +50,11 @@ def entity_features(arch: DataFrame, with_composites: bool = True, min_support:
 
 def metadata(features: DataFrame) -> DataFrame:
     """(feature, feature_type, constituents, n_obs) of distinct (entity, feature) rows."""
-    counted = features.groupBy("feature").agg(F.count("*").alias("n_obs"))
+    return described(features.groupBy("feature").agg(F.count("*").alias("n_obs")))
+
+
+def described(counted: DataFrame) -> DataFrame:
+    """metadata() of features that are counted already: (feature, n_obs)."""
     return counted.select("feature", feature_type(F.col("feature")).alias("feature_type"), constituents(F.col("feature")).alias("constituents"), "n_obs")
 
 

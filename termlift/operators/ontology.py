@@ -123,10 +123,11 @@ def namespace_counts(terms: DataFrame) -> DataFrame:
     return terms.groupBy("namespace").agg(F.count("*").alias("n_terms"))
 
 
-def with_ancestors(entity_terms: DataFrame, paths: DataFrame) -> DataFrame:
-    """Distinct (entity, term) with every term's ancestors added."""
+def with_ancestors(entity_terms: DataFrame, paths: DataFrame, distinct: bool = True) -> DataFrame:
+    """(entity, term) with every term's ancestors added; each once, unless what reads them does not mind."""
     more = entity_terms.join(paths.select("term", "ancestor"), "term").select("entity", F.col("ancestor").alias("term"))
-    return entity_terms.select("entity", "term").unionByName(more).distinct()
+    every = entity_terms.select("entity", "term").unionByName(more)
+    return every.distinct() if distinct else every
 
 
 def conditional_counts(wanted: DataFrame, features: DataFrame, entity_terms: DataFrame) -> DataFrame:

@@ -28,29 +28,32 @@ def extended_pairs(pairs: DataFrame, meta: DataFrame) -> DataFrame:
     """Pairs (feature, term, a) with those of composites and their parts' terms added, at a = 0.
 
     Shrinkage can pull such a pair's p below 1; all others that are left out keep p = 1."""
-    parts = meta.where(F.size("constituents") > 0).select("feature", F.explode(F.array_distinct("constituents")).alias("part")).distinct()
-    more = parts.join(pairs.select(F.col("feature").alias("part"), "term"), "part").select("feature", "term").distinct()
+    parts = meta.where(F.size("constituents") > 0).select("feature", F.explode(F.array_distinct("constituents")).alias("part"))
+    more = parts.join(pairs.select(F.col("feature").alias("part"), "term"), "part").select("feature", "term")
     return pairs.select("feature", "term", "a").unionByName(more.withColumn("a", F.lit(0).cast("long"))).groupBy("feature", "term").agg(F.max("a").alias("a"))
 
 
 def shrink(rows: DataFrame, meta: DataFrame, strength: float = STRENGTH, min_obs: float = MIN_OBS) -> DataFrame:
-    """rows(feature, term, p_value, ...): adds p_raw, prior, alpha and composite; p_value becomes the shrunk value.
+    """rows(feature, term, p_value, ...), distinct by feature and term: adds p_raw, prior, alpha and composite; p_value becomes the shrunk value.
 
     The prior is the geometric mean over the parts that were tested with the term; a part that occurs twice
     counts twice, a part that was not tested is skipped (absent pairs have p = 1 and count as such where
     the part occurs at all)."""
     check(strength, min_obs)
     shape = meta.select("feature", "constituents", "n_obs")
-    rows = rows.join(shape, "feature", "left")
-    of_parts = rows.where(F.size("constituents") > 0).select("feature", "term", F.explode("constituents").alias("part"))
-    single = rows.where(F.size("constituents") == 0).select(F.col("feature").alias("part"), "term", F.col("p_value").alias("part_p"))
-    known = shape.where(F.size("constituents") == 0).select(F.col("feature").alias("part"), F.lit(True).alias("known"))
-    met = of_parts.join(single, ["part", "term"], "left").join(known, "part", "left")
-    part_p = F.coalesce("part_p", F.when(F.col("known"), F.lit(1.0)))
-    prior = met.groupBy("feature", "term").agg(F.exp(F.avg(F.ln(F.greatest(part_p, F.lit(TINY))))).alias("prior"))
-    out = rows.join(prior, ["feature", "term"], "left").withColumn("alpha", F.when(F.col("prior").isNotNull(), alpha(F.col("n_obs"), strength, min_obs)))
+    kept = [c for c in rows.columns if c not in ("feature", "term")]
+    single = rows.join(shape.where(F.size("constituents") == 0).select("feature"), "feature", "left_semi").select(F.col("feature").alias("_part"), "term", F.col("p_value").alias("_part_p"))
+    known = shape.where(F.size("constituents") == 0).select(F.col("feature").alias("_part"), F.lit(True).alias("_known"))
+    every = rows.join(shape, "feature", "left")
+    met = every.withColumns({"_n_parts": F.size("constituents"), "_part": F.explode_outer("constituents")}).drop("constituents")
+    met = met.join(single, ["_part", "term"], "left").join(known, "_part", "left")
+    part_p = F.coalesce("_part_p", F.when(F.col("_known"), F.lit(1.0)))
+    prior = F.exp(F.avg(F.when(part_p.isNotNull(), F.ln(F.greatest(part_p, F.lit(TINY)))))).alias("prior")  # greatest() passes over nulls
+    # a row's other columns go through the aggregation with it, so that it is not joined to its own prior
+    out = met.groupBy("feature", "term").agg(*[F.first(c).alias(c) for c in [*kept, "n_obs", "_n_parts"]], prior)
+    out = out.withColumn("alpha", F.when(F.col("prior").isNotNull(), alpha(F.col("n_obs"), strength, min_obs)))
     mixed = F.exp((1 - F.col("alpha")) * F.ln(F.greatest("p_value", F.lit(TINY))) + F.col("alpha") * F.ln(F.greatest("prior", F.lit(TINY))))
-    return out.withColumn("p_raw", F.col("p_value")).withColumn("p_value", F.coalesce(mixed, F.col("p_value"))).withColumn("composite", F.size("constituents") > 0).drop("constituents", "n_obs")
+    return out.withColumn("p_raw", F.col("p_value")).withColumn("p_value", F.coalesce(mixed, F.col("p_value"))).withColumn("composite", F.col("_n_parts") > 0).drop("_n_parts", "n_obs")
 
 
 def statistics(rows: DataFrame, threshold: float = 0.01, n_dense: int | None = None) -> DataFrame:

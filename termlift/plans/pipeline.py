@@ -86,33 +86,35 @@ def associate(occurrence_arch: DataFrame, terms: DataFrame, params: Parameters,
     """occurrence_arch: as of features.architectures(); terms(entity, term) distinct; edges of the ontology.
 
     Features are those of entities that have terms too; all annotated entities count as the universe."""
-    both = occurrence_arch.join(terms.select("entity").distinct(), "entity", "left_semi")
+    terms = cut(terms)
+    both = cut(occurrence_arch.join(terms.select("entity"), "entity", "left_semi"))
     feats = cut(features.entity_features(both, params.with_composites, params.min_support, params.max_run))
     known = terms.join(both.select("entity"), "entity", "left_semi").select("term").distinct()
     own = cut(terms.join(known, "term", "left_semi"))
     paths = ontology.closure(edges, params.orientation) if edges is not None and (params.with_ontology or params.propagate_entity_terms) else None
     if params.propagate_entity_terms and paths is not None:
         own = cut(ontology.with_ancestors(own, paths))
-    universe = associations.universe(feats, terms)
+    universe = terms.agg(F.count_distinct("entity").alias("n"))  # features are of annotated entities
     shrunk = params.with_shrinkage and params.with_composites
     if params.step_down:
         rows = hierarchy.step_down(feats, own, params.alpha, params.max_run if params.with_composites else 1, universe)
         rows = rows.where(F.col("a") >= params.min_cooccurrence)
     else:
         pairs = cut(associations.cooccurrence(feats, own).where(F.col("a") >= params.min_cooccurrence))
+        of_features, of_terms = cut(associations.marginals(feats, "feature", "k")), cut(associations.marginals(own, "term", "m"))
         if shrunk:
-            meta = cut(features.metadata(feats))
+            meta = features.described(of_features.withColumnRenamed("k", "n_obs"))
             pairs = cut(shrinkage.extended_pairs(pairs, meta))
-        rows = associations.tested(associations.contingency(feats, own, universe, pairs))
+        rows = associations.tested(associations.cells(pairs, of_features, of_terms, universe))
         if shrunk:
             rows = shrinkage.shrink(cut(rows), meta, params.shrinkage_strength, params.shrinkage_min_obs)
-        n_tests = associations.number_of_tests(feats, own).first()["n_tests"]
+        n_tests = of_features.where("feature is not null").count() * of_terms.where("term is not null").count()
         rows = associations.adjusted(cut(rows), n_tests)  # the ranks read it more than once
         rows = cut(rows) if params.with_ontology else rows
     hits = associations.significant(rows, params.alpha)
     annotations = None
     if params.with_ontology and edges is not None:
-        reached = cut(ontology.with_ancestors(terms, paths))
+        reached = ontology.with_ancestors(terms, paths, distinct=False)  # bitmaps take repeated rows as one
         level = ontology.optimal_level(hits, feats, reached, edges, params.min_background, params.level_alpha, params.orientation)
         annotations = ontology.propagate(level.withColumnRenamed("hyper_score", "association_score"), paths, params.prefer_direct)
     return Result(rows, hits, annotations)

@@ -123,6 +123,9 @@ def test_shrinkage_values(spark):
     assert r.prior == pytest.approx(math.sqrt(0.2 * 0.05)) and r.alpha == pytest.approx(alpha)
     assert r.p_value == pytest.approx(math.exp((1 - alpha) * math.log(0.01) + alpha * math.log(0.1)))
     assert got["IPR1", "GO1"].p_value == 0.2 and got["IPR1", "GO1"].prior is None
+    unknown = shrinkage.shrink(spark.createDataFrame(ps[:1] + [("IPR1,IPR9", "GO1", 0.3), ("IPR8,IPR9", "GO1", 0.3)], "feature string, term string, p_value double"), features.metadata(f.unionByName(frame(spark, [("P1", "IPR1,IPR9"), ("P1", "IPR8,IPR9")], "feature"))))
+    priors = {r.feature: r.prior for r in unknown.collect()}
+    assert priors["IPR1,IPR9"] == pytest.approx(0.2) and priors["IPR8,IPR9"] is None  # a part that does not occur is skipped
     s = shrinkage.statistics(rows).first()
     assert s.n_composite_tests == 2 and s.n_increased == 2
     none = shrinkage.statistics(rows.where("feature = 'IPR1'")).first()
