@@ -31,8 +31,8 @@ def universe(features: DataFrame, terms: DataFrame, how: str = "union") -> DataF
 
 
 def marginals(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Entities of each feature or term, from distinct rows."""
-    return rows.groupBy(column).agg(F.count("*").alias(name))
+    """Entities of each feature or term, from distinct rows; a row with n stands for so many entities."""
+    return rows.groupBy(column).agg((F.sum("n") if "n" in rows.columns else F.count("*")).alias(name))
 
 
 def cooccurrence(features: DataFrame, terms: DataFrame) -> DataFrame:
@@ -40,6 +40,44 @@ def cooccurrence(features: DataFrame, terms: DataFrame) -> DataFrame:
     return features.join(terms, "entity").groupBy("feature", "term").agg(F.count("*").alias("a"))
 
 
+def profiles(features: DataFrame, terms: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(features, terms, nameless, n): the different sets of features and terms that entities have, as sorted arrays, and how many entities
+    have them; weights(entity, n) where an entity stands for several. An entity may have only one kind; nameless is that without an id.
+
+    Entities are dealt once, whatever is counted then, since pairs are made within a row. Entities with the same sets, such as
+    those of one architecture, are one row."""
+    f = features.groupBy("entity").agg(F.collect_set("feature").alias("features"))
+    every = f.join(terms.groupBy("entity").agg(F.collect_set("term").alias("terms")), "entity", "full")
+    return merged(every if weights is None else every.join(weights, "entity"))
+
+
+def merged(every: DataFrame) -> DataFrame:
+    """profiles() of every(entity, features, terms), a row for each entity, with n where it stands for several."""
+    n = F.sum("n") if "n" in every.columns else F.count("*")
+    keys = [F.sort_array("features").alias("features"), F.sort_array("terms").alias("terms"), F.col("entity").isNull().alias("nameless")]
+    return every.groupBy(*keys).agg(n.alias("n"))
+
+
+def counts(profiles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of profiles, whose lineage should be cut: (feature, term, a), (feature, k), (term, m) and (n), all cut.
+
+    They are those of cooccurrence(), marginals() and universe(), but for rows without a feature or a term."""
+    of_features = marginals(profiles.select(F.explode("features").alias("feature"), "n"), "feature", "k")
+    of_terms = marginals(profiles.select(F.explode("terms").alias("term"), "n"), "term", "m")
+    return cut(met(profiles)), cut(of_features), cut(of_terms), cut(entities(profiles))
+
+
+def met(profiles: DataFrame) -> DataFrame:
+    """cooccurrence() of profiles: (feature, term, a)."""
+    left = profiles.where("not nameless").select(F.explode("features").alias("feature"), "terms", "n")
+    return left.select("feature", F.explode("terms").alias("term"), "n").groupBy("feature", "term").agg(F.sum("n").alias("a"))
+
+
+def entities(profiles: DataFrame) -> DataFrame:
+    """universe() of profiles: (n). One row."""
+    return profiles.where("not nameless").agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"))
+
+
 def contingency(features: DataFrame, terms: DataFrame, n: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(feature, term, a, b, c, d, k, m, n). Features' and terms' counts are joined by key; Spark
     broadcasts them where their size allows."""

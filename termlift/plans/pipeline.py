@@ -86,22 +86,38 @@ def associate(occurrence_arch: DataFrame, terms: DataFrame, params: Parameters,
     """occurrence_arch: as of features.architectures(); terms(entity, term) distinct; edges of the ontology.
 
     Features are those of entities that have terms too; all annotated entities count as the universe."""
-    terms = cut(terms)
-    both = cut(occurrence_arch.join(terms.select("entity"), "entity", "left_semi"))
-    feats = cut(features.entity_features(both, params.with_composites, params.min_support, params.max_run))
-    known = terms.join(both.select("entity"), "entity", "left_semi").select("term").distinct()
-    own = cut(terms.join(known, "term", "left_semi"))
+    plain = (params.min_support == 1 or not params.with_composites) and not (params.propagate_entity_terms and edges is not None)
+    grouped = terms.groupBy("entity").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    every = occurrence_arch.select("entity", "singles", "composites").join(grouped, "entity", "right").withColumn("nameless", F.col("entity").isNull())
+    if plain and not params.step_down:  # entities of the same features and terms are one, which counts n times
+        every = every.groupBy("singles", "composites", "terms", "nameless").agg(F.count("*").alias("n")).withColumn("entity", F.when(~F.col("nameless"), F.monotonically_increasing_id()))
+    else:
+        every = every.withColumn("n", F.lit(1).cast("long"))
+    every = cut(every)
+    weights = every.select("entity", "n")
+    terms, both = every.select("entity", F.explode("terms").alias("term"), "n"), every.where("singles is not null")
+    feats = features.entity_features(both, params.with_composites, params.min_support, params.max_run)
+    known = cut(both.select(F.explode("terms").alias("term")).distinct())
+    own = terms.select("entity", "term").join(known, "term", "left_semi")
     paths = ontology.closure(edges, params.orientation) if edges is not None and (params.with_ontology or params.propagate_entity_terms) else None
     if params.propagate_entity_terms and paths is not None:
-        own = cut(ontology.with_ancestors(own, paths))
-    universe = terms.agg(F.count_distinct("entity").alias("n"))  # features are of annotated entities
+        own = ontology.with_ancestors(own, paths)
+    universe = cut(associations.entities(every))  # features are of annotated entities
     shrunk = params.with_shrinkage and params.with_composites
     if params.step_down:
         rows = hierarchy.step_down(feats, own, params.alpha, params.max_run if params.with_composites else 1, universe)
         rows = rows.where(F.col("a") >= params.min_cooccurrence)
     else:
-        pairs = cut(associations.cooccurrence(feats, own).where(F.col("a") >= params.min_cooccurrence))
-        of_features, of_terms = cut(associations.marginals(feats, "feature", "k")), cut(associations.marginals(own, "term", "m"))
+        if plain:  # an entity's features are in its row already
+            singles = F.concat("singles", "composites") if params.with_composites else F.col("singles")
+            profiles = both.select(F.array_distinct(singles).alias("features"), "terms", "nameless", "n")
+            of_features = associations.marginals(profiles.select(F.explode("features").alias("feature"), "n"), "feature", "k")
+            of_terms = associations.marginals(terms.join(known, "term", "left_semi"), "term", "m")
+        else:
+            profiles = cut(associations.profiles(feats, own))
+            of_features, of_terms = associations.marginals(feats, "feature", "k"), associations.marginals(own, "term", "m")
+        pairs = cut(associations.met(profiles).where(F.col("a") >= params.min_cooccurrence))
+        of_features, of_terms = cut(of_features), cut(of_terms)
         if shrunk:
             meta = features.described(of_features.withColumnRenamed("k", "n_obs"))
             pairs = cut(shrinkage.extended_pairs(pairs, meta))
@@ -114,7 +130,7 @@ def associate(occurrence_arch: DataFrame, terms: DataFrame, params: Parameters,
     hits = associations.significant(rows, params.alpha)
     annotations = None
     if params.with_ontology and edges is not None:
-        reached = ontology.with_ancestors(terms, paths, distinct=False)  # bitmaps take repeated rows as one
-        level = ontology.optimal_level(hits, feats, reached, edges, params.min_background, params.level_alpha, params.orientation)
+        reached = ontology.with_ancestors(terms, paths, distinct=False)  # repeated rows count as one
+        level = ontology.optimal_level(hits, feats, reached, edges, params.min_background, params.level_alpha, params.orientation, weights=weights)
         annotations = ontology.propagate(level.withColumnRenamed("hyper_score", "association_score"), paths, params.prefer_direct)
     return Result(rows, hits, annotations)

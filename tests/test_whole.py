@@ -70,3 +70,28 @@ def test_full_pipeline(spark, con):
                 notes[r.feature, t] = min(notes.get((r.feature, t), r.term), r.term)
     got = {(r.feature, r.term): (r.direct_source_term, r.annotation_type) for r in rows if r.annotation_type}
     assert got and got == {k: (s, "direct" if s == k[1] else "propagated") for k, s in notes.items()}
+
+
+def test_entities_with_the_same_sets_are_one_row_that_counts_for_all(spark):
+    """Counts of 40 entities of four kinds come from four rows; an entity without an id counts in marginals only."""
+    from termlift.operators import associations, ontology
+
+    kinds = [("A", "t", "R"), ("A", "R", "R"), ("B", "t", "s"), ("B", "s", "s")]
+    own = [(f"e{i}", t) for i in range(40) for t in set(kinds[i % 4][1:])] + [(None, "t")]
+    has = [(f"e{i}", kinds[i % 4][0]) for i in range(40)] + [(None, "A")]
+    f, t = spark.createDataFrame(has, "entity string, feature string"), spark.createDataFrame(own, "entity string, term string")
+    profiles = associations.profiles(f, t)
+    assert sorted((r.n, r.nameless) for r in profiles.collect()) == [(1, True), (1, True), (10, False), (10, False), (10, False), (10, False)]
+    assert sorted(map(tuple, associations.cells(*associations.counts(profiles)).collect())) == sorted(map(tuple, associations.contingency(f, t).collect()))
+    wanted = spark.createDataFrame([("A", "t", "R"), ("B", "t", "s"), ("A", "R", "t"), ("B", "t", "none")], "feature string, term string, next string")
+    weights = spark.createDataFrame([(f"e{i}", 10) for i in range(4)], "entity string, n long")
+    few = lambda df: df.where("entity in ('e0', 'e1', 'e2', 'e3')")
+    got = ontology.conditional_counts(wanted, few(f), few(t), weights)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ontology.conditional_counts(wanted, f, t).collect()))
+
+
+def test_runs_are_counted_without_dealing_their_entities(spark):
+    from termlift.plans import catalog
+
+    rows = catalog.supra_generation(spark, "/root/testdata/sf0.001")
+    assert "distinct" not in rows._jdf.queryExecution().analyzed().toString()
