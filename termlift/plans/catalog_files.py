@@ -230,16 +230,16 @@ def statistics_orphans(spark, d):
 @_query(C.SQL["contingency"])
 def stream_contingency(spark, d):
     """The tables from a stream of four micro-batches, in which an entity's rows come at different times, some of them twice."""
-    path = shared_path(spark, "stream")
+    path, checkpoint = shared_path(spark, "stream"), shared_path(spark, "checkpoint")
     rows = C.singles(spark, d).select("entity", F.lit("feature").alias("kind"), F.col("feature").alias("value"))
-    rows = rows.unionByName(C.entity_terms(spark, d).select("entity", F.lit("term").alias("kind"), F.col("term").alias("value")))
+    rows = C.cut(rows.unionByName(C.entity_terms(spark, d).select("entity", F.lit("term").alias("kind"), F.col("term").alias("value"))))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("value", "entity"), F.lit(4)))
-    for i in range(4):
-        some = rows.where((F.col("part") == i) | ((F.col("part") == 0) & (F.col("kind") == "term")))
-        some.select(F.col("entity").cast("string").alias("entity"), "kind", "value").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema("entity string, kind string, value string").option("maxFilesPerTrigger", 1).parquet(path)
     counts = PairCounts(spark, shared_path(spark, "counts"))
-    counts.follow(stream, shared_path(spark, "checkpoint")).awaitTermination()
+    for i in range(4):  # what has come since the stream was last followed is one micro-batch, whatever its number of files
+        now = rows.where((F.col("part") == i) | ((F.col("part") == 0) & (F.col("kind") == "term")))
+        now.select(F.col("entity").cast("string").alias("entity"), "kind", "value").write.mode("append").parquet(path)
+        stream = spark.readStream.schema("entity string, kind string, value string").parquet(path)
+        counts.follow(stream, checkpoint).awaitTermination()
     return counts.contingency().select("feature", "term", "a", "b", "c", "d")
 
 
