@@ -38,27 +38,32 @@ def step_down(features: DataFrame, terms: DataFrame, alpha: float = associations
     """features(entity, feature) with composites, terms(entity, term), distinct rows: one row for each pair that is tested
     and co-occurs, or is an opened composite, with level, cells, p_value, q_value (within its level) and rejected.
 
-    A level ends the descent when it rejects nothing. Memory is bounded as in the tests and the adjustment; only a level's
+    Features and terms are read once: a level makes its pairs within the entities' rows. A level ends the descent when it rejects nothing. Memory is bounded as in the tests and the adjustment; only a level's
     number of tests reaches the driver."""
     if not 0 < alpha < 1:
         raise ValueError(f"alpha must lie between 0 and 1, not {alpha}")
-    universe = cut(associations.universe(features, terms) if universe is None else universe)
+    profiles = cut(associations.profiles(features, terms))
+    has = profiles.where("not nameless").select(F.explode("features").alias("feature"), "terms", "n")
+    universe = cut(associations.entities(profiles) if universe is None else universe)
+    of_features = cut(associations.marginals(profiles.select(F.explode("features").alias("feature"), "n"), "feature", "k"))
+    of_terms = cut(associations.marginals(profiles.select(F.explode("terms").alias("term"), "n"), "term", "m"))
     out, wanted = None, None
     for level in range(1, max_run + 1):
-        own = runs_of(features, level)
+        own = runs_of(of_features, level).select("feature")
+        pairs = runs_of(has, level)
         if wanted is None:
-            pairs = associations.cooccurrence(own, terms)
-            n_tests = associations.number_of_tests(own, terms).first()["n_tests"]
+            n_tests = own.count() * of_terms.count()
+            pairs = pairs.select("feature", F.explode("terms").alias("term"), "n").groupBy("feature", "term").agg(F.sum("n").alias("a"))
         else:
-            wanted = cut(opened(own.select("feature").distinct(), wanted))
+            wanted = cut(opened(own, wanted))
             n_tests = wanted.count()
             # only entities' runs and terms that an opened pair has
-            own = own.join(wanted.select("feature").distinct(), "feature", "left_semi")
-            met = associations.cooccurrence(own, terms.join(wanted.select("term").distinct(), "term", "left_semi"))
-            pairs = wanted.join(met, ["feature", "term"], "left").select("feature", "term", F.coalesce("a", F.lit(0)).cast("long").alias("a"))
+            pairs = pairs.join(wanted.select("feature").distinct(), "feature", "left_semi").select("feature", F.explode("terms").alias("term"), "n")
+            pairs = pairs.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("feature", "term").agg(F.sum("n").alias("a"))
+            pairs = wanted.join(pairs, ["feature", "term"], "left").select("feature", "term", F.coalesce("a", F.lit(0)).cast("long").alias("a"))
         if not n_tests:
             break
-        rows = cut(associations.tested(associations.contingency(own, terms, universe, cut(pairs))))
+        rows = cut(associations.tested(associations.cells(cut(pairs), of_features, of_terms, universe)))
         rows = associations.adjusted(rows, n_tests).withColumns({"level": F.lit(level), "rejected": F.col("q_value") <= alpha})
         rows = cut(rows)
         out = rows if out is None else out.unionByName(rows)
