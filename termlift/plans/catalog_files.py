@@ -263,10 +263,8 @@ def universe_both(spark, d):
 @_query(C.SQL["optimal_level_kept"].replace("background < 3 OR NOT p < 0.05", "background >= 1000 AND NOT p < 0.05"))
 def optimal_level_small_kept(spark, d):
     """Neighbours with a background below 1,000 are passed over."""
-    e = C.edges(spark, d)
-    own = C.cut(ontology.with_ancestors(C.entity_terms(spark, d), ontology.closure(e)))
-    hits = C.cut(associations.significant(C._adjusted(spark, d), 0.5))
-    return ontology.optimal_level(hits, C.singles(spark, d), own, e, 1000, 0.05, small_rejects=False).select("feature", "term")
+    *inputs, weights = C._level_inputs(spark, d)
+    return ontology.optimal_level(*inputs, 1000, 0.05, small_rejects=False, weights=weights).select("feature", "term")
 
 
 @_query(_with("spread", "SELECT feature, term, source AS direct_source_term, CASE WHEN term = source THEN 'direct' ELSE 'propagated' END AS annotation_type FROM spread"))
