@@ -43,10 +43,9 @@ def _annotation_file(spark: SparkSession, d: str) -> str:
     aspect = F.when(F.col("aspect") == "O", "P").otherwise("F")
     term = F.concat(F.lit("GO:"), "term")
     fields = [F.lit("db"), F.col("entity"), F.lit("s"), F.coalesce("qualifier", F.lit("")), term, F.lit("r"), evidence, F.lit(""), aspect, *[F.lit(x) for x in ("n", "y", "protein", "taxon:1", "20240101", "by")]]
-    rows = C.annotations(spark, d)
-    whole = rows.select(F.concat_ws("\t", *fields).alias("line"))
-    short = rows.where("qualifier = '1-URGENT'").select(F.concat_ws("\t", F.lit("db"), "entity").alias("line"))
-    return _text(whole.union(short).union(spark.createDataFrame([("!gaf-version: 2.2",)], "line string")), F.col("line"), compression="gzip")
+    short = F.when(F.col("qualifier") == "1-URGENT", F.concat_ws("\t", F.lit("db"), "entity"))
+    lines = C.annotations(spark, d).select(F.explode(F.array_compact(F.array(F.concat_ws("\t", *fields), short))).alias("line"))
+    return _text(lines.union(spark.range(1).select(F.lit("!gaf-version: 2.2"))), F.col("line"), compression="gzip")
 
 
 _GAF = "SELECT entity, term, coalesce(qualifier, '') AS qualifier, CASE evidence WHEN 'R' THEN 'EXP' WHEN 'A' THEN 'ISS' ELSE 'IEA' END AS evidence, CASE aspect WHEN 'O' THEN 'P' ELSE 'F' END AS aspect FROM ann"

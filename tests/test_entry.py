@@ -31,3 +31,14 @@ def test_against_sql(spark, name):
     sql = sorted((tuple(clean(v) for v in r) for r in want.select(*columns).fetchall()), key=str)
     ours = sorted((tuple(clean(v) for v in r) for r in entry.queries()[name](spark, DIR).select(*columns).collect()), key=str)
     assert ours == sql
+
+
+@pytest.mark.parametrize("name", ["scan_annotations", "scan_preset", "scan_counters", "disposition_counts"])
+def test_no_task_holds_all_orders_or_parts(spark, monkeypatch, name):
+    """With more lines than a partition of the join takes, neither table is broadcast, and the results stay."""
+    from termlift.plans import catalog
+
+    monkeypatch.setattr(catalog, "JOIN_ROWS", 1000)
+    plan = catalog.annotations(spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+    test_against_sql(spark, name)
