@@ -12,9 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-#: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+#: Bytes of text that one vectorised step works on; a longer text is a step of its own. A step takes some 40 bytes a byte of
+#: text, which the worker keeps for its next tasks.
+STEP_BYTES = 1 << 18
 
 _U = np.uint64
 SPACES = np.zeros(256, dtype=bool)
@@ -68,6 +71,15 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return back
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of rows that the driver has. Made by way of Arrow, since from a list Spark makes an RDD that executors
+    start Python workers of another kind for, with a daemon of their own beside that of the Arrow functions."""
+    kind = _parse_datatype_string(schema)
+    columns = list(zip(*rows)) or [[] for _ in kind]
+    types = to_arrow_schema(kind)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, types)], schema=types), kind)
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by written() that nothing reads any more."""
     for t in tables:

@@ -34,10 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import mix64
+from ._shared import few_rows, mix64
 
 _U = np.uint64
-ORDER, PER_LANG, LONGEST, MOST_LANGS, CALIBRATION, REJECT_RATE, TAIL, FEW, STEP_CHARS = 5, 400, 20_000, 400, 0.25, 0.0001, 0.1, 20, 1 << 18
+ORDER, PER_LANG, LONGEST, MOST_LANGS, CALIBRATION, REJECT_RATE, TAIL, FEW, STEP_CHARS = 5, 400, 20_000, 400, 0.25, 0.0001, 0.1, 20, 1 << 16
 UNKNOWN, _PAD, _SPACE = "und", 1, 32
 _P = _U(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
@@ -284,7 +284,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not n:
         return Model([], [], [], [], 0.0)
     # a hash below its language's bound leaves about twice per_lang documents; the window then sees only those
-    bounds = docs.sparkSession.createDataFrame([(lang, min(1.0, (2.0 * per_lang + 20) / count)) for lang, count in sorted(n.items())], "lang string, bound double")
+    bounds = few_rows(docs.sparkSession, [(lang, min(1.0, (2.0 * per_lang + 20) / count)) for lang, count in sorted(n.items())], "lang string, bound double")
     rows, bound = rows.join(F.broadcast(bounds), "lang"), F.col("bound")  # at most most_langs rows
     few = rows.where((F.shiftrightunsigned("h", 1).cast("double") / F.lit(float(1 << 63))) < bound)
     first = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= per_lang)

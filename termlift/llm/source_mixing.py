@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import text_steps, word_spans, written
+from ._shared import few_rows, text_steps, word_spans, written
 
 WEIGHTS, MOST, GROUP, LANDING, SEED = (5, 2, 1), 3, 8192, 16, 11
 
@@ -146,7 +146,8 @@ def _decide(rows: DataFrame, weights: Sequence[float], most: float, share: float
     # one row per source: a mix has a weight for each, so they are few
     found = {r["source"]: (int(r["w"]), int(r["n"])) for r in sized.groupBy("source").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()}
     aim = targets({s: w for s, (w, _) in found.items()}, weights, most, share)
-    facts = spark.createDataFrame(
+    facts = few_rows(
+        spark,
         [(s, w, float(aim[s]), min(aim[s] / w, float(most)) if w else 0.0, -(-n // group)) for s, (w, n) in found.items()],
         "src string, source_size long, target double, rate double, groups int",
     )

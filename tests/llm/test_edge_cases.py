@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from termlift.llm import embedding_dedup, html_extract, language_id, line_dedup, ngram_join, quality_rules, sequence_packing, source_mixing, token_counts, warc
+from termlift.llm import _shared, embedding_dedup, html_extract, language_id, line_dedup, ngram_join, quality_rules, sequence_packing, source_mixing, token_counts, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, size string, rep string"
 LONG = " ".join(f"word{i}" + "." * (i % 10 == 9) for i in range(60_000))
@@ -172,3 +172,13 @@ def test_vectors(spark):
     assert all(got[i][0].n_links == 0 and got[i][0].kept for i in (3, 4, 5, 6, 7, 8))
     assert got[None][0].n_links == 0
     assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
+
+
+def test_tables_of_the_driver_start_no_python_workers(spark):
+    """Nulls stay, no rows are an empty table, and the plan has no RDD, whose rows Python workers would pickle."""
+    schema = "source string, n long, rate double, groups int"
+    rows = [(None, 3, 1.5, 1), ("a", 4, 0.5, 2)]
+    table = _shared.few_rows(spark, rows, schema)
+    assert [tuple(r) for r in table.collect()] == rows and table.schema == spark.createDataFrame([], schema).schema
+    assert "RDD" not in table._jdf.queryExecution().executedPlan().toString()
+    assert _shared.few_rows(spark, [], schema).count() == 0
