@@ -52,18 +52,20 @@ _GAF = "SELECT entity, term, coalesce(qualifier, '') AS qualifier, CASE evidence
 _GAF_ROWS = "SELECT 'GO:' || term AS term, count(*) AS n, count(DISTINCT entity) AS n_entities FROM gaf WHERE {} AND NOT contains(upper(qualifier), 'NOT') GROUP BY term"
 
 
-def _per_term(rows: DataFrame) -> DataFrame:
+def _per_term(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """Rows are dealt by entity before they are counted, so that a task holds the pairs of a term and an entity of a share that does not grow."""
+    rows = C._dealt(rows.select("term", "entity"), "entity", C._read(spark, d, "lineitem").count())
     return rows.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("n_entities"))
 
 
 @_query(_with("ann", _GAF_ROWS.format("evidence <> 'IEA' AND aspect = 'P'"), gaf=_GAF))
 def scan_annotations(spark, d):
-    return _per_term(text_formats.read_annotations(spark, _annotation_file(spark, d), filters.MANUAL, ["P"], partitions=4))
+    return _per_term(spark, d, text_formats.read_annotations(spark, _annotation_file(spark, d), filters.MANUAL, ["P"], partitions=4))
 
 
 @_query(_with("ann", _GAF_ROWS.format("evidence = 'EXP'"), gaf=_GAF))
 def scan_preset(spark, d):
-    return _per_term(text_formats.read_preset(spark, _annotation_file(spark, d), "experimental"))
+    return _per_term(spark, d, text_formats.read_preset(spark, _annotation_file(spark, d), "experimental"))
 
 
 @_query(_with("ann", """SELECT CASE WHEN contains(upper(qualifier), 'NOT') THEN 'excluded_qualifier' WHEN evidence = 'IEA' THEN 'filtered_evidence' WHEN aspect <> 'P' THEN 'filtered_aspect' ELSE 'accepted' END AS disposition, count(*) AS n FROM gaf GROUP BY 1

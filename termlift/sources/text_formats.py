@@ -2,7 +2,7 @@
 
 Text sources push nothing down, but what a filter asks for is searched in the whole line first, so that lines without it are
 neither split nor dealt out; convert once to Parquet where a file is read often. gzip files are read
-whole by one task each, so readers deal their rows out where asked to (`partitions`).
+whole by one task each, so readers deal their rows out where asked to (`partitions`) and the files are read by fewer tasks.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ from termlift.operators import filters
 
 
 def _lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    rows = spark.read.text(path)
-    return _trimmed(rows.repartition(partitions) if partitions else rows)
+    return _trimmed(_at_least(spark.read.text(path), partitions))
+
+
+def _at_least(rows: DataFrame, partitions: int | None) -> DataFrame:
+    """rows in so many partitions or more: where as many tasks read them already, fewer would only have more to hold."""
+    return rows.repartition(partitions) if partitions and rows.rdd.getNumPartitions() < partitions else rows
 
 
 def _trimmed(rows: DataFrame) -> DataFrame:
@@ -39,7 +43,7 @@ def read_annotation_lines(spark: SparkSession, path: str, partitions: int | None
     rows = spark.read.text(path).where(~F.ltrim("value").startswith("!"))
     for values in wanted:
         rows = rows.where(_may_hold(F.col("value"), values))
-    rows = _trimmed(rows.repartition(partitions) if partitions else rows).where(~F.col("line").startswith("!"))
+    rows = _trimmed(_at_least(rows, partitions)).where(~F.col("line").startswith("!"))
     f = F.split("line", "\t")
     named = {"entity": 1, "qualifier": 3, "term": 4, "reference": 5, "evidence": 6, "aspect": 8, "taxon": 12}
     return rows.select((F.size(f) < 15).alias("malformed"), *[F.get(f, i).alias(n) for n, i in named.items()])

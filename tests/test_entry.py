@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -44,6 +46,27 @@ def test_no_task_holds_all_orders_or_parts(spark, monkeypatch, name):
     test_against_sql(spark, name)
 
 
+@pytest.mark.parametrize("name", ["scan_annotations", "scan_preset"])
+def test_scanned_lines_are_counted_in_bounded_partitions(spark, monkeypatch, name):
+    """Of the lines of a file that many tasks read, none counts more than its share: neither four tasks that they are dealt to nor
+    spark.sql.shuffle.partitions (4 here) decide how many pairs of a term and an entity are held at once. The results stay."""
+    from termlift.plans import catalog
+
+    lines = spark.read.parquet(f"{DIR}/lineitem.parquet").count()
+    monkeypatch.setattr(catalog, "JOIN_ROWS", 500)
+    plan = entry.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    dealt = [keys for keys in re.findall(r"Exchange \w+\((.*?)\)", plan) if "entity" in keys or keys.isdigit()]
+    assert len(dealt) == 1 and re.fullmatch(rf"entity#\d+, {-(-lines // 500)}", dealt[0])
+    test_against_sql(spark, name)
+
+
+def test_lines_are_dealt_only_where_few_tasks_read_them(spark):
+    from termlift.sources import text_formats
+
+    tasks = lambda held, asked: text_formats._at_least(spark.range(0, 100, 1, held), asked).rdd.getNumPartitions()
+    assert [tasks(1, 4), tasks(8, 4), tasks(1, None), tasks(8, None)] == [4, 8, 1, 8]
+
+
 def test_entities_are_dealt_in_bounded_partitions(spark, monkeypatch, tmp_path):
     """Where there are more lines than a partition takes, partitions are more; nulls and repeated lines count as in the plain form."""
     from termlift.operators import associations
