@@ -131,13 +131,15 @@ def with_ancestors(entity_terms: DataFrame, paths: DataFrame, distinct: bool = T
     return every.distinct() if distinct else every
 
 
-def conditional_counts(wanted: DataFrame, features: DataFrame, entity_terms: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def conditional_counts(wanted: DataFrame, features: DataFrame | None, entity_terms: DataFrame, weights: DataFrame | None = None, made: Column | None = None) -> DataFrame:
     """wanted(feature, term, next), distinct: adds background, ac, af and afc, the entities with next, and those of them
     with the term, with the feature, and with both. Repeated rows of features and entity_terms count once; with weights(entity, n)
-    an entity counts n times.
+    an entity counts n times. With made, weights(entity, n, ...) is a row for each entity, and made the array of its distinct features from
+    the other columns, so that features are neither dealt nor written: features is not read then.
 
     Features and terms that are asked for get numbers, and an entity's numbers lie in one row (associations.profiles()), in which its
-    pairs are made and counted before they are dealt. Where the entities of a term all have next, as with ancestors added, afc is the
+    pairs are made and counted before they are dealt. No count is restricted to what is asked before that: Spark would restrict
+    each entity's pairs, and deal them all for it. Where the entities of a term all have next, as with ancestors added, afc is the
     count of the feature with the term, and where those with next all have the term, that of the feature with next;
     both show in the counts, so triples are made only for the steps between terms that overlap otherwise."""
     of_term = cut(dense_numbers(wanted.select("term").union(wanted.select("next")), "term"))
@@ -145,39 +147,46 @@ def conditional_counts(wanted: DataFrame, features: DataFrame, entity_terms: Dat
     named = wanted.join(of_feature.withColumnRenamed("number", "f"), "feature", "left").join(of_term.withColumnRenamed("number", "t"), "term", "left")
     named = cut(named.join(of_term.select(F.col("term").alias("next"), F.col("number").alias("x")), "next", "left"))
     own = entity_terms.where("entity is not null").join(of_term, "term").select("entity", F.col("number").alias("term"))
-    has = features.where("entity is not null").join(of_feature, "feature").select("entity", F.col("number").alias("feature"))
-    both = cut(profiles(has, own, weights).where("terms is not null").select("features", "terms", "n"))
+    if made is None:
+        has = features.where("entity is not null").join(of_feature, "feature").select("entity", F.col("number").alias("feature"))
+        both = cut(profiles(has, own, weights).where("terms is not null").select("features", "terms", "n"))
+    else:
+        both = cut(weights.join(own.groupBy("entity").agg(F.collect_set("term").alias("terms")), "entity").drop("entity"))
+
+    def counted(rows: DataFrame, *keys: str) -> DataFrame:
+        """(f, *keys, _n): the entities of each feature of rows, with those keys."""
+        found = rows.groupBy("f", *keys).agg(F.sum("n").alias("_n"))
+        return found if made is None else found.withColumnRenamed("f", "feature").join(of_feature.withColumnRenamed("number", "f"), "feature").drop("feature")
+
+    each = F.explode(F.col("features") if made is None else made).alias("f")
     size = cut(both.select(F.explode("terms").alias("t"), "n").groupBy("t").agg(F.sum("n").alias("size")))
     steps = cut(named.select("t", "x").distinct())
-    within = both.select("features", "terms", F.explode("terms").alias("t"), "n")
-    ac = within.drop("features").join(steps, "t").where("array_contains(terms, x)").groupBy("t", "x").agg(F.sum("n").alias("ac"))
+    within = both.select("*", F.explode("terms").alias("t"))
+    ac = within.select("terms", "t", "n").join(steps, "t").where("array_contains(terms, x)").groupBy("t", "x").agg(F.sum("n").alias("ac"))
     size_x = size.select(F.col("t").alias("x"), F.col("size").alias("background"))
     steps = cut(steps.join(ac, ["t", "x"], "left").join(size, "t", "left").join(size_x, "x", "left"))
-    asked = named.select("f", "t").union(named.select("f", "x")).distinct()
-    pairs = both.select(F.explode("features").alias("f"), "terms", "n").select("f", F.explode("terms").alias("t"), "n").groupBy("f", "t").agg(F.sum("n").alias("aft"))
-    pairs = cut(pairs.join(asked, ["f", "t"], "left_semi"))
+    pairs = cut(counted(both.select(each, "terms", "n").select("f", F.explode("terms").alias("t"), "n"), "t").withColumnRenamed("_n", "aft"))
     rows = named.join(steps, ["t", "x"], "left").join(pairs, ["f", "t"], "left").join(pairs.select("f", F.col("t").alias("x"), F.col("aft").alias("af")), ["f", "x"], "left")
     afc = F.when(F.col("ac") == F.col("size"), F.col("aft")).when(F.col("ac") == F.col("background"), F.col("af"))
     other = steps.where("ac < size and ac < background").select("t", "x")
     if not other.isEmpty():
-        triples = within.join(other, "t").where("array_contains(terms, x)").select(F.explode("features").alias("f"), "t", "x", "n")
-        triples = triples.join(named.select("f", "t", "x"), ["f", "t", "x"], "left_semi").groupBy("f", "t", "x").agg(F.sum("n").alias("_afc"))
-        rows, afc = rows.join(triples, ["f", "t", "x"], "left"), afc.otherwise(F.col("_afc"))
+        triples = counted(within.join(other, "t").where("array_contains(terms, x)").select(each, "t", "x", "n"), "t", "x")
+        rows, afc = rows.join(triples.withColumnRenamed("_n", "_afc"), ["f", "t", "x"], "left"), afc.otherwise(F.col("_afc"))
     found = {"background": F.col("background"), "ac": F.col("ac"), "af": F.col("af"), "afc": afc}
     return rows.select("feature", "term", "next", *[F.coalesce(c, F.lit(0)).cast("long").alias(name) for name, c in found.items()])
 
 
-def optimal_level_tests(assocs: DataFrame, features: DataFrame, entity_terms: DataFrame, edges: DataFrame, orientation: str = "to_root", relations: Sequence[str] | None = None, weights: DataFrame | None = None) -> DataFrame:
+def optimal_level_tests(assocs: DataFrame, features: DataFrame | None, entity_terms: DataFrame, edges: DataFrame, orientation: str = "to_root", relations: Sequence[str] | None = None, weights: DataFrame | None = None, made: Column | None = None) -> DataFrame:
     """(feature, term, next, background, af, ac, afc, p): each association tested within every neighbouring term's entities."""
     wanted = cut(assocs.select("feature", "term").distinct().join(neighbours(edges, orientation, relations), "term"))
-    rows = test_tables(cut(conditional_counts(wanted, features, entity_terms, weights)), out="p", names=("afc", "af", "ac", "background"))
+    rows = test_tables(cut(conditional_counts(wanted, features, entity_terms, weights, made)), out="p", names=("afc", "af", "ac", "background"))
     return rows.select("feature", "term", "next", "background", "af", "ac", "afc", F.when(F.col("afc") == 0, 1.0).otherwise(F.col("p")).alias("p"))
 
 
-def optimal_level(assocs: DataFrame, features: DataFrame, entity_terms: DataFrame, edges: DataFrame, min_background: int = MIN_BACKGROUND, alpha: float = ALPHA, orientation: str = "to_root", relations: Sequence[str] | None = None, small_rejects: bool = True, weights: DataFrame | None = None) -> DataFrame:
+def optimal_level(assocs: DataFrame, features: DataFrame | None, entity_terms: DataFrame, edges: DataFrame, min_background: int = MIN_BACKGROUND, alpha: float = ALPHA, orientation: str = "to_root", relations: Sequence[str] | None = None, small_rejects: bool = True, weights: DataFrame | None = None, made: Column | None = None) -> DataFrame:
     """Associations that are stronger than every neighbouring term's background explains; those of terms
     without neighbours, or unknown, stay; a neighbour with too small a background rejects, or is passed over."""
-    tests = optimal_level_tests(assocs, features, entity_terms, edges, orientation, relations, weights)
+    tests = optimal_level_tests(assocs, features, entity_terms, edges, orientation, relations, weights, made)
     small, weak = F.col("background") < min_background, ~(F.col("p") < alpha)
     fails = tests.where(small | weak if small_rejects else ~small & weak).select("feature", "term").distinct()
     return assocs.join(fails, ["feature", "term"], "left_anti")

@@ -82,19 +82,28 @@ class Result:
     annotations: DataFrame | None
 
 
-def associate(occurrence_arch: DataFrame, terms: DataFrame, params: Parameters, edges: DataFrame | None = None) -> Result:
-    """occurrence_arch: as of features.architectures(); terms(entity, term) distinct; edges of the ontology.
+def associate(occurrence_arch: DataFrame, terms: DataFrame | None, params: Parameters, edges: DataFrame | None = None) -> Result:
+    """occurrence_arch: as of features.architectures(); terms(entity, term) distinct; edges of the ontology. Where terms is None,
+    occurrence_arch is (entity, singles, terms), with an entity's distinct terms in order; its composites are made where they are read.
 
     Features are those of entities that have terms too; all annotated entities count as the universe."""
     plain = (params.min_support == 1 or not params.with_composites) and not (params.propagate_entity_terms and edges is not None)
-    grouped = terms.groupBy("entity").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    every = occurrence_arch.select("entity", "singles", "composites").join(grouped, "entity", "right").withColumn("nameless", F.col("entity").isNull())
+    if terms is None:
+        parts, every = ["singles"], occurrence_arch.select("entity", "singles", "terms")
+    else:
+        grouped = terms.groupBy("entity").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+        parts = ["singles", "composites"]
+        every = occurrence_arch.select("entity", *parts).join(grouped, "entity", "right")
+    every = every.withColumn("nameless", F.col("entity").isNull())
     if plain and not params.step_down:  # entities of the same features and terms are one, which counts n times
-        every = every.groupBy("singles", "composites", "terms", "nameless").agg(F.count("*").alias("n")).withColumn("entity", F.when(~F.col("nameless"), F.monotonically_increasing_id()))
+        every = every.groupBy(*parts, "terms", "nameless").agg(F.count("*").alias("n")).withColumn("entity", F.when(~F.col("nameless"), F.monotonically_increasing_id()))
     else:
         every = every.withColumn("n", F.lit(1).cast("long"))
     every = cut(every)
-    weights = every.select("entity", "n")
+    weights = every.select("entity", "n", *parts)
+    composites = F.col("composites") if "composites" in parts else features.composites(F.col("singles"), params.max_run)
+    made = F.array_distinct(F.concat(F.col("singles"), composites)) if params.with_composites else F.array_distinct("singles")
+    every = every.withColumn("composites", composites)
     terms, both = every.select("entity", F.explode("terms").alias("term"), "n"), every.where("singles is not null")
     feats = features.entity_features(both, params.with_composites, params.min_support, params.max_run)
     known = cut(both.select(F.explode("terms").alias("term")).distinct())
@@ -109,8 +118,7 @@ def associate(occurrence_arch: DataFrame, terms: DataFrame, params: Parameters,
         rows = rows.where(F.col("a") >= params.min_cooccurrence)
     else:
         if plain:  # an entity's features are in its row already
-            singles = F.concat("singles", "composites") if params.with_composites else F.col("singles")
-            profiles = both.select(F.array_distinct(singles).alias("features"), "terms", "nameless", "n")
+            profiles = both.select(made.alias("features"), "terms", "nameless", "n")
             of_features = associations.marginals(profiles.select(F.explode("features").alias("feature"), "n"), "feature", "k")
             of_terms = associations.marginals(terms.join(known, "term", "left_semi"), "term", "m")
         else:
@@ -131,6 +139,8 @@ def associate(occurrence_arch: DataFrame, terms: DataFrame, params: Parameters,
     annotations = None
     if params.with_ontology and edges is not None:
         reached = ontology.with_ancestors(terms, paths, distinct=False)  # repeated rows count as one
-        level = ontology.optimal_level(hits, feats, reached, edges, params.min_background, params.level_alpha, params.orientation, weights=weights)
+        # with a least support not all runs are features, so they are taken as rows
+        given = {"features": None, "weights": weights, "made": made} if plain else {"features": feats, "weights": weights.select("entity", "n")}
+        level = ontology.optimal_level(hits, entity_terms=reached, edges=edges, min_background=params.min_background, alpha=params.level_alpha, orientation=params.orientation, **given)
         annotations = ontology.propagate(level.withColumnRenamed("hyper_score", "association_score"), paths, params.prefer_direct)
     return Result(rows, hits, annotations)
